@@ -1 +1,353 @@
+"""Queries over co-occurrence, coherence and coexpression."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from molq.operators import accounting as A
+from molq.operators import coexpression as CX
+from molq.operators import coherence as H
+from molq.operators import cooccurrence as N
+from molq.plans.fixtures import cell_labels, molecules, table, with_parts
+from molq.suite.accounting import PURIFIED, count_pair
+from molq.session import cut_lineage
+from molq.suite.base import query
+from molq.suite.util import rounded
+
+NPMI_PARTS = {
+    "pres": "SELECT original_cell_id AS c, feature_name AS g FROM orig GROUP BY 1, 2 HAVING count(*) >= 2",
+    "tot": "SELECT count(DISTINCT c) AS n FROM pres",
+    "marg": "SELECT g, count(*) AS k FROM pres GROUP BY 1",
+    "kij": "SELECT a.g AS gi, b.g AS gj, count(*) AS k FROM pres a JOIN pres b ON a.c = b.c AND a.g < b.g GROUP BY 1, 2",
+    "pairs": """SELECT gi, gj, kij.k / n AS pij, a.k / n AS pi, b.k / n AS pj, ln((kij.k / n) / ((a.k / n) * (b.k / n))) AS pmi,
+      ln((kij.k / n) / ((a.k / n) * (b.k / n))) / -ln(kij.k / n) AS npmi, kij.k AS k, a.k AS ki, b.k AS kj, n
+      FROM kij JOIN marg a ON gi = a.g JOIN marg b ON gj = b.g, tot""",
+}
+
+
+def presence(spark, sf):
+    m = molecules(spark, sf).where("original_cell_id <> 'UNASSIGNED'")
+    return N.presence(m, "original_cell_id", 2)
+
+
+def panel(spark, sf):
+    """The pair panel as a stored table, as the score functions would read it from a file."""
+    return cut_lineage(N.compute_npmi(presence(spark, sf)).select(
+        "gene_i", "gene_j", F.col("NPMI").alias("value")))
+
+
+def counts(spark, sf):
+    return A.cell_gene_counts(molecules(spark, sf))
+
+
+@query("E01", with_parts("SELECT original_cell_id AS context, feature_name, count(*) AS n FROM orig GROUP BY 1, 2 HAVING count(*) >= 2", "orig"))
+def presence_table(spark, sf):
+    return N.require_rows(presence(spark, sf), "no features pass the minimum")
+
+
+@query("E01", with_parts("""
+SELECT original_cell_id AS context, feature_name, CAST(sum(qv) AS DOUBLE) AS n FROM orig GROUP BY 1, 2 HAVING sum(qv) >= 60""", "orig"))
+def presence_weighted(spark, sf):
+    m = molecules(spark, sf).where("original_cell_id <> 'UNASSIGNED'")
+    return N.presence(m, "original_cell_id", 60, count_col="qv")
+
+
+@query("E02 C21", with_parts("SELECT gi AS gene_i, gj AS gene_j, k AS k_ij FROM kij", "orig", **NPMI_PARTS))
+def pair_cooccurrence(spark, sf):
+    return N.pair_cooccurrence(presence(spark, sf))
+
+
+@query("E03 S09", with_parts("""
+SELECT gi AS gene_i, gj AS gene_j, round(pi, 6) AS P_i, round(pj, 6) AS P_j, round(pij, 6) AS P_ij, round(pij / pj, 6) AS P_i_given_j,
+ round(pij / pi, 6) AS P_j_given_i, round(pmi, 6) + 0.0 AS PMI, round(npmi, 6) + 0.0 AS NPMI FROM pairs""", "orig", **NPMI_PARTS))
+def npmi_panel(spark, sf):
+    return rounded(N.compute_npmi(presence(spark, sf)))
+
+
+@query("E03 S10", with_parts("""
+, d AS (SELECT a.g AS gi, b.g AS gj, a.k AS ka, b.k AS kb, CASE WHEN a.g = b.g THEN a.k ELSE coalesce(kij.k, 0) END AS k, n
+ FROM marg a JOIN marg b ON a.g <= b.g LEFT JOIN kij ON kij.gi = a.g AND kij.gj = b.g, tot)
+SELECT gi AS gene_i, gj AS gene_j, round(ka / n, 6) AS P_i, round(kb / n, 6) AS P_j, round(k / n, 6) AS P_ij, round((k / n) / (kb / n), 6) AS P_i_given_j,
+ round((k / n) / (ka / n), 6) AS P_j_given_i, CASE WHEN k > 0 THEN round(ln((k / n) / ((ka / n) * (kb / n))), 6) + 0.0 END AS PMI,
+ CASE WHEN k > 0 THEN round(ln((k / n) / ((ka / n) * (kb / n))) / -ln(k / n), 6) + 0.0 WHEN ka / n > 0.02 AND kb / n > 0.02 THEN -1.0 END AS NPMI FROM d""",
+                      "orig", **NPMI_PARTS))
+def npmi_panel_dense(spark, sf):
+    return rounded(N.compute_npmi(presence(spark, sf), dense=True, set_neg_one=True, thr=0.02))
+
+
+# Documents as contexts, their words as features.
+WORDS = "SELECT doc_id, unnest(string_split(lower(text), ' ')) AS w FROM documents"
+DOC_PRES = """SELECT doc_id AS c, w AS g FROM words WHERE regexp_full_match(w, '[a-z]{4,}') GROUP BY 1, 2 HAVING count(*) >= 3"""
+
+
+@query("E01 E02 E03", "WITH words AS (" + WORDS + "), pres AS (" + DOC_PRES + """),
+marg AS (SELECT g, count(*) AS k FROM pres GROUP BY 1), tot AS (SELECT count(DISTINCT c) AS n FROM pres),
+kij AS (SELECT a.g AS gi, b.g AS gj, count(*) AS k FROM pres a JOIN pres b ON a.c = b.c AND a.g < b.g GROUP BY 1, 2)
+SELECT gi AS gene_i, gj AS gene_j, round(ln((kij.k / n) / ((a.k / n) * (b.k / n))) / -ln(kij.k / n), 6) + 0.0 AS npmi
+FROM kij JOIN marg a ON gi = a.g JOIN marg b ON gj = b.g, tot""")
+def document_word_npmi(spark, sf):
+    words = table(spark, sf, "documents").select("doc_id", F.explode(F.split(F.lower("text"), " ")).alias("w")).where(
+        F.col("w").rlike("^[a-z]{4,}$"))
+    pres = N.presence(words, "doc_id", 3, feature="w")
+    return rounded(N.compute_npmi(pres).select("gene_i", "gene_j", F.col("NPMI").alias("npmi")))
+
+
+@query("E04", with_parts("""
+, nuc AS (SELECT * FROM molecules WHERE qv >= 20 AND cell_id <> 'UNASSIGNED' AND overlaps_nucleus = 1),
+s AS (SELECT cell_id, count(*) AS n FROM nuc GROUP BY 1),
+b AS (SELECT quantile_cont(n, 0.2) AS lo, quantile_cont(n, 0.8) AS hi FROM s)
+SELECT transcript_id, cell_id FROM nuc WHERE cell_id IN (SELECT cell_id FROM s, b WHERE n BETWEEN lo AND hi)"""))
+def confident_nuclei(spark, sf):
+    return N.confident_nuclei(molecules(spark, sf), qv_min=20).select("transcript_id", "cell_id")
+
+
+@query("E05", with_parts("""
+, a AS (SELECT * FROM molecules WHERE original_cell_id <> 'UNASSIGNED'), nuc AS (SELECT * FROM a WHERE overlaps_nucleus = 1),
+s AS (SELECT original_cell_id, count(*) AS n FROM nuc GROUP BY 1), b AS (SELECT quantile_cont(n, 0.1) AS lo, quantile_cont(n, 0.9) AS hi FROM s),
+k AS (SELECT count(*) AS n FROM nuc WHERE original_cell_id IN (SELECT original_cell_id FROM s, b WHERE n BETWEEN lo AND hi))
+SELECT (SELECT count(*) FROM molecules) AS n_input_rows, (SELECT count(*) FROM molecules) - (SELECT count(*) FROM a) AS n_dropped_excluded,
+ (SELECT count(*) FROM a) - (SELECT count(*) FROM nuc) AS n_dropped_nuclear, (SELECT n FROM k) AS n_kept_rows, (SELECT count(*) FROM nuc) - (SELECT n FROM k) AS n_dropped_percentile"""))
+def bootstrap_prefilter_counts(spark, sf):
+    return N.prefilter_counts(molecules(spark, sf), "original_cell_id", True, percentile_band=(10, 90))
+
+
+@query("E06", with_parts("""
+, s AS (SELECT original_cell_id AS c, count(*) AS t FROM orig GROUP BY 1),
+p AS (SELECT pres.c, g, t FROM pres JOIN s USING (c)), b AS (SELECT g, quantile_cont(t, 0.1) AS lo, quantile_cont(t, 0.9) AS hi FROM p GROUP BY 1)
+SELECT p.g AS feature_name, round(min(lo), 6) AS n_min, round(min(hi), 6) AS n_max, count(*) FILTER (t BETWEEN lo AND hi) AS n_admitted FROM p JOIN b ON p.g = b.g GROUP BY 1""",
+                      "orig", pres=NPMI_PARTS["pres"]))
+def feature_size_bands(spark, sf):
+    m = molecules(spark, sf).where("original_cell_id <> 'UNASSIGNED'")
+    bands = N.feature_size_bands(m, "original_cell_id", 10, 90)
+    admitted = N.admitted_presence(m, "original_cell_id", 10, 90).groupBy("feature_name").agg(F.count(F.lit(1)).alias("n_admitted"))
+    return rounded(bands.join(admitted, "feature_name", "left"))
+
+
+TIERS_SQL = """
+, d AS (SELECT a.g AS gi, b.g AS gj, a.k AS ka, b.k AS kb, kij.k AS k, CAST(n AS DOUBLE) AS n, (a.k / n) * (b.k / n) * n AS e, (a.k / n) * (b.k / n) * 400 AS es
+ FROM marg a JOIN marg b ON a.g < b.g LEFT JOIN kij ON kij.gi = a.g AND kij.gj = b.g, tot)
+SELECT gi AS gene_i, gj AS gene_j, CASE WHEN k IS NULL AND e >= 6 THEN 'neg_one' WHEN k IS NULL THEN 'indeterminate'
+ WHEN greatest(k, e) < 6 THEN 'low_evidence' WHEN greatest(k * 400 / n, es) >= 4 THEN 'can_bootstrap' ELSE 'legacy_only' END AS kind,
+ CASE WHEN k IS NULL THEN (CASE WHEN e >= 6 THEN -1.0 END) ELSE round(ln((k / n) / ((ka / n) * (kb / n))) / -ln(k / n), 6) + 0.0 END AS legacy_npmi,
+ CASE WHEN k IS NULL THEN (CASE WHEN e >= 6 THEN round(-ln(e), 6) END) ELSE round(ln((k / n) / ((ka / n) * (kb / n))), 6) + 0.0 END AS legacy_pmi,
+ coalesce(k, 0) AS k_ij, round(e, 6) AS expected_full, round(es, 6) AS expected_sub FROM d"""
+
+
+@query("E07", with_parts(TIERS_SQL, "orig", **NPMI_PARTS))
+def evidence_tiers(spark, sf):
+    return rounded(N.evidence_tiers(presence(spark, sf), min_evidence=6, min_bootstrap=4, subsample=400))
+
+
+@query("E08 E09", None)
+def bootstrap_pairs(spark, sf):
+    return N.bootstrap_npmi(presence(spark, sf), tau=(0.02, 0.1), max_bootstraps=120, coarse_block=60,
+                            refine_block=60, min_evidence=5, seed=11)
+
+
+# Entities of the final assignment scored against the panel of the original assignment.
+SCORE_PARTS = {
+    "vocab": "SELECT gi AS g FROM pairs UNION SELECT gj FROM pairs",
+    "big": "SELECT cell_id FROM cg GROUP BY 1 HAVING sum(count) >= {min}",
+    "mat": "SELECT cell_id, feature_name AS g FROM cg WHERE cell_id IN (SELECT cell_id FROM big) AND feature_name IN (SELECT g FROM vocab)",
+    "ks": "SELECT cell_id, count(*) AS k FROM mat GROUP BY 1",
+    "hits": """SELECT a.cell_id, npmi AS v FROM mat a JOIN mat b ON a.cell_id = b.cell_id AND a.g < b.g
+       JOIN pairs ON gi = a.g AND gj = b.g""",
+    "raw": """SELECT k.cell_id, k, k * (k - 1) // 2 AS np, count(*) FILTER (v > 0.05) AS n_pos, coalesce(sum(greatest(-v, 0)), 0) AS sn,
+       coalesce(sum(greatest(v - 0.05, 0)), 0) AS pr, coalesce(sum(greatest(-v - 0.05, 0)), 0) AS nr,
+       coalesce(sum(CASE WHEN v > 0.05 THEN v ELSE 0 END), 0) AS ph, coalesce(sum(CASE WHEN v < -0.05 THEN -v ELSE 0 END), 0) AS nh
+       FROM ks k LEFT JOIN hits USING (cell_id) GROUP BY 1, 2""",
+}
+
+
+def score_parts(minimum: int) -> dict[str, str]:
+    return {**NPMI_PARTS, **{k: v.format(min=minimum) if k == "big" else v for k, v in SCORE_PARTS.items()}}
+
+
+@query("E10 E13 E16 S15", with_parts("""
+, s AS (SELECT *, CASE WHEN np > 0 THEN n_pos / np END AS p, CASE WHEN np > 0 THEN sn / np END AS c FROM raw),
+q AS (SELECT quantile_cont(p, 0.8) AS qp FROM s)
+SELECT cell_id, k, np AS n_pairs, round(p, 6) AS cell_purity, round(c, 6) AS conflict_score, coalesce(p >= qp, FALSE) AS is_pure FROM s, q""",
+                               "orig cg", **score_parts(10)))
+def counting_coherence(spark, sf):
+    out = H.purity_and_conflict(counts(spark, sf), panel(spark, sf))
+    return rounded(out.select("cell_id", "k", "n_pairs", "cell_purity", "conflict_score", "is_pure"))
+
+
+RELU_SQL = """
+SELECT cell_id, CASE WHEN np > 0 THEN round({p} / np, 6) END AS purity_score, CASE WHEN np > 0 THEN round({n} / np, 6) END AS conflict_score,
+ CASE WHEN np > 0 THEN round({p} + {n}, 6) END AS signal_strength, CASE WHEN np > 0 AND {p} + {n} > 1e-8 THEN round({p} / ({p} + {n}), 6) END AS relative_purity,
+ CASE WHEN np > 0 AND {p} + {n} > 1e-8 THEN round({n} / ({p} + {n}), 6) END AS relative_conflict FROM raw"""
+
+
+@query("E11 E17 E13 S07", with_parts(RELU_SQL.format(p="pr", n="nr"), "orig cg", **score_parts(1)))
+def relu_coherence(spark, sf):
+    return rounded(H.score_counts(counts(spark, sf), panel(spark, sf)))
+
+
+@query("E11 S07", with_parts(RELU_SQL.format(p="ph", n="nh"), "orig cg", **score_parts(1)))
+def relu_coherence_hard(spark, sf):
+    return rounded(H.score_counts(counts(spark, sf), panel(spark, sf), relu_mode="hard"))
+
+
+SUMMARY_CTE = """, sc AS (SELECT cell_id, CASE WHEN np > 0 THEN pr / np END AS ps, CASE WHEN np > 0 THEN nr / np END AS cs, CASE WHEN np > 0 THEN pr + nr END AS ss,
+ CASE WHEN np > 0 AND pr + nr > 1e-8 THEN pr / (pr + nr) END AS rp, CASE WHEN np > 0 AND pr + nr > 1e-8 THEN nr / (pr + nr) END AS rc FROM raw)"""
+
+
+@query("E18", with_parts(SUMMARY_CTE + """
+SELECT round(median(ps), 6) AS median_purity_score, round(median(cs), 6) AS median_conflict_score, round(median(ss), 6) AS median_signal_strength,
+ round(median(rp), 6) AS median_relative_purity, round(median(rc), 6) AS median_relative_conflict,
+ round(avg(CASE WHEN rc > 0.4 THEN 1.0 ELSE 0 END), 6) AS fraction_high_conflict_cells, round(avg(CASE WHEN rp < 0.4 THEN 1.0 ELSE 0 END), 6) AS fraction_low_purity_cells FROM sc""",
+                      "orig cg", **score_parts(1)))
+def coherence_summary(spark, sf):
+    return rounded(H.coherence_summary(H.score_counts(counts(spark, sf), panel(spark, sf))))
+
+
+@query("E19 S11 E15", with_parts(SUMMARY_CTE + """
+, t AS (SELECT cell_type, sc.* FROM sc JOIN cell_labels USING (cell_id))
+SELECT cell_type, count(*) AS n_entities_scored, round(median(ps), 6) AS cpmi_purity, round(median(cs), 6) AS cpmi_conflict, round(median(rp), 6) AS cpmi_relative_purity,
+ round(median(rc), 6) AS cpmi_relative_conflict, round(median(ps - cs), 6) + 0.0 AS cpmi_coherence, round(median(rp - rc), 6) + 0.0 AS cpmi_relative_coherence FROM t GROUP BY 1""",
+                          "orig cg cell_labels", **score_parts(1)))
+def coherence_by_type(spark, sf):
+    scores = H.score_counts(counts(spark, sf), panel(spark, sf))
+    cells = H.attach_scores(scores, cell_labels(spark, sf).select("cell_id", "cell_type")).where("cell_type IS NOT NULL")
+    return rounded(H.coherence_medians(cells, ["cell_type"]))
+
+
+@query("E12 E21", with_parts("""
+, p0 AS (SELECT cell_id AS c, feature_name AS g FROM cg), t0 AS (SELECT count(DISTINCT c) AS n FROM p0), m0 AS (SELECT g, count(*) AS k FROM p0 GROUP BY 1),
+k0 AS (SELECT a.g AS gi, b.g AS gj, count(*) AS k FROM p0 a JOIN p0 b ON a.c = b.c AND a.g < b.g GROUP BY 1, 2),
+v0 AS (SELECT gi, gj, ln((k0.k / n) / ((a.k / n) * (b.k / n))) / -ln(k0.k / n) AS v FROM k0 JOIN m0 a ON gi = a.g JOIN m0 b ON gj = b.g, t0),
+e AS (SELECT cell_id, sum(count) AS n, count(*) AS k FROM cg GROUP BY 1 HAVING sum(count) >= 10 AND count(*) >= 2)
+SELECT a.c AS cell_id, round(sum(greatest(v, 0)) / (any_value(k) * (any_value(k) - 1) / 2), 6) AS purity, round(sum(greatest(-v, 0)) / (any_value(k) * (any_value(k) - 1) / 2), 6) AS conflict,
+ any_value(k) AS n_genes, CAST(any_value(e.n) AS BIGINT) AS n_transcripts FROM p0 a JOIN p0 b ON a.c = b.c AND a.g < b.g JOIN v0 ON gi = a.g AND gj = b.g JOIN e ON e.cell_id = a.c GROUP BY 1""", "cg"))
+def fallback_purity(spark, sf):
+    return rounded(H.purity_mean(counts(spark, sf)))
+
+
+@query("E21", None)
+def fallback_purity_summary(spark, sf):
+    return rounded(H.npmi_summary(H.purity_mean(counts(spark, sf))))
+
+
+@query("E20", with_parts("""
+, pur AS (SELECT cell_id, feature_name, CASE WHEN CAST(substr(feature_name, 5) AS INTEGER) % 3 = 0 THEN count * 0.5
+  WHEN CAST(substr(feature_name, 5) AS INTEGER) % 7 = 0 THEN count + 1.0 ELSE count * 1.0 END AS c FROM og WHERE CAST(substr(feature_name, 5) AS INTEGER) % 10 <> 9
+  AND cell_id IN (SELECT cell_id FROM cell_labels WHERE cell_type <> 'BUILDING')),
+mt AS (SELECT 'before' AS st, cell_id, feature_name AS g FROM og UNION ALL SELECT 'after', cell_id, feature_name FROM pur WHERE round_even(c, 0) <> 0),
+mv AS (SELECT * FROM mt WHERE g IN (SELECT gi FROM pairs UNION SELECT gj FROM pairs)),
+r AS (SELECT a.st, a.cell_id, sum(greatest(npmi - 0.05, 0)) AS p, sum(greatest(-npmi - 0.05, 0)) AS n FROM mv a JOIN mv b ON a.st = b.st AND a.cell_id = b.cell_id AND a.g < b.g
+  JOIN pairs ON gi = a.g AND gj = b.g GROUP BY 1, 2),
+m AS (SELECT st, median(CASE WHEN p + n > 1e-8 THEN p / (p + n) END) AS rp, median(CASE WHEN p + n > 1e-8 THEN n / (p + n) END) AS rc FROM r GROUP BY 1)
+SELECT round(b.rp, 6) AS cpmi_relative_purity_before, round(a.rp, 6) AS cpmi_relative_purity_after, round(a.rp - b.rp, 6) + 0.0 AS cpmi_relative_purity_delta,
+ round(b.rc, 6) AS cpmi_relative_conflict_before, round(a.rc, 6) AS cpmi_relative_conflict_after, round(a.rc - b.rc, 6) + 0.0 AS cpmi_relative_conflict_delta
+FROM m a, m b WHERE a.st = 'after' AND b.st = 'before'""", "orig og cell_labels", **NPMI_PARTS))
+def purity_before_after(spark, sf):
+    original, purified = count_pair(spark, sf)
+    return rounded(H.before_after_purity(original, purified, panel(spark, sf)))
+
+
+# --- coexpression -----------------------------------------------------------
+
+@query("E22 E23 E29", None)
+def thinned_counts(spark, sf):
+    c = counts(spark, sf)
+    keep = CX.eligible_entities(c, 30, 10)
+    return CX.thin_counts(c.join(keep, "cell_id", "left_semi"), 30, seed=5)
+
+
+@query("E22", None)
+def thinned_without_replacement(spark, sf):
+    return CX.thin_counts(counts(spark, sf), 10, seed=5, replace=False)
+
+
+@query("E23", with_parts("""
+, d AS (SELECT cell_id, sum(count) AS n FROM cg GROUP BY 1)
+SELECT cell_id FROM d WHERE n >= 55 AND (SELECT count(*) FROM d WHERE n >= 55) >= 200
+UNION ALL SELECT cell_id FROM (SELECT cell_id FROM d WHERE (SELECT count(*) FROM d WHERE n >= 55) < 200 ORDER BY n DESC, cell_id LIMIT 200)""", "cg"))
+def eligible_entities(spark, sf):
+    return CX.eligible_entities(counts(spark, sf), 55, 200)
+
+
+POS_PARTS = {
+    "ent": "SELECT count(DISTINCT cell_id) AS n FROM cg",
+    "pos": "SELECT cell_id AS c, feature_name AS g FROM cg WHERE count >= 2",
+    "pk": "SELECT g, count(*) AS k FROM pos GROUP BY 1",
+    "pj": "SELECT a.g AS gi, b.g AS gj, count(*) AS k FROM pos a JOIN pos b ON a.c = b.c GROUP BY 1, 2",
+}
+
+
+def positive(spark, sf):
+    c = counts(spark, sf)
+    return CX.positivity(c, c.agg(F.countDistinct("cell_id")).scalar(), 2)
+
+
+@query("E24", with_parts("""
+SELECT feature_name, round(count(*) FILTER (count >= 2) / any_value(n), 6) AS rate FROM cg, ent GROUP BY 1""", "cg", **POS_PARTS))
+def positivity_rate(spark, sf):
+    return rounded(positive(spark, sf)[1])
+
+
+@query("E25", with_parts("SELECT gi AS gene_i, gj AS gene_j, round(pj.k / pk.k, 6) AS value FROM pj JOIN pk ON pj.gj = pk.g", "cg", **POS_PARTS))
+def conditional_coexpression(spark, sf):
+    return rounded(CX.conditional_coexpression(positive(spark, sf)[0]))
+
+
+@query("E26", with_parts("""
+SELECT gi AS gene_i, gj AS gene_j, round(pj.k / (a.k + b.k - pj.k), 6) AS value FROM pj JOIN pk a ON pj.gi = a.g JOIN pk b ON pj.gj = b.g""", "cg", **POS_PARTS))
+def jaccard_coexpression(spark, sf):
+    return rounded(CX.jaccard_coexpression(positive(spark, sf)[0]))
+
+
+@query("E27", with_parts("""
+, cells AS (SELECT DISTINCT cell_id FROM cg), genes AS (SELECT DISTINCT feature_name AS g FROM cg),
+dense AS (SELECT cells.cell_id, g, coalesce(count, 0) AS v FROM cells CROSS JOIN genes LEFT JOIN cg ON cg.cell_id = cells.cell_id AND cg.feature_name = g)
+SELECT a.g AS gene_i, b.g AS gene_j, round(corr(a.v, b.v), 6) + 0.0 AS value FROM dense a JOIN dense b ON a.cell_id = b.cell_id AND a.g < b.g GROUP BY 1, 2""", "cg"))
+def pearson_coexpression(spark, sf):
+    c = counts(spark, sf)
+    return rounded(CX.pearson_coexpression(c, c.agg(F.countDistinct("cell_id")).scalar()))
+
+
+@query("E28", with_parts("""
+, cells AS (SELECT DISTINCT cell_id FROM cg), genes AS (SELECT DISTINCT feature_name AS g FROM cg),
+dense AS (SELECT cells.cell_id, g, coalesce(count, 0) AS v FROM cells CROSS JOIN genes LEFT JOIN cg ON cg.cell_id = cells.cell_id AND cg.feature_name = g),
+ranked AS (SELECT cell_id, g, rank() OVER (PARTITION BY g ORDER BY v) + (count(*) OVER (PARTITION BY g, v) - 1) / 2.0 AS v FROM dense)
+SELECT a.g AS gene_i, b.g AS gene_j, round(corr(a.v, b.v), 6) + 0.0 AS value FROM ranked a JOIN ranked b ON a.cell_id = b.cell_id AND a.g < b.g GROUP BY 1, 2""", "cg"))
+def spearman_coexpression(spark, sf):
+    c = counts(spark, sf)
+    return rounded(CX.spearman_coexpression(c, c.agg(F.countDistinct("cell_id")).scalar()))
+
+
+@query("E29", with_parts("""
+SELECT gi AS gene_i, gj AS gene_j, round(pj.k / pk.k, 6) AS value FROM pj JOIN pk ON pj.gj = pk.g""", "cg", **POS_PARTS))
+def coexpression_without_thinning(spark, sf):
+    return rounded(CX.coexpression(counts(spark, sf), "conditional", target=None, cutoff=2)[0])
+
+
+RATIO_PARTS = {
+    "ca": "SELECT cell_id AS c, feature_name AS g FROM assigned WHERE method = 'method_a' GROUP BY 1, 2",
+    "cb": "SELECT cell_id AS c, feature_name AS g FROM assigned WHERE method = 'method_b' GROUP BY 1, 2",
+    "ra": "SELECT g, count(*) / (SELECT count(DISTINCT c) FROM ca) AS r, count(*) AS k FROM ca GROUP BY 1",
+    "rb": "SELECT g, count(*) / (SELECT count(DISTINCT c) FROM cb) AS r, count(*) AS k FROM cb GROUP BY 1",
+    "va": "SELECT x.g AS gi, y.g AS gj, count(*) / any_value(ra.k) AS v FROM ca x JOIN ca y ON x.c = y.c JOIN ra ON ra.g = y.g GROUP BY 1, 2",
+    "vb": "SELECT x.g AS gi, y.g AS gj, count(*) / any_value(rb.k) AS v FROM cb x JOIN cb y ON x.c = y.c JOIN rb ON rb.g = y.g GROUP BY 1, 2",
+    "rare": "SELECT coalesce(ra.g, rb.g) AS g, coalesce(ra.r, 0) < 0.11 OR coalesce(rb.r, 0) < 0.11 AS rare FROM ra FULL JOIN rb ON ra.g = rb.g",
+    "ratios": """SELECT coalesce(va.gi, vb.gi) AS gi, coalesce(va.gj, vb.gj) AS gj, CASE WHEN i.rare AND j.rare THEN 0.0 WHEN va.v <> 0 AND vb.v > 0 THEN log2(vb.v / va.v) END AS r
+      FROM va FULL JOIN vb ON va.gi = vb.gi AND va.gj = vb.gj JOIN rare i ON i.g = coalesce(va.gi, vb.gi) JOIN rare j ON j.g = coalesce(va.gj, vb.gj)""",
+}
+
+
+def method_ratio(spark, sf):
+    m = molecules(spark, sf)
+    part = {k: CX.coexpression(A.cell_gene_counts(m.where(f"method = '{k}'")), "conditional", target=None)
+            for k in ("method_a", "method_b")}
+    return CX.censored_ratio(part["method_a"][0], part["method_b"][0], part["method_a"][1], part["method_b"][1], 0.11)
+
+
+@query("E30", with_parts("SELECT gi AS gene_i, gj AS gene_j, round(r, 6) + 0.0 AS ratio FROM ratios", "assigned", **RATIO_PARTS))
+def censored_ratio(spark, sf):
+    return rounded(method_ratio(spark, sf))
+
+
+@query("E31", with_parts("SELECT gi AS gene_i, gj AS gene_j, round(r, 6) + 0.0 AS ratio FROM ratios WHERE r >= log2(1.5)", "assigned", **RATIO_PARTS))
+def spurious_pairs(spark, sf):
+    return rounded(CX.spurious_pairs(method_ratio(spark, sf), 1.5, "conditional"))
