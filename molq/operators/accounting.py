@@ -12,8 +12,6 @@ from molq.functions.ordering import quantiles
 from molq.functions.tokens import (ASSIGNED_IN_METRICS, ASSIGNED_IN_STATS, CONTROL_PREFIXES,
                                    UNASSIGNED)
 
-ONE = F.lit(1)
-
 
 def median_of(value) -> Column:
     """Exact median of an integer size column. ``percentile`` keeps one counter per distinct
@@ -37,7 +35,7 @@ def transcript_accounting(df: DataFrame, by: Sequence[str] = (), cell_col: str =
                           n_input: int | None = None) -> DataFrame:
     """total / assigned / unassigned / fraction / delta against the input size."""
     assigned = F.col(cell_col) != UNASSIGNED
-    out = grouped(df, by, F.count(ONE).alias("n_total"), F.count_if(assigned).alias("n_assigned"))
+    out = grouped(df, by, F.count(F.lit(1)).alias("n_total"), F.count_if(assigned).alias("n_assigned"))
     return out.withColumns({
         "n_unassigned": F.col("n_total") - F.col("n_assigned"),
         "frac_assigned": X.safe_div("n_assigned", "n_total"),
@@ -48,14 +46,14 @@ def transcript_accounting(df: DataFrame, by: Sequence[str] = (), cell_col: str =
 def entity_sizes(df: DataFrame, by: Sequence[str] = (), cell_col: str = "cell_id",
                  name: str = "n_transcripts") -> DataFrame:
     return (df.where(F.col(cell_col) != UNASSIGNED).groupBy(*by, cell_col)
-            .agg(F.count(ONE).alias(name)))
+            .agg(F.count(F.lit(1)).alias(name)))
 
 
 def entity_accounting(df: DataFrame, by: Sequence[str] = (), cell_col: str = "cell_id",
                       gene_col: str = "feature_name") -> DataFrame:
     """Distinct entities, distinct features (all molecules) and the median entity size."""
     genes = grouped(df.select(*by, gene_col).distinct(), by, F.count(gene_col).alias("n_genes"))
-    sizes = grouped(entity_sizes(df, by, cell_col), by, F.count(ONE).alias("n_entities"),
+    sizes = grouped(entity_sizes(df, by, cell_col), by, F.count(F.lit(1)).alias("n_entities"),
                     median_of("n_transcripts").alias("median_transcripts_per_entity"))
     if by:
         out = genes.join(sizes, list(by), "left")
@@ -95,7 +93,7 @@ def entity_class_accounting(df: DataFrame, by: Sequence[str] = (), id_col: str =
 def class_transcript_accounting(df: DataFrame, by: Sequence[str] = (), etype_col: str = "etype",
                                 classes: Sequence[str] = ASSIGNED_IN_STATS) -> DataFrame:
     flag = F.coalesce(F.col(etype_col).isin(*classes), F.lit(False))
-    out = grouped(df, by, F.count(ONE).alias("n_total"), F.count_if(flag).alias("n_assigned"))
+    out = grouped(df, by, F.count(F.lit(1)).alias("n_total"), F.count_if(flag).alias("n_assigned"))
     return out.withColumns({"n_unassigned": F.col("n_total") - F.col("n_assigned"),
                             "frac_assigned": X.safe_div("n_assigned", "n_total")})
 
@@ -163,7 +161,7 @@ def assignment_pre_post(df: DataFrame, post_col: str = "cell_id",
     that carries both assignments."""
     post = assigned_flag(df, post_col, preset, etype_col, ASSIGNED_IN_METRICS)
     pre = ~X.is_unassigned(pre_col, preset)
-    row = grouped(df, by, F.count(ONE).alias("n"), F.count_if(post).alias("a_post"),
+    row = grouped(df, by, F.count(F.lit(1)).alias("n"), F.count_if(post).alias("a_post"),
                   F.count_if(pre).alias("a_pre"))
     n, a, b = F.col("n"), F.col("a_post"), F.col("a_pre")
     share = lambda c: c / F.greatest(n, F.lit(1))
@@ -180,7 +178,7 @@ def kept_entities(df: DataFrame, min_tx: int, max_tx: int, cell_col: str = "cell
                   preset="metric", bounds: str = "closed", by: Sequence[str] = ()) -> DataFrame:
     """Entities whose size lies in the band; a table, never a driver-side set."""
     return (df.where(~X.is_unassigned(cell_col, preset)).groupBy(*by, cell_col)
-            .agg(F.count(ONE).alias("n_transcripts"))
+            .agg(F.count(F.lit(1)).alias("n_transcripts"))
             .where(X.within("n_transcripts", min_tx, max_tx, bounds)))
 
 
@@ -190,7 +188,7 @@ def cell_counts(df: DataFrame, min_tx: int, max_tx: int, cell_col: str = "cell_i
     """Entities before and after the size filter, with class counts and medians.
 
     The class of an entity is that of its first molecule in ``order_col``."""
-    aggs = [F.count(ONE).alias("n")]
+    aggs = [F.count(F.lit(1)).alias("n")]
     has_class = bool(etype_col) and etype_col in df.columns
     if has_class:
         aggs.append((F.min_by(etype_col, order_col) if order_col else F.first(etype_col))
@@ -200,7 +198,7 @@ def cell_counts(df: DataFrame, min_tx: int, max_tx: int, cell_col: str = "cell_i
     of_class = lambda k: (F.count_if(F.col("kind") == k) if has_class
                           else F.lit(None).cast("long"))
     row = per.agg(
-        F.count(ONE).alias("n_total_entities_pre_filter"),
+        F.count(F.lit(1)).alias("n_total_entities_pre_filter"),
         F.count_if(ok).alias("n_total_entities_post_filter"),
         of_class("cell").alias("n_cells"), of_class("partial").alias("n_partials"),
         of_class("component").alias("n_components"),
@@ -222,7 +220,7 @@ def cell_gene_counts(df: DataFrame, cell_col: str = "cell_id", by: Sequence[str]
     if keep is not None:
         sub = sub.join(keep.select(cell_col).distinct(), cell_col, "left_semi")
     return (sub.groupBy(*by, F.col(cell_col).alias("cell_id"), "feature_name")
-            .agg(F.count(ONE).alias("count")))
+            .agg(F.count(F.lit(1)).alias("count")))
 
 
 def derive_cells(df: DataFrame, cell_col: str = "cell_id", by: Sequence[str] = ()) -> DataFrame:
@@ -230,11 +228,11 @@ def derive_cells(df: DataFrame, cell_col: str = "cell_id", by: Sequence[str] = (
     distinct count needs no expansion of the molecule rows."""
     per_gene = (df.where(~X.is_unassigned(cell_col)).groupBy(
         *by, F.col(cell_col).alias("cell_id"), "feature_name")
-        .agg(F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.count(ONE).alias("n")))
+        .agg(F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.count(F.lit(1)).alias("n")))
     n = F.sum("n")
     return per_gene.groupBy(*by, "cell_id").agg(
         (F.sum("sx") / n).alias("centroid_x"), (F.sum("sy") / n).alias("centroid_y"),
-        n.alias("n_transcripts"), F.count(ONE).alias("n_genes"))
+        n.alias("n_transcripts"), F.count(F.lit(1)).alias("n_genes"))
 
 
 def bundle_cells(df: DataFrame, cell_col: str = "cell_id", min_side: float = 0.5) -> DataFrame:
@@ -243,7 +241,7 @@ def bundle_cells(df: DataFrame, cell_col: str = "cell_id", min_side: float = 0.5
     side = lambda c: F.greatest(F.max(c) - F.min(c), F.lit(min_side))
     return (df.where(~X.is_unassigned(cell_col)).groupBy(F.col(cell_col).alias("cell_id")).agg(
         F.avg("x").alias("x_centroid"), F.avg("y").alias("y_centroid"),
-        F.count(ONE).alias("transcript_counts"),
+        F.count(F.lit(1)).alias("transcript_counts"),
         F.sum(F.col("overlaps_nucleus").cast("long")).alias("nucleus_counts"),
         (side("x") * side("y")).alias("cell_area")))
 
@@ -251,7 +249,7 @@ def bundle_cells(df: DataFrame, cell_col: str = "cell_id", min_side: float = 0.5
 def merge_cells_counts(cells: DataFrame, df: DataFrame, cell_col: str = "cell_id") -> DataFrame:
     """Vendor cell rows with recomputed counts; an entity without molecules gets zeros."""
     counts = (cell_gene_counts(df, cell_col, preset="core").groupBy("cell_id")
-              .agg(F.sum("count").alias("n_transcripts"), F.count(ONE).alias("n_genes")))
+              .agg(F.sum("count").alias("n_transcripts"), F.count(F.lit(1)).alias("n_genes")))
     zero = F.lit(0).cast("long")
     return (cells.drop("n_transcripts", "n_genes").join(counts, "cell_id", "left")
             .withColumns({c: F.coalesce(c, zero) for c in ("n_transcripts", "n_genes")}))
@@ -272,7 +270,7 @@ def cell_qc(counts: DataFrame, mito_prefix: str = "MT-", by: Sequence[str] = ())
 def cell_qc_summary(qc: DataFrame) -> DataFrame:
     mito = quantiles(qc, "pct_mito", {"m": 0.5})
     return qc.agg(
-        F.count(ONE).alias("n_cells_filtered"),
+        F.count(F.lit(1)).alias("n_cells_filtered"),
         median_of("n_transcripts").alias("median_transcripts_per_cell"),
         median_of("n_genes_detected").alias("median_genes_per_cell"),
         F.avg("n_transcripts").alias("mean_transcripts_per_cell"),
@@ -283,12 +281,12 @@ def cell_qc_summary(qc: DataFrame) -> DataFrame:
 def matrix_stats(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     per = counts.groupBy(*by, "cell_id").agg(F.sum("count").alias("n"),
                                              F.count_if(F.col("count") > 0).alias("g"))
-    cells = grouped(per, by, F.count(ONE).alias("n_cells"),
+    cells = grouped(per, by, F.count(F.lit(1)).alias("n_cells"),
                     median_of("n").alias("median_counts_per_cell"),
                     median_of("g").alias("median_genes_per_cell"),
                     F.sum("n").alias("total_counts"))
     genes = grouped(counts.select(*by, "feature_name").distinct(), by,
-                    F.count(ONE).alias("n_genes"))
+                    F.count(F.lit(1)).alias("n_genes"))
     if by:
         return cells.join(genes, list(by))
     return cells.withColumn("n_genes", genes.select("n_genes").scalar())
@@ -296,11 +294,11 @@ def matrix_stats(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def basic_stats(df: DataFrame, by: Sequence[str] = ("method",), cell_col="cell_id") -> DataFrame:
     """Retention fraction and per-entity medians."""
-    tx = grouped(df, by, F.count(ONE).alias("n_transcripts"),
+    tx = grouped(df, by, F.count(F.lit(1)).alias("n_transcripts"),
                  F.count_if(~X.is_unassigned(cell_col)).alias("n_assigned"))
     per = cell_gene_counts(df, cell_col, by, "core").groupBy(*by, "cell_id").agg(
-        F.sum("count").alias("n"), F.count(ONE).alias("g"))
-    cells = grouped(per, by, F.count(ONE).alias("n_cells"),
+        F.sum("count").alias("n"), F.count(F.lit(1)).alias("g"))
+    cells = grouped(per, by, F.count(F.lit(1)).alias("n_cells"),
                     median_of("n").alias("median_transcripts_per_cell"),
                     median_of("g").alias("median_genes_per_cell"))
     return (tx.join(cells, list(by), "left")
@@ -319,7 +317,7 @@ def gene_unassigned(df: DataFrame, by: Sequence[str] = (), cell_col: str = "cell
                     preset="figure", prefixes: Sequence[str] = CONTROL_PREFIXES) -> DataFrame:
     """Per feature: total molecules and the share left unassigned."""
     return (df.where(~X.is_control("feature_name", prefixes)).groupBy(*by, "feature_name").agg(
-        F.count(ONE).alias("total_count"),
+        F.count(F.lit(1)).alias("total_count"),
         F.count_if(X.is_unassigned(cell_col, preset)).alias("n_affected"))
         .withColumn("fraction_affected", F.col("n_affected")
                     / F.greatest("total_count", F.lit(1))))
@@ -384,7 +382,7 @@ def pruning_summary(original: DataFrame, purified: DataFrame, n_unassigned: Colu
         .alias("total_negative_magnitude_before_clamping"))
     count_of = lambda df, c: df.agg(F.countDistinct(c)).scalar()
     shared = lambda c: (original.select(c).intersect(purified.select(c))
-                        .agg(F.count(ONE)).scalar())
+                        .agg(F.count(F.lit(1))).scalar())
     lost = n_unassigned if isinstance(n_unassigned, Column) else F.lit(n_unassigned)
     return totals.withColumns({
         "original_unassigned_count": lost.cast("long"),
@@ -406,7 +404,7 @@ def frequency(df: DataFrame, key: str, by: Sequence[str] = (), count_name: str =
     part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     rows = df if restrict is None else df.where(restrict)
     return (rows.where(F.col(key).isNotNull()).groupBy(*by, key)
-            .agg(F.count(ONE).alias(count_name))
+            .agg(F.count(F.lit(1)).alias(count_name))
             .withColumn("fraction", F.col(count_name) / F.sum(count_name).over(part)))
 
 
@@ -418,7 +416,7 @@ def class_info_summary(cells: DataFrame, class_col: str = "spot_class",
                        depth_col: str = "n_transcripts", by: Sequence[str] = ()) -> DataFrame:
     """Counts and shares per spot class (unannotated = NULL class) and depth statistics."""
     c = F.col(class_col)
-    n = F.count(ONE)
+    n = F.count(F.lit(1))
     counts = {f"n_{k}": F.count_if(c == k) for k in SPOT_CLASSES}
     counts["n_unannotated"] = F.count_if(c.isNull())
     return grouped(cells, by, n.alias("n_cells"), *[v.alias(k) for k, v in counts.items()],
@@ -440,7 +438,7 @@ def abundant_types(profiles: DataFrame, min_n: int, type_col: str = "cell_type",
                    n_methods: int | None = None) -> DataFrame:
     """Types with at least min_n profiles in at least half of the methods."""
     per = profiles.where(F.col(type_col).isNotNull()).groupBy(type_col, "method").agg(
-        F.count(ONE).alias("n"))
+        F.count(F.lit(1)).alias("n"))
     methods = (F.lit(n_methods) if n_methods is not None
                else profiles.agg(F.countDistinct("method")).scalar())
     return (per.groupBy(type_col).agg(F.count_if(F.col("n") >= min_n).alias("n_methods"))
@@ -471,7 +469,7 @@ def per_cell_medians(cells: DataFrame, restrict: DataFrame | None = None) -> Dat
     rows = cells if restrict is None else cells.join(
         restrict.select("cell_id").distinct(), "cell_id", "left_semi")
     share = lambda k: F.avg((F.col("spot_class") == k).cast("double")).alias(f"frac_{k}")
-    counts = rows.groupBy("method").agg(F.count(ONE).alias("n_cells_scored"),
+    counts = rows.groupBy("method").agg(F.count(F.lit(1)).alias("n_cells_scored"),
                                         share("singlet"), share("reject"))
     return counts.join(_medians(rows, ("entropy", "max_weight"), ("method",)), "method", "left")
 
@@ -488,7 +486,7 @@ def stratify_entities(scores: DataFrame, classes: DataFrame, value_cols: Sequenc
     stratum = (F.when(F.col(etype_col) == "cell", "whole")
                .when(F.col(etype_col) == "partial", "partial").otherwise("other"))
     rows = scores.join(classes, id_col, "left").withColumn("stratum", stratum)
-    n = rows.groupBy("stratum").agg(F.count(ONE).alias("n_entities"))
+    n = rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("n_entities"))
     return n.join(_medians(rows, value_cols, ("stratum",)), "stratum", "left")
 
 
@@ -496,7 +494,7 @@ def size_distribution(df: DataFrame, low: int = 10, high: int = 900, bounds: str
                       by: Sequence[str] = ("method",)) -> DataFrame:
     """Entities and in-range entities per method."""
     return entity_sizes(df, by).groupBy(*by).agg(
-        F.count(ONE).alias("n_entities"),
+        F.count(F.lit(1)).alias("n_entities"),
         F.count_if(X.within("n_transcripts", low, high, bounds)).alias("n_in_range"),
         median_of("n_transcripts").alias("median_size"))
 
@@ -541,7 +539,7 @@ def describe_disjointness(obs: DataFrame, split_col: str, heldout_value: str,
 
 def common_celltypes(obs: DataFrame, min_cells: int = 50, label_col="cell_type") -> DataFrame:
     return (obs.where(F.col(label_col).isNotNull()).groupBy(F.col(label_col).alias("cell_type"))
-            .agg(F.count(ONE).alias("n_cells"))
+            .agg(F.count(F.lit(1)).alias("n_cells"))
             .withColumn("kept", F.col("n_cells") >= min_cells))
 
 
@@ -549,10 +547,10 @@ def regime_medians(cells: DataFrame, value: str, rare_below: int, common_from: i
                    type_col: str = "cell_type") -> DataFrame:
     """Medians per method under three regimes: all types, without rare ones, and only the types
     that are common for every method."""
-    per = cells.groupBy("method", type_col).agg(F.count(ONE).alias("n"))
+    per = cells.groupBy("method", type_col).agg(F.count(F.lit(1)).alias("n"))
     n_methods = cells.agg(F.countDistinct("method")).scalar()
     shared = (per.where(F.col("n") >= common_from).groupBy(type_col)
-              .agg(F.count(ONE).alias("m")).where(F.col("m") == n_methods)
+              .agg(F.count(F.lit(1)).alias("m")).where(F.col("m") == n_methods)
               .select(type_col, F.lit(True).alias("shared")))
     # Type-level tables are tiny, so these joins broadcast by their measured size.
     rows = cells.join(per, ["method", type_col]).join(shared, type_col, "left")
@@ -588,13 +586,13 @@ def integrity_summary(df: DataFrame, value: str, low: float = 0.5,
 def entity_integrity(pixels: DataFrame) -> DataFrame:
     """(entity, pixel) rows collapse to one signal-weighted mean per entity."""
     return pixels.groupBy("cell_id").agg(
-        F.count(ONE).alias("n_pixels"), F.sum("signal").alias("signal_total"),
+        F.count(F.lit(1)).alias("n_pixels"), F.sum("signal").alias("signal_total"),
         X.safe_div(F.sum(F.col("vsi") * F.col("signal")), F.sum("signal")).alias("vsi_weighted"))
 
 
 def class_mode(df: DataFrame, annotation: str, class_col: str) -> DataFrame:
     """Most frequent class per annotation; ties go to the first name."""
-    counts = df.groupBy(annotation, class_col).agg(F.count(ONE).alias("n"))
+    counts = df.groupBy(annotation, class_col).agg(F.count(F.lit(1)).alias("n"))
     from molq.functions.ordering import top_k_per_group
     return top_k_per_group(counts, [annotation], [F.desc("n"), F.asc(class_col)], 1).drop("rank")
 
@@ -602,7 +600,7 @@ def class_mode(df: DataFrame, annotation: str, class_col: str) -> DataFrame:
 def roi_receipt(df: DataFrame, by: Sequence[str] = ("roi_id",), preset="window") -> DataFrame:
     lost = X.is_unassigned("cell_id", preset)
     return df.groupBy(*by).agg(
-        F.count(ONE).alias("n_transcripts"), F.countDistinct("feature_name").alias("n_genes"),
+        F.count(F.lit(1)).alias("n_transcripts"), F.countDistinct("feature_name").alias("n_genes"),
         F.countDistinct(F.when(~lost, F.col("cell_id"))).alias("n_cells"),
         F.count_if(lost).alias("n_unassigned"))
 
@@ -610,7 +608,7 @@ def roi_receipt(df: DataFrame, by: Sequence[str] = ("roi_id",), preset="window")
 def gene_universe_audit(counts: DataFrame, panel_share: float = 1.0) -> DataFrame:
     """Per method: features measured, share of the union, and how missing ones are completed."""
     per = counts.select("method", "feature_name").distinct().groupBy("method").agg(
-        F.count(ONE).alias("n_genes"))
+        F.count(F.lit(1)).alias("n_genes"))
     union = counts.agg(F.countDistinct("feature_name")).scalar()
     full = F.col("share_of_union") >= panel_share
     return (per.withColumn("n_union", union)

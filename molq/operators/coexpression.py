@@ -10,8 +10,6 @@ from molq.functions import expr as X
 from molq.functions.ordering import average_ranks, top_k_per_group
 from molq.operators.cooccurrence import all_pairs, named_pairs, pair_cooccurrence
 
-ONE = F.lit(1)
-
 
 def thin_counts(counts: DataFrame, n: int, seed: int, replace: bool = True) -> DataFrame:
     """Down-sample each entity to exactly n molecules; seeded by hash, stable under retries.
@@ -22,10 +20,10 @@ def thin_counts(counts: DataFrame, n: int, seed: int, replace: bool = True) -> D
     if not replace:
         units = counts.where("count > 0").select(
             "cell_id", "feature_name",
-            F.explode(F.sequence(ONE.cast("long"), F.col("count").cast("long"))).alias("u"))
+            F.explode(F.sequence(F.lit(1).cast("long"), F.col("count").cast("long"))).alias("u"))
         key = F.xxhash64(F.lit(seed), "cell_id", "feature_name", "u")
         kept = top_k_per_group(units, ["cell_id"], [key, F.col("feature_name"), F.col("u")], n)
-        return kept.groupBy("cell_id", "feature_name").agg(F.count(ONE).alias("count"))
+        return kept.groupBy("cell_id", "feature_name").agg(F.count(F.lit(1)).alias("count"))
     # Per entity: feature intervals on [0, total) and n draw positions, merged in position order;
     # a draw belongs to the last interval opened before it. Rows per entity: features + n.
     by = Window.partitionBy("cell_id")
@@ -41,7 +39,7 @@ def thin_counts(counts: DataFrame, n: int, seed: int, replace: bool = True) -> D
         Window.unboundedPreceding, Window.currentRow)
     hit = F.last("feature_name", ignorenulls=True).over(upto)
     return (spans.unionByName(draws).withColumn("hit", hit).where(F.col("feature_name").isNull())
-            .groupBy("cell_id", F.col("hit").alias("feature_name")).agg(F.count(ONE).alias("count")))
+            .groupBy("cell_id", F.col("hit").alias("feature_name")).agg(F.count(F.lit(1)).alias("count")))
 
 
 def eligible_entities(counts: DataFrame, target: int, min_samples: int = 0) -> DataFrame:
@@ -70,7 +68,7 @@ def _both_directions(pairs: DataFrame, diagonal: DataFrame) -> DataFrame:
 
 
 def _marginal_pairs(pos: DataFrame) -> tuple[DataFrame, DataFrame]:
-    marg = pos.groupBy("feature_name").agg(F.count(ONE).alias("k"))
+    marg = pos.groupBy("feature_name").agg(F.count(F.lit(1)).alias("k"))
     diagonal = marg.select(F.col("feature_name").alias("gene_i"),
                            F.col("feature_name").alias("gene_j"), F.col("k").alias("k_ij"))
     return marg, _both_directions(pair_cooccurrence(pos), diagonal)

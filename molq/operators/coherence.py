@@ -14,8 +14,6 @@ from molq.functions.tokens import UNASSIGNED
 from molq.operators.cooccurrence import compute_npmi
 from molq.session import cut_lineage
 
-ONE = F.lit(1)
-
 
 def panel_vocabulary(panel: DataFrame) -> DataFrame:
     return panel.select(F.col("gene_i").alias("feature_name")).union(
@@ -48,7 +46,7 @@ def raw_pair_scores(matrix: DataFrame, panel: DataFrame, threshold: float = 0.05
     index = B.feature_index(panel_vocabulary(panel))
     rows = B.context_rows(pres, index)
     sums = B.pair_scores(rows, panel, index, threshold=threshold, tau=tau, relu_mode=relu_mode)
-    k = pres.groupBy("context").agg(F.count(ONE).alias("k"))
+    k = pres.groupBy("context").agg(F.count(F.lit(1)).alias("k"))
     parts = F.split("context", sep)
     names = [parts[i].alias(c) for i, c in enumerate(keys)] if by else [F.col("context").alias("cell_id")]
     zero = F.lit(0.0)
@@ -133,7 +131,7 @@ def purity_mean(counts: DataFrame, min_molecules: int = 10) -> DataFrame:
         keep, "cell_id", "left_semi")
     raw = raw_pair_scores(matrix, panel, tau=0.0, threshold=0.0)
     # A feature that never pairs is outside the panel vocabulary but still makes zero pairs.
-    k = matrix.groupBy("cell_id").agg(F.count(ONE).alias("n_genes"))
+    k = matrix.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n_genes"))
     pairs = F.col("n_genes") * (F.col("n_genes") - 1) / 2
     zero = F.lit(0.0)
     return (k.where(F.col("n_genes") >= 2).join(keep, "cell_id")
@@ -157,9 +155,9 @@ def _with_medians(out: DataFrame, df: DataFrame, cols: Sequence[str],
                   by: Sequence[str]) -> DataFrame:
     from molq.operators.accounting import group_medians
     keys = list(by) or ["_all"]
-    rows = df if by else df.withColumn("_all", ONE)
+    rows = df if by else df.withColumn("_all", F.lit(1))
     med = group_medians(rows, cols, keys)
-    left = out if by else out.withColumn("_all", ONE)
+    left = out if by else out.withColumn("_all", F.lit(1))
     joined = left.join(med, keys, "left")
     return joined if by else joined.drop("_all")
 
@@ -182,7 +180,7 @@ def coherence_medians(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         cols["cpmi_relative_coherence"] = F.col("relative_purity") - F.col("relative_conflict")
     from molq.operators.accounting import group_medians, grouped
     rows = scores.select(*by, *[c.alias(n) for n, c in cols.items()])
-    base = grouped(rows, by, F.count(ONE).alias("n_entities_scored"))
+    base = grouped(rows, by, F.count(F.lit(1)).alias("n_entities_scored"))
     out = _with_medians(base, rows, list(cols), by)
     return out.withColumnsRenamed({f"median_{n}": n for n in cols})
 
@@ -206,5 +204,5 @@ def before_after_purity(original: DataFrame, purified: DataFrame, panel: DataFra
 def npmi_summary(scores: DataFrame) -> DataFrame:
     """Mean and median purity, conflict and size of the fallback scores."""
     cols = ("purity", "conflict", "n_transcripts", "n_genes")
-    out = scores.agg(F.count(ONE).alias("n_cells"), *[F.avg(c).alias(f"mean_{c}") for c in cols])
+    out = scores.agg(F.count(F.lit(1)).alias("n_cells"), *[F.avg(c).alias(f"mean_{c}") for c in cols])
     return _with_medians(out, scores, cols, ())

@@ -13,14 +13,12 @@ from molq.functions.ordering import quantiles
 from molq.functions.tokens import CONTEXT_SENTINELS, UNASSIGNED
 from molq.session import cut_lineage
 
-ONE = F.lit(1)
-
 
 def presence(df: DataFrame, context: str = "cell_id", min_occurrences: int = 2,
              feature: str = "feature_name", count_col: str | None = None) -> DataFrame:
     """(context, feature_name, n) with n >= min_occurrences. The group-by merges a mega-context
     map-side, so it reaches a reducer as one row per feature."""
-    n = F.count(ONE) if count_col is None else F.sum(count_col)
+    n = F.count(F.lit(1)) if count_col is None else F.sum(count_col)
     return (df.groupBy(F.col(context).cast("string").alias("context"),
                        F.col(feature).cast("string").alias("feature_name"))
             .agg(n.alias("n")).where(F.col("n") >= min_occurrences))
@@ -34,7 +32,7 @@ def require_rows(df: DataFrame, message: str) -> DataFrame:
 
 
 def marginals(pres: DataFrame) -> DataFrame:
-    return pres.groupBy("feature_name").agg(F.count(ONE).alias("k_i"))
+    return pres.groupBy("feature_name").agg(F.count(F.lit(1)).alias("k_i"))
 
 
 def context_count(pres: DataFrame) -> Column:
@@ -109,7 +107,7 @@ def compute_npmi(pres: DataFrame, dense: bool = False, set_neg_one: bool = False
 
 def size_band(df: DataFrame, context: str, low_pct: float, high_pct: float) -> DataFrame:
     """Contexts whose size lies between two percentiles of all sizes (inclusive)."""
-    sizes = df.groupBy(context).agg(F.count(ONE).alias("n"))
+    sizes = df.groupBy(context).agg(F.count(F.lit(1)).alias("n"))
     # Sizes are integers with few distinct values, so the exact percentile is bounded.
     band = sizes.agg(F.percentile("n", F.array(F.lit(low_pct / 100), F.lit(high_pct / 100)))
                      .alias("b"))
@@ -151,9 +149,9 @@ def prefilter_counts(df: DataFrame, context: str = "cell_id", nuclear_only: bool
     listed = ctx.isin(*exclude)
     nuclear = X.truthy(nucleus_col) if nuclear_only else F.lit(True)
     kept = bootstrap_prefilter(df, context, nuclear_only, nucleus_col, percentile_band, exclude)
-    row = df.agg(F.count(ONE).alias("n_input_rows"), F.count_if(listed).alias("n_dropped_excluded"),
+    row = df.agg(F.count(F.lit(1)).alias("n_input_rows"), F.count_if(listed).alias("n_dropped_excluded"),
                  F.count_if(~listed & ~nuclear).alias("n_dropped_nuclear"))
-    row = row.withColumn("n_kept_rows", kept.agg(F.count(ONE)).scalar())
+    row = row.withColumn("n_kept_rows", kept.agg(F.count(F.lit(1))).scalar())
     return row.withColumn("n_dropped_percentile", F.col("n_input_rows") - F.col("n_dropped_excluded")
                           - F.col("n_dropped_nuclear") - F.col("n_kept_rows"))
 
@@ -162,7 +160,7 @@ def feature_size_bands(df: DataFrame, context: str, low_pct: float, high_pct: fl
                        min_occurrences: int = 2) -> DataFrame:
     """(feature_name, n_min, n_max): size percentiles of the contexts that express a feature."""
     sizes = df.groupBy(F.col(context).cast("string").alias("context")).agg(
-        F.count(ONE).alias("total_tx"))
+        F.count(F.lit(1)).alias("total_tx"))
     q = F.percentile("total_tx", F.array(F.lit(low_pct / 100), F.lit(high_pct / 100)))
     return (presence(df, context, min_occurrences).join(sizes, "context")
             .groupBy("feature_name").agg(q.alias("b"))
@@ -173,7 +171,7 @@ def admitted_presence(df: DataFrame, context: str, low_pct: float, high_pct: flo
                       min_occurrences: int = 2) -> DataFrame:
     """Presence masked by each feature's own size band."""
     sizes = df.groupBy(F.col(context).cast("string").alias("context")).agg(
-        F.count(ONE).alias("total_tx"))
+        F.count(F.lit(1)).alias("total_tx"))
     bands = feature_size_bands(df, context, low_pct, high_pct, min_occurrences)
     return (presence(df, context, min_occurrences).join(sizes, "context")
             .join(bands, "feature_name")
@@ -244,7 +242,7 @@ def replicate_intervals(samples: DataFrame, ci_level: float = 0.95) -> DataFrame
     low = (1.0 - ci_level) / 2.0
     q = F.percentile("value", F.array(F.lit(low), F.lit(0.5), F.lit(1.0 - low)))
     return samples.where(F.col("value").isNotNull()).groupBy("gene_i", "gene_j").agg(
-        q.alias("q"), F.count(ONE).cast("int").alias("n_bootstraps")).select(
+        q.alias("q"), F.count(F.lit(1)).cast("int").alias("n_bootstraps")).select(
         "gene_i", "gene_j", F.col("q")[1].alias("median"), F.col("q")[0].alias("ci_lo"),
         F.col("q")[2].alias("ci_hi"), "n_bootstraps")
 

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from molq.functions import expr as X
 
-ONE = F.lit(1)
-
 
 def with_row_index(df: DataFrame, order: Sequence[str], name: str = "row_idx") -> DataFrame:
     """A stored dense 0-based index. Rows are range-partitioned and sorted, then numbered by
@@ -33,10 +31,10 @@ def positional_join(df: DataFrame, source: DataFrame, index_col: str,
                     take: Mapping[str, str], base: int = 1, row_col: str = "row_idx") -> DataFrame:
     """Look rows up by position, only if the index is unique and in range; otherwise the
     columns stay absent in value (NULL), because a partial mapping would be wrong silently."""
-    n_source = source.agg(F.count(ONE)).scalar()
+    n_source = source.agg(F.count(F.lit(1))).scalar()
     pos = F.col(index_col).cast("string").try_cast("double").cast("long") - base
     # Two-step distinct: partial aggregation, then one row per index value.
-    per = df.select(pos.alias("p")).groupBy("p").agg(F.count(ONE).alias("n"))
+    per = df.select(pos.alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
     clean = per.agg(F.coalesce(
         (F.max("n") == 1) & (F.min("p") >= 0) & (F.max("p") < n_source)
         & (F.count_if(F.col("p").isNull()) == 0), F.lit(False))).scalar()
@@ -65,12 +63,12 @@ def verified_total_join(left: DataFrame, right: DataFrame, on: str, prior: str,
     """Report of a 1:1 total join. ``left``: on, delivered. ``right``: on, prior, prior_check,
     produced. Fails unless keys are unique and complete on both sides, the two priors agree,
     the delivered ids match the producer's output, and they are not already the prior."""
-    l = left.groupBy(on).agg(F.count(ONE).alias("_nl"), F.first(delivered).alias("_d"))
-    r = right.groupBy(on).agg(F.count(ONE).alias("_nr"), F.first(prior).alias("_p"),
+    l = left.groupBy(on).agg(F.count(F.lit(1)).alias("_nl"), F.first(delivered).alias("_d"))
+    r = right.groupBy(on).agg(F.count(F.lit(1)).alias("_nr"), F.first(prior).alias("_p"),
                               F.first(prior_check).alias("_q"), F.first(produced).alias("_o"))
     share = lambda cond: F.avg(F.coalesce(cond, F.lit(False)).cast("double"))
     report = l.join(r, on, "full").agg(
-        F.count(ONE).alias("n_molecules"),
+        F.count(F.lit(1)).alias("n_molecules"),
         F.count_if(F.col("_nl").isNull() | F.col("_nr").isNull()).alias("n_unmapped"),
         F.count_if((F.col("_nl") > 1) | (F.col("_nr") > 1)).alias("n_duplicated"),
         share(F.col("_p") == F.col("_q")).alias("agreement_with_prior"),
@@ -118,9 +116,9 @@ def panel_filter_statistics(panel: DataFrame, genes: DataFrame) -> DataFrame:
     """Edge and feature counts before and after, and measured features absent from the panel."""
     ends = lambda p: p.select("gene_i").union(p.select("gene_j")).distinct().toDF("feature_name")
     kept = panel_with_genes(panel, genes)
-    count = lambda df: df.agg(F.count(ONE)).scalar()
+    count = lambda df: df.agg(F.count(F.lit(1))).scalar()
     measured = genes.select("feature_name").distinct()
-    return panel.agg(F.count(ONE).alias("n_edges_in")).withColumns({
+    return panel.agg(F.count(F.lit(1)).alias("n_edges_in")).withColumns({
         "n_edges_kept": count(kept), "n_genes_in_panel": count(ends(panel)),
         "n_genes_kept": count(ends(kept)), "n_genes_measured": count(measured),
         "n_genes_measured_not_in_panel": count(
@@ -172,7 +170,7 @@ def matched_population(scored: DataFrame, methods: Sequence[str] | None = None)
     n = F.lit(len(methods)) if methods is not None else \
         scored.agg(F.countDistinct("method")).scalar()
     return (rows.select("cell_id", "method").distinct().groupBy("cell_id")
-            .agg(F.count(ONE).alias("m")).where(F.col("m") == n).select("cell_id"))
+            .agg(F.count(F.lit(1)).alias("m")).where(F.col("m") == n).select("cell_id"))
 
 
 def comparability(scored: DataFrame, vendor_ids: DataFrame, min_share: float = 0.5) -> DataFrame:
@@ -181,7 +179,7 @@ def comparability(scored: DataFrame, vendor_ids: DataFrame, min_share: float = 0
     share = F.avg(F.coalesce(F.col("_hit"), F.lit(0.0)))
     ids = scored.select("method", "cell_id").distinct()
     out = ids.join(ref, "cell_id", "left").groupBy("method").agg(
-        F.count(ONE).alias("n_ids"), share.alias("share_vendor_ids"))
+        F.count(F.lit(1)).alias("n_ids"), share.alias("share_vendor_ids"))
     return out.withColumns({
         "comparable": F.col("share_vendor_ids") >= min_share,
         "reason": F.when(F.col("share_vendor_ids") < min_share, F.format_string(
@@ -251,7 +249,7 @@ def typed_assignment_join(df: DataFrame, assignment: DataFrame, on: str = "trans
                           cell_col: str = "cell_id") -> DataFrame:
     """Join an assignment after casting both ids to string; a duplicate id fails the job."""
     one = assignment.groupBy(F.col(on).cast("string").alias(on)).agg(
-        F.count(ONE).alias("_n"), F.first(cell_col).alias(cell_col))
+        F.count(F.lit(1)).alias("_n"), F.first(cell_col).alias(cell_col))
     cell = F.when(F.col("_n") > 1, F.raise_error(F.lit("join would change the molecule count"))
                   .cast("string")).otherwise(F.col(cell_col))
     return (df.drop(cell_col).withColumn(on, F.col(on).cast("string")).join(one, on, "left")
