@@ -30,7 +30,7 @@ def normalize_unassigned(c, preset="core", extra: Sequence[str] = ()) -> Column:
 
 def finite(c) -> Column:
     """Undefined numbers (NaN, +-inf) become NULL."""
-    value = col(c).cast("double")
+    value = col(c).try_cast("double")
     return F.when(F.isnan(value) | (F.abs(value) == F.lit(float("inf"))), None).otherwise(value)
 
 

@@ -520,7 +520,7 @@ def cell_funnel(stages: DataFrame) -> DataFrame:
     return stages.select(
         "method", "stage", "n_cells",
         (F.lag("n_cells").over(w) - F.col("n_cells")).alias("lost_vs_previous"),
-        (F.col("n_cells") / F.first("n_cells").over(w)).alias("frac_of_first"))
+        X.safe_div("n_cells", F.first("n_cells").over(w)).alias("frac_of_first"))
 
 
 def describe_disjointness(obs: DataFrame, split_col: str, heldout_value: str,

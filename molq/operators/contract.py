@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from molq.functions import expr as X
 from molq.functions.tokens import (OPTIONAL_COLUMNS, REQUIRED_COLUMNS, UNASSIGNED, tokens)
@@ -42,8 +43,11 @@ def standardize_transcripts(df: DataFrame, method: str,
     if "z" in df.columns:
         cols["z"] = F.coalesce(_number(df, "z"), F.lit(0).cast("float"))
     if "overlaps_nucleus" in df.columns:
+        flag = F.col("overlaps_nucleus")
+        if isinstance(df.schema["overlaps_nucleus"].dataType, T.BooleanType):
+            flag = flag.cast("int")
         cols["overlaps_nucleus"] = F.coalesce(
-            F.col("overlaps_nucleus").cast("double"), F.lit(0.0)).cast("tinyint")
+            flag.cast("string").try_cast("double"), F.lit(0.0)).cast("tinyint")
     if "qv" in df.columns:
         cols["qv"] = _number(df, "qv")
     if "original_cell_id" in df.columns:
@@ -221,8 +225,8 @@ def adapt_molecule_csv(seg: DataFrame, source: DataFrame | None = None,
 
 def adapt_max_id(df: DataFrame, method: str = "max_id", id_col: str = "assignment") -> DataFrame:
     """The producer marks unassigned molecules with the largest integer id."""
-    top = df.agg(F.max(F.col(id_col).cast("long")).alias("top")).scalar()
-    cell = F.col(id_col).cast("long")
+    top = df.agg(F.max(F.col(id_col).try_cast("long")).alias("top")).scalar()
+    cell = F.col(id_col).try_cast("long")
     out = df.withColumn("cell_id_method", F.when(cell == top, UNASSIGNED)
                         .otherwise(cell.cast("string")))
     return out.drop(id_col).withColumns({"method": F.lit(method),

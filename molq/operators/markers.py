@@ -34,7 +34,7 @@ def rank_genes(counts: DataFrame, labels: DataFrame, n_top: int | None = 100,
         F.sum(F.pow("n", F.lit(3)) - F.col("n")).alias("t"), F.first("total").alias("total"))
     n = n_all.cast("double")
     ties = ties.withColumn("z0", n - F.col("total")).withColumn(
-        "correction", 1.0 - (F.col("t") + F.pow("z0", F.lit(3)) - F.col("z0")) / (F.pow(n, F.lit(3)) - n))
+        "correction", 1.0 - X.safe_div(F.col("t") + F.pow("z0", F.lit(3)) - F.col("z0"), F.pow(n, F.lit(3)) - n))
     placed = ranks.select("feature_name", "v", (z0 + F.col("rank")).alias("rank"))
     per = (hist.join(placed, ["feature_name", "v"]).groupBy("cell_type", "feature_name").agg(
         F.sum(F.col("rank") * F.col("w")).alias("r_pos"), F.sum("w").alias("m"),
@@ -47,9 +47,9 @@ def rank_genes(counts: DataFrame, labels: DataFrame, n_top: int | None = 100,
             .join(total_s, "feature_name").na.fill(0, ["r_pos", "m", "s"]))
     nt = F.col("n_cells").cast("double")
     r_sum = F.col("r_pos") + (nt - F.col("m")) * (F.col("z0") + 1) / 2.0
-    base = (r_sum - nt * (n + 1) / 2.0) / F.sqrt(nt * (n - nt) * (n + 1) / 12.0)
+    base = X.safe_div(r_sum - nt * (n + 1) / 2.0, F.sqrt(nt * (n - nt) * (n + 1) / 12.0))
     tied = F.when(F.col("correction") > 0, base / F.sqrt("correction"))
-    fc = (F.col("s") / nt - (F.col("s_all") - F.col("s")) / (n - nt)) / F.ln(F.lit(2.0))
+    fc = (F.col("s") / nt - X.safe_div(F.col("s_all") - F.col("s"), n - nt)) / F.ln(F.lit(2.0))
     out = full.select("cell_type", "feature_name", base.alias("z"), tied.alias("z_tie_corrected"),
                       fc.alias("log2fc"))
     key = "z_tie_corrected" if tie_correct else "z"
@@ -85,7 +85,7 @@ def marker_specificity(counts: DataFrame, labels: DataFrame, markers: DataFrame,
            .withColumn("n_cells_other", total - F.col("n_cells"))
            .where((F.col("n_cells") >= min_cells) & (F.col("n_cells_other") >= min_cells)))
     mean_in = F.col("s_in") / F.col("n_cells")
-    mean_out = (F.col("s_all") - F.col("s_in")) / F.col("n_cells_other")
+    mean_out = X.safe_div(F.col("s_all") - F.col("s_in"), "n_cells_other")
     diff = mean_in - mean_out
     return out.withColumns({
         "spatial_mean_in": mean_in, "spatial_mean_out": mean_out,

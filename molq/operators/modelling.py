@@ -79,7 +79,7 @@ def variable_features(values: DataFrame, n_cells, top: int = 2000, value: str =
     n = n_cells.cast("double")
     s = values.groupBy("feature_name").agg(F.sum(v).alias("s"), F.sum(v * v).alias("q"))
     mean = F.col("s") / n
-    var = (F.col("q") - n * mean * mean) / (n - 1)
+    var = X.safe_div(F.col("q") - n * mean * mean, n - 1)
     disp = s.select("feature_name", mean.alias("mean"), X.safe_div(var, mean).alias("dispersion"))
     # One row per feature reaches this window.
     w = Window.partitionBy(F.lit(0)).orderBy(F.desc_nulls_last("dispersion"), "feature_name")

@@ -143,14 +143,16 @@ def profile_pairs(query: DataFrame, reference: DataFrame, genes: DataFrame) -> D
     return q.join(r, ["cell_type", "feature_name"])
 
 
-def _not_constant(pairs: DataFrame) -> Column:
-    return (F.min("q") < F.max("q")) & (F.min("r") < F.max("r"))
+def _correlation() -> Column:
+    """Pearson of q and r; NULL when either is constant."""
+    varied = (F.min("q") < F.max("q")) & (F.min("r") < F.max("r"))
+    return F.when(varied, X.safe_div(F.covar_pop("q", "r"), F.stddev_pop("q") * F.stddev_pop("r")))
 
 
 def pearson_by_type(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("cell_type").agg(
         F.count(F.lit(1)).alias("n_genes_used"),
-        F.when(_not_constant(pairs), F.corr("q", "r")).alias("pearson_r"))
+        _correlation().alias("pearson_r"))
 
 
 def _tied_rank(c: str) -> Column:
@@ -163,7 +165,7 @@ def _tied_rank(c: str) -> Column:
 def spearman_by_type(pairs: DataFrame) -> DataFrame:
     ranked = pairs.select("cell_type", _tied_rank("q").alias("q"), _tied_rank("r").alias("r"))
     return ranked.groupBy("cell_type").agg(
-        F.when(_not_constant(ranked), F.corr("q", "r")).alias("spearman_rho"))
+        _correlation().alias("spearman_rho"))
 
 
 def kendall_tau_b(x: np.ndarray, y: np.ndarray, step: int = 512) -> float | None:

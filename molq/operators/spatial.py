@@ -6,7 +6,6 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import math
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,7 +73,7 @@ def grid_summary(grid: DataFrame, spec) -> DataFrame:
     area = F.col("occupied_bins") * b * b / 1e6
     return grid.agg(F.count(F.lit(1)).alias("occupied_bins"), F.sum("n").alias("n_transcripts")).withColumns({
         "total_bins": _value(spec, "nx") * _value(spec, "ny"), "occupied_area_mm2": area,
-        "density_per_mm2": F.col("n_transcripts") / area})
+        "density_per_mm2": X.safe_div("n_transcripts", area)})
 
 
 def block_reduce(grid: DataFrame, spec: DataFrame, k: int) -> DataFrame:
@@ -200,54 +199,58 @@ def spread_circles(df: DataFrame, factor: float = 1.5, low: float = 8.0, high: f
         "cell_id", "vertex_idx", "vertex_x", "vertex_y")
 
 
-def hull_indices(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Positions of the strict convex hull, counter-clockwise from the lowest x."""
-    order = np.lexsort((y, x))
+def convex_hull(points) -> list[tuple[float, float]]:
+    """Strict convex hull, counter-clockwise from the lowest x."""
+    order = sorted(set(points))
 
-    def chain(seq) -> list[int]:
-        out: list[int] = []
-        for i in seq:
+    def chain(seq) -> list[tuple[float, float]]:
+        out: list[tuple[float, float]] = []
+        for p in seq:
             while len(out) > 1:
-                a, b = out[-2], out[-1]
-                if (x[b] - x[a]) * (y[i] - y[a]) - (y[b] - y[a]) * (x[i] - x[a]) > 0:
+                (ax, ay), (bx, by) = out[-2], out[-1]
+                if (bx - ax) * (p[1] - ay) - (by - ay) * (p[0] - ax) > 0:
                     break
                 out.pop()
-            out.append(int(i))
+            out.append(p)
         return out
 
-    lower, upper = chain(order), chain(order[::-1])
-    return np.array(lower[:-1] + upper[:-1] if len(order) > 1 else lower)
+    if len(order) < 3:
+        return order
+    return chain(order)[:-1] + chain(reversed(order))[:-1]
 
 
 def entity_hulls(points: DataFrame) -> DataFrame:
-    """(cell_id, vertex_idx, vertex_x, vertex_y): hull vertices per entity.
+    """(cell_id, hull): hull vertices per entity as an array of (x, y).
 
     Points are first reduced to the extreme y per x, then to partial hulls batch by batch where
-    they lie; only partial hull vertices of one entity ever meet in a group. The hull of the
+    they lie; only partial hull vertices of one entity ever meet in a row. The hull of the
     partial hulls is the hull, so a mega-entity is spread over tasks and stays exact."""
     ext = points.groupBy("cell_id", "x").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
     ends = F.array_distinct(F.array(F.col("lo").cast("double"), F.col("hi").cast("double")))
     thin = ext.select("cell_id", F.col("x").cast("double"), F.explode(ends).alias("y"))
 
-    def hulls(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for cell, part in pdf.groupby("cell_id", sort=False):
-            x, y = part["x"].to_numpy(), part["y"].to_numpy()
-            keep = hull_indices(x, y)
-            out.append(pd.DataFrame({"cell_id": cell, "vertex_idx": np.arange(len(keep), dtype=np.int32),
-                                     "x": x[keep], "y": y[keep]}))
-        return pd.concat(out) if out else pdf.head(0).assign(vertex_idx=np.int32(0))
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups: dict[str, list] = {}
+            for cell, x, y in zip(*(batch.column(c).to_pylist() for c in ("cell_id", "x", "y"))):
+                groups.setdefault(cell, []).append((x, y))
+            rows = [(cell, x, y) for cell, pts in groups.items() for x, y in convex_hull(pts)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()),
+                 pa.array([r[2] for r in rows], pa.float64())], ["cell_id", "x", "y"])
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield hulls(pdf)[["cell_id", "x", "y"]]
+    corner = pa.struct([("x", pa.float64()), ("y", pa.float64())])
 
-    def final(pdf: pd.DataFrame) -> pd.DataFrame:
-        return hulls(pdf.drop_duplicates(["x", "y"]))[["cell_id", "vertex_idx", "x", "y"]]
+    def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hulls = [[{"x": x, "y": y} for x, y in convex_hull((p["x"], p["y"]) for p in pts)]
+                     for pts in batch.column("pts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("cell_id"), pa.array(hulls, pa.list_(corner))],
+                                             ["cell_id", "hull"])
 
-    return (thin.mapInPandas(partial, "cell_id string, x double, y double")
-            .groupBy("cell_id").applyInPandas(final, "cell_id string, vertex_idx int, x double, y double")
-            .withColumnsRenamed({"x": "vertex_x", "y": "vertex_y"}))
+    return (thin.mapInArrow(partial, "cell_id string, x double, y double")
+            .groupBy("cell_id").agg(F.collect_set(F.struct("x", "y")).alias("pts"))
+            .mapInArrow(final, "cell_id string, hull array<struct<x: double, y: double>>"))
 
 
 def molecule_outlines(df: DataFrame, nucleus_only: bool = True, min_points: int = 3,
@@ -261,19 +264,18 @@ def molecule_outlines(df: DataFrame, nucleus_only: bool = True, min_points: int
         F.count_if(use).alias("n"), F.avg("x").alias("ax"), F.avg("y").alias("ay"),
         F.avg(F.when(use, F.col("x"))).alias("ux"), F.avg(F.when(use, F.col("y"))).alias("uy"))
     hulls = entity_hulls(rows.where(use).select("cell_id", "x", "y"))
-    sizes = hulls.groupBy("cell_id").agg(F.count(F.lit(1)).alias("h"))
-    kind = stats.join(sizes, "cell_id", "left").withColumn("shape", F.when(
-        F.col("n") < min_points, "all").when(F.col("n") < 3, "pair").when(
-        F.coalesce("h", F.lit(0)) < 3, "flat").otherwise("hull"))
-    kind = cut_lineage(kind)
-    by_all = F.col("shape") == "all"
-    circles = circle_points(
-        kind.where("shape <> 'hull'"), F.when(by_all, F.col("ax")).otherwise(F.col("ux")),
-        F.when(by_all, F.col("ay")).otherwise(F.col("uy")),
-        F.when(F.col("shape") == "flat", 2.0).otherwise(float(fallback_radius)), n_circle)
-    cols = ["cell_id", "vertex_idx", "vertex_x", "vertex_y"]
-    good = hulls.join(kind.where("shape = 'hull'").select("cell_id"), "cell_id", "left_semi")
-    return good.select(*cols).unionByName(circles.select(*cols))
+    few = F.col("n") < min_points
+    tiny = F.col("n") < 3
+    flat = F.coalesce(F.size("hull"), F.lit(0)) < 3
+    cx = F.when(few, F.col("ax")).otherwise(F.col("ux"))
+    cy = F.when(few, F.col("ay")).otherwise(F.col("uy"))
+    r = F.when(few | tiny, F.lit(float(fallback_radius))).otherwise(2.0)
+    ring = F.transform(F.sequence(F.lit(0), F.lit(n_circle - 1)), lambda i: F.struct(
+        (cx + r * F.cos(i * F.lit(2 * math.pi / n_circle))).alias("x"),
+        (cy + r * F.sin(i * F.lit(2 * math.pi / n_circle))).alias("y")))
+    shape = F.when(few | tiny | flat, ring).otherwise(F.col("hull"))
+    return (stats.join(hulls, "cell_id", "left").select("cell_id", F.posexplode(shape).alias("vertex_idx", "v"))
+            .select("cell_id", "vertex_idx", F.col("v.x").alias("vertex_x"), F.col("v.y").alias("vertex_y")))
 
 
 def boundary_table(outlines: DataFrame) -> DataFrame:

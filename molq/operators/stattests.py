@@ -34,7 +34,7 @@ def mann_whitney(df: DataFrame, value: str, reference: str, alternative: str = "
     n = n1 + n2
     u1 = F.col("r1") - n1 * (n1 + 1) / 2.0
     u = u1 if alternative == "greater" else n1 * n2 - u1
-    sd = F.sqrt(n1 * n2 / 12.0 * ((n + 1) - F.col("t") / (n * (n - 1))))
+    sd = F.sqrt(n1 * n2 / 12.0 * ((n + 1) - X.safe_div("t", n * (n - 1))))
     z = F.when(sd > 0, (u - n1 * n2 / 2.0 - 0.5) / sd)
     out = per.join(ties, "other").select(
         F.lit(reference).alias("reference"), "other", F.lit(alternative).alias("alternative"),

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from molq.functions import expr as X
 from molq.operators import accounting as A
 from molq.operators import coherence as H
 from molq.operators import markers as M
@@ -26,7 +27,7 @@ def method_scorecard(df: DataFrame, dataset: str) -> DataFrame:
     tx = A.transcript_accounting(df, by).select(*by, "n_total", "n_assigned", "n_unassigned", "frac_assigned")
     wide = (tx.join(A.recovery_metrics(df, by), by).join(classes, by)
             .withColumns({"assignment_percent": F.col("frac_assigned") * 100.0,
-                          "mean_transcripts_per_profile": F.col("n_assigned") / F.col("n_entities"),
+                          "mean_transcripts_per_profile": X.safe_div("n_assigned", "n_entities"),
                           "dataset": F.lit(dataset)}))
     return Y.wide_to_long(wide)
 
@@ -94,7 +95,6 @@ def block_metrics(counts: DataFrame, labels: DataFrame, ref_counts: DataFrame, r
 
 def qc_sensitivity(counts: DataFrame, panel: DataFrame, low: int, high: int, bounds: str = "open") -> DataFrame:
     """Coherence with and without the size filter, side by side."""
-    from molq.functions import expr as X
     keep = counts.groupBy("cell_id").agg(F.sum("count").alias("n")).where(X.within("n", low, high, bounds))
     both = counts.withColumn("stage", F.lit("unfiltered")).unionByName(
         counts.join(keep.select("cell_id"), "cell_id", "left_semi").withColumn("stage", F.lit("filtered")))
