@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from molq.functions.expr import col, finite
+from molq.session import cut_lineage
 
 UNIT_STEPS = 65536
 LOG_STEPS = 1024
@@ -93,6 +94,43 @@ def quantiles(df: DataFrame, value, probs: Mapping[str, float],
     return picked.groupBy(*by).agg(*cells) if by else picked.agg(*cells)
 
 
+def dense_index(df: DataFrame, order: Sequence, name: str) -> DataFrame:
+    """0-based dense positions in the given order, without a task that sees all rows.
+
+    Rows are range-partitioned and sorted where they lie; each row's place inside its partition
+    is kept in the stored table, and partition sizes (one small row each) give the offsets."""
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    stored = cut_lineage(ordered.withColumn("_mid", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_mid", 33), F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = stored.withColumns({"_part": part, "_place": place}).drop("_mid")
+    upto = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+               .withColumn("_offset", F.coalesce(F.sum("_n").over(upto), F.lit(0))).drop("_n"))
+    return placed.join(offsets, "_part").withColumn(name, F.col("_offset") + F.col("_place")) \
+                 .drop("_part", "_place", "_offset")
+
+
+def hashed_sample(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
+    """Exactly n rows (or all), those of lowest key hash.
+
+    Bucket counts of the hash tell where the n-th row lies; lower buckets are kept as they are
+    and only the boundary bucket, a millionth of the rows, is put in order."""
+    h = F.xxhash64(F.lit(seed), F.col(key))
+    rows = df.withColumn("_h", h).withColumn("_b", F.shiftrightunsigned("_h", 44))
+    part = Window.partitionBy(F.lit(0)).orderBy("_b")
+    sizes = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_upto", F.sum("_n").over(part.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    edge = sizes.where(F.col("_upto") >= n).agg(F.min_by(F.struct("_b", (F.col("_upto") - F.col("_n")).alias("before")), "_b")
+                                                .alias("e"))
+    edge_b = F.coalesce(edge.select("e._b").scalar(), F.lit((1 << 20)).cast("long"))
+    before = edge.select("e.before").scalar()
+    kept = rows.where(F.col("_b") < edge_b)
+    last = Window.partitionBy("_b").orderBy("_h", key)
+    boundary = (rows.where(F.col("_b") == edge_b).withColumn("_r", F.row_number().over(last))
+                .where(F.col("_r") <= F.lit(n) - before).drop("_r"))
+    return kept.unionByName(boundary).drop("_h", "_b")
+
+
 def top_k_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int,
                     rank_col: str = "rank") -> DataFrame:
     """Rows with row_number <= k. Spark prunes each partition to k rows per group before the

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from molq.functions import expr as X
+from molq.functions.ordering import dense_index, hashed_sample
 from molq.functions.tokens import (OPTIONAL_COLUMNS, REQUIRED_COLUMNS, UNASSIGNED, tokens)
 
 # Older second contract -> present names.
@@ -342,9 +343,8 @@ def restrict_genes(counts: DataFrame, genes: DataFrame) -> DataFrame:
 # --- samples and crops ----------------------------------------------------
 
 def subsample(df: DataFrame, n: int, seed: int, key: str = "transcript_id") -> DataFrame:
-    """Exactly n rows (or all), chosen by hashed key: a distributed top-n, the same every run."""
-    order = F.xxhash64(F.lit(seed), F.col(key))
-    return df.orderBy(order, F.col(key)).limit(n)
+    """Exactly n rows (or all), chosen by hashed key, the same every run."""
+    return hashed_sample(df, n, seed, key)
 
 
 def extent_center_box(df: DataFrame, fraction: float, x: str = "x", y: str = "y") -> DataFrame:
@@ -416,11 +416,8 @@ def entity_codes(df: DataFrame, id_col: str = "cell_id", preset="core") -> DataF
 
     Ids are range-partitioned and numbered by partition offset, so no task sees them all."""
     ids = (df.where(~X.is_unassigned(id_col, preset))
-           .select(F.col(id_col).cast("string").alias(id_col)).distinct()
-           .repartitionByRange(F.col(id_col)))
-    numbered = ids.sortWithinPartitions(id_col).rdd.zipWithIndex().map(
-        lambda pair: (pair[0][0], pair[1]))
-    return df.sparkSession.createDataFrame(numbered, f"{id_col} string, code long")
+           .select(F.col(id_col).cast("string").alias(id_col)).distinct())
+    return dense_index(ids, [id_col], "code")
 
 
 def attach_codes(df: DataFrame, codes: DataFrame, id_col: str = "cell_id") -> DataFrame:

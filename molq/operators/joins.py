@@ -9,15 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from molq.functions import expr as X
+from molq.functions.ordering import dense_index
 
 
 def with_row_index(df: DataFrame, order: Sequence[str], name: str = "row_idx") -> DataFrame:
-    """A stored dense 0-based index. Rows are range-partitioned and sorted, then numbered by
-    partition offset, so no task sees the whole table."""
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    schema = df.schema.add(name, "long", False)
-    pairs = ordered.rdd.zipWithIndex().map(lambda p: (*p[0], p[1]))
-    return df.sparkSession.createDataFrame(pairs, schema)
+    """A stored dense 0-based row index in the given order."""
+    return dense_index(df, order, name)
 
 
 def provenance_join(df: DataFrame, vendor: DataFrame, on: str = "transcript_id",
@@ -132,12 +129,12 @@ def windows_join(df: DataFrame, windows: DataFrame, tile: float,
 
     Boxes are cut into grid tiles, so this is an equi-join on the tile with a residual box
     test for any number of boxes: each box lists the tiles it touches, each molecule has one
-    tile. The union bounding box becomes a plain filter that reaches the Parquet scan.
+    tile. The union bounding box is four numbers read from the manifest, so it is a plain
+    filter that reaches the Parquet scan and skips row groups.
     """
     t = F.lit(float(tile))
-    bounds = windows.agg(*[f(c).alias(c) for c, f in (
-        ("xmin", F.min), ("xmax", F.max), ("ymin", F.min), ("ymax", F.max))])
-    limit = {c: bounds.select(c).scalar() for c in bounds.columns}
+    limit = windows.agg(*[f(c).cast("double").alias(c) for c, f in (
+        ("xmin", F.min), ("xmax", F.max), ("ymin", F.min), ("ymax", F.max))]).first()
     boxes = windows.select(
         *carry, "xmin", "xmax", "ymin", "ymax",
         F.explode(F.sequence(F.floor(F.col("xmin") / t), F.floor(F.col("xmax") / t))).alias("_tx"),

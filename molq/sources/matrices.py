@@ -7,12 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from molq.functions.ordering import dense_index
+
 
 def _numbered_lines(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """Lines of one name list with their 1-based number. Name lists are far smaller than the
-    matrix; the reader hands out lines of one file in order, so zipWithIndex numbers them."""
-    rows = spark.read.text(path).rdd.zipWithIndex().map(lambda p: (p[1] + 1, p[0][0]))
-    return spark.createDataFrame(rows, f"pos long, {name} string")
+    """Lines of a name list with their 1-based number, in file, block and line order."""
+    lines = spark.read.text(path).select(
+        F.col("value").alias(name), F.col("_metadata.file_path").alias("_f"),
+        F.col("_metadata.file_block_start").alias("_s"), F.monotonically_increasing_id().alias("_l"))
+    return dense_index(lines, ["_f", "_s", "_l"], "pos").select(name, (F.col("pos") + 1).alias("pos"))
 
 
 def read_matrix_market(spark: SparkSession, matrix: str, rows: str, cols: str,
@@ -42,9 +45,8 @@ def read_matrix_market(spark: SparkSession, matrix: str, rows: str, cols: str,
 
 def dense_numbers(df: DataFrame, col: str, name: str) -> DataFrame:
     """(value, 1-based number in name order), numbered across a range partitioning."""
-    ids = df.select(col).distinct().repartitionByRange(col).sortWithinPartitions(col)
-    rows = ids.rdd.zipWithIndex().map(lambda p: (p[0][0], p[1] + 1))
-    return df.sparkSession.createDataFrame(rows, f"{col} string, {name} long")
+    out = dense_index(df.select(col).distinct(), [col], name)
+    return out.withColumn(name, F.col(name) + 1)
 
 
 def tenx_triplets(counts: DataFrame) -> DataFrame:

@@ -14,9 +14,11 @@ def write_standardized(df: DataFrame, directory: str, method: str, tile: float =
     """Transcripts, entities, counts and metadata of one run.
 
     Transcripts are clustered by spatial tile, so the row-group min/max of x and y skip most of
-    the file for a window query."""
-    tx = (df.withColumns({"_ty": F.floor(F.col("y") / tile), "_tx": F.floor(F.col("x") / tile)})
-          .repartitionByRange("_ty", "_tx").sortWithinPartitions("_ty", "_tx").drop("_ty", "_tx"))
+    the file for a window query. A row hash ends the key, so a crowded tile spreads over files."""
+    keys = ["_ty", "_tx", "_h"]
+    tx = (df.withColumns({"_ty": F.floor(F.col("y") / tile), "_tx": F.floor(F.col("x") / tile),
+                          "_h": F.xxhash64(*df.columns)})
+          .repartitionByRange(*keys).sortWithinPartitions(*keys).drop(*keys))
     tx.write.mode("overwrite").parquet(f"{directory}/transcripts")
     write_cell_by_gene(df, directory, {"method": method})
     df.agg(F.count(F.lit(1)).alias("n_transcripts")).withColumn("method_name", F.lit(method)) \

@@ -341,6 +341,12 @@ def seeded_sample(spark, sf):
     return C.subsample(molecules(spark, sf), 500, seed=7).select("transcript_id", "feature_name")
 
 
+@query("B28", with_parts("SELECT least(count(*), 5000) AS n, least(count(*), 5000) AS n_distinct FROM molecules"))
+def seeded_sample_size(spark, sf):
+    return C.subsample(molecules(spark, sf), 5000, seed=7).agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("transcript_id").alias("n_distinct"))
+
+
 @query("B29", None)
 def center_sample(spark, sf):
     return C.center_subset(molecules(spark, sf), 200.0, 300, seed=3).select("transcript_id", "x", "y")

@@ -213,18 +213,24 @@ def coherence_by_type(spark, sf):
     return rounded(H.coherence_medians(cells, ["cell_type"]))
 
 
-@query("E12 E21", with_parts("""
+FALLBACK_CTE = """
 , p0 AS (SELECT cell_id AS c, feature_name AS g FROM cg), t0 AS (SELECT count(DISTINCT c) AS n FROM p0), m0 AS (SELECT g, count(*) AS k FROM p0 GROUP BY 1),
 k0 AS (SELECT a.g AS gi, b.g AS gj, count(*) AS k FROM p0 a JOIN p0 b ON a.c = b.c AND a.g < b.g GROUP BY 1, 2),
 v0 AS (SELECT gi, gj, ln((k0.k / n) / ((a.k / n) * (b.k / n))) / -ln(k0.k / n) AS v FROM k0 JOIN m0 a ON gi = a.g JOIN m0 b ON gj = b.g, t0),
 e AS (SELECT cell_id, sum(count) AS n, count(*) AS k FROM cg GROUP BY 1 HAVING sum(count) >= 10 AND count(*) >= 2)
-SELECT a.c AS cell_id, round(sum(greatest(v, 0)) / (any_value(k) * (any_value(k) - 1) / 2), 6) AS purity, round(sum(greatest(-v, 0)) / (any_value(k) * (any_value(k) - 1) / 2), 6) AS conflict,
- any_value(k) AS n_genes, CAST(any_value(e.n) AS BIGINT) AS n_transcripts FROM p0 a JOIN p0 b ON a.c = b.c AND a.g < b.g JOIN v0 ON gi = a.g AND gj = b.g JOIN e ON e.cell_id = a.c GROUP BY 1""", "cg"))
+, fb AS (SELECT a.c AS cell_id, sum(greatest(v, 0)) / (any_value(k) * (any_value(k) - 1) / 2) AS purity, sum(greatest(-v, 0)) / (any_value(k) * (any_value(k) - 1) / 2) AS conflict,
+ any_value(k) AS n_genes, CAST(any_value(e.n) AS BIGINT) AS n_transcripts FROM p0 a JOIN p0 b ON a.c = b.c AND a.g < b.g JOIN v0 ON gi = a.g AND gj = b.g JOIN e ON e.cell_id = a.c GROUP BY 1)"""
+
+
+@query("E12 E21", with_parts(FALLBACK_CTE + """
+SELECT cell_id, round(purity, 6) AS purity, round(conflict, 6) AS conflict, n_genes, n_transcripts FROM fb""", "cg"))
 def fallback_purity(spark, sf):
     return rounded(H.purity_mean(counts(spark, sf)))
 
 
-@query("E21", None)
+@query("E21", with_parts(FALLBACK_CTE + """
+SELECT count(*) AS n_cells, round(avg(purity), 6) AS mean_purity, round(avg(conflict), 6) AS mean_conflict, round(avg(n_transcripts), 6) AS mean_n_transcripts, round(avg(n_genes), 6) AS mean_n_genes,
+ round(median(purity), 6) AS median_purity, round(median(conflict), 6) AS median_conflict, median(n_transcripts) AS median_n_transcripts, median(n_genes) AS median_n_genes FROM fb""", "cg"))
 def fallback_purity_summary(spark, sf):
     return rounded(H.npmi_summary(H.purity_mean(counts(spark, sf))))
 
@@ -248,16 +254,24 @@ def purity_before_after(spark, sf):
 
 # --- coexpression -----------------------------------------------------------
 
-@query("E22 E23 E29", None)
-def thinned_counts(spark, sf):
+@query("E22 E23 E29", with_parts("""
+SELECT cell_id, CAST(30 AS BIGINT) AS n, TRUE AS known_features FROM cg GROUP BY 1 HAVING sum(count) >= 30""", "cg"))
+def thinned_totals(spark, sf):
     c = counts(spark, sf)
     keep = CX.eligible_entities(c, 30, 10)
-    return CX.thin_counts(c.join(keep, "cell_id", "left_semi"), 30, seed=5)
+    thin = CX.thin_counts(c.join(keep, "cell_id", "left_semi"), 30, seed=5)
+    had = c.select("cell_id", "feature_name", F.lit(True).alias("had"))
+    return thin.join(had, ["cell_id", "feature_name"], "left").groupBy("cell_id").agg(
+        F.sum("count").alias("n"), F.min(F.coalesce("had", F.lit(False))).alias("known_features"))
 
 
-@query("E22", None)
+@query("E22", with_parts("""
+SELECT cell_id, CAST(least(sum(count), 10) AS BIGINT) AS n, TRUE AS within_counts FROM cg GROUP BY 1""", "cg"))
 def thinned_without_replacement(spark, sf):
-    return CX.thin_counts(counts(spark, sf), 10, seed=5, replace=False)
+    c = counts(spark, sf)
+    thin = CX.thin_counts(c, 10, seed=5, replace=False)
+    return thin.join(c.withColumnRenamed("count", "all"), ["cell_id", "feature_name"], "left").groupBy("cell_id").agg(
+        F.sum("count").alias("n"), F.min(F.coalesce(F.col("count") <= F.col("all"), F.lit(False))).alias("within_counts"))
 
 
 @query("E23", with_parts("""

@@ -18,6 +18,13 @@ def feature_clusters(spark, sf):
     return L.deterministic_clusters(A.cell_gene_counts(molecules(spark, sf), "original_cell_id"), 6, 10, seed=1)
 
 
+@query("L05", with_parts("SELECT cell_id, cell_type FROM cell_labels", "cell_labels"))
+def reference_split_total(spark, sf):
+    split = L.stratified_split(cell_labels(spark, sf), 0.2, 11)
+    sides_ = split.where("reference_split = 'reference_train'").unionByName(split.where("reference_split = 'evaluation_holdout'"))
+    return sides_.select("cell_id", "cell_type")
+
+
 BATCH = {**SIDES, "bt": "SELECT cell_id, CASE WHEN CAST(donor AS INTEGER) % 2 = 0 THEN 'even' ELSE 'odd' END AS batch FROM cell_labels WHERE side = 'query' AND cell_id IN (SELECT cell_id FROM og)",
          "bn": "SELECT batch, count(*) AS n FROM bt GROUP BY 1",
          "st": """SELECT batch, feature_name, sum(v) / any_value(n) AS mean, sqrt((sum(v * v) - any_value(n) * (sum(v) / any_value(n)) * (sum(v) / any_value(n))) / (any_value(n) - 1)) AS sd FROM qn JOIN bt USING (cell_id) JOIN bn USING (batch) GROUP BY 1, 2"""}
@@ -55,7 +62,11 @@ def variable_features(spark, sf):
     return rounded(L.variable_features(P.log_normalize(q), ql.agg(F.count(F.lit(1))).scalar(), 20))
 
 
-@query("L04", None)
+@query("L04", with_parts("""
+, nn AS (SELECT count(*) AS n FROM ql), s AS (SELECT feature_name, sum(v) AS s, sum(v * v) AS q FROM qn GROUP BY 1),
+d AS (SELECT feature_name, s / n AS mean, sqrt((q - n * (s / n) * (s / n)) / (n - 1)) AS sd, ((q - n * (s / n) * (s / n)) / (n - 1)) / (s / n) AS disp FROM s, nn),
+k AS (SELECT *, row_number() OVER (ORDER BY round(disp, 10) DESC, feature_name) AS r FROM d QUALIFY r <= 30)
+SELECT cell_id, feature_name, round((v - mean) / sd, 6) + 0.0 AS scaled FROM qn JOIN k USING (feature_name)""", "og cell_labels", **SIDES))
 def lognorm_sequence(spark, sf):
     return rounded(L.lognorm_sequence(sides(spark, sf)[0], 30))
 

@@ -12,6 +12,7 @@ from molq.operators import profiles as P
 from molq.operators import transfer as T
 from molq.plans.fixtures import cell_labels, mixture_weights, molecules, table, with_parts
 from molq.session import cut_lineage
+from molq.suite.accounting import PURIFIED, count_pair
 from molq.suite.base import query
 from molq.suite.util import rounded
 
@@ -135,7 +136,9 @@ def ranked_genes(spark, sf):
     return rounded(M.rank_genes(r, rl, n_top=None).drop("rank"))
 
 
-@query("F08 G10", None)
+@query("F08 G10", with_parts(RANK_SQL[:RANK_SQL.index("SELECT cell_type, g AS feature_name")] + """
+SELECT cell_type, g AS feature_name, round(z, 6) + 0.0 AS z, round(z / sqrt(corr), 6) + 0.0 AS z_tie_corrected, round(fc, 6) + 0.0 AS log2fc,
+ CAST(row_number() OVER (PARTITION BY cell_type ORDER BY round(z / sqrt(corr), 9) DESC, g) AS INTEGER) AS rank FROM z QUALIFY rank <= 10""", BASE, **SIDES))
 def top_ranked_genes(spark, sf):
     _, _, r, rl = sides(spark, sf)
     return rounded(M.rank_genes(r, rl, n_top=10, tie_correct=True))
@@ -427,18 +430,28 @@ def label_transfer(spark, sf):
     return rounded(T.transfer_labels(q, r, rl, k=15, per_type=100000))
 
 
-@query("F28", None)
-def anchors(spark, sf):
-    return T.pick_anchors(sides(spark, sf)[3], per_type=50, seed=0).select("cell_id", "cell_type")
+@query("F28", with_parts("""
+SELECT cell_type, least(count(*), 50) AS n_anchors, least(count(*), 50) AS n_distinct FROM rl GROUP BY 1""", BASE, **SIDES))
+def anchors_per_type(spark, sf):
+    picked = T.pick_anchors(sides(spark, sf)[3], per_type=50, seed=0)
+    return picked.groupBy("cell_type").agg(F.count(F.lit(1)).alias("n_anchors"), F.countDistinct("cell_id").alias("n_distinct"))
 
 
-@query("F30 B25", None)
+PUR = "SELECT cell_id, feature_name, CAST(round_even(count, 0) AS DOUBLE) AS count FROM purified WHERE round_even(count, 0) <> 0"
+
+
+@query("F30 B25", with_parts(VOTE_SQL.format(
+    q="q.cell_id", a="a.cell_id", lab="any_value(rl.cell_type)", k=15, dot="coalesce(sum(q.u * a.u), 0)",
+    src="qu q JOIN au a ON q.g = a.g JOIN rl ON rl.cell_id = a.cell_id GROUP BY q.cell_id, a.cell_id"), BASE, **SIDES, purified=PURIFIED, pur=PUR,
+    pn="SELECT *, ln(1 + count / sum(count) OVER (PARTITION BY cell_id) * 1e4) AS v FROM pur WHERE feature_name IN (SELECT feature_name FROM rcnt)",
+    rn2="SELECT *, ln(1 + count / sum(count) OVER (PARTITION BY cell_id) * 1e4) AS v FROM rcnt WHERE feature_name IN (SELECT feature_name FROM pur)",
+    qu="SELECT cell_id, feature_name AS g, v / sqrt(sum(v * v) OVER (PARTITION BY cell_id)) AS u FROM pn",
+    au="SELECT cell_id, feature_name AS g, v / sqrt(sum(v * v) OVER (PARTITION BY cell_id)) AS u FROM rn2"))
 def label_transfer_purified(spark, sf):
     from molq.operators.contract import normalize_counts_integer
-    from molq.suite.accounting import count_pair
     _, _, r, rl = sides(spark, sf)
     purified = normalize_counts_integer(count_pair(spark, sf)[1]).drop("was_fractional")
-    return rounded(T.transfer_labels(purified, r, rl, k=15, per_type=60))
+    return rounded(T.transfer_labels(purified, r, rl, k=15, per_type=100000))
 
 
 EMB = "SELECT CAST(vec_id AS VARCHAR) AS id, vec_id, CAST(label AS VARCHAR) AS label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings"

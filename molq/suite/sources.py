@@ -190,6 +190,15 @@ def feature_inventory(spark, sf):
     return sinks.feature_inventory(molecules(spark, sf))
 
 
+@query("A22", with_parts("SELECT count(*) AS n_rows, TRUE AS order_independent, TRUE AS content_sensitive FROM molecules"))
+def population_identity_laws(spark, sf):
+    m = molecules(spark, sf)
+    h = lambda d: sinks.population_hash(d).select("population_hash").scalar()
+    shuffled, edited = m.repartition(5, "qv"), m.withColumn("feature_name", F.upper(F.concat("feature_name", F.lit("x"))))
+    return sinks.population_hash(m).select("n_rows", (F.col("population_hash") == h(shuffled)).alias("order_independent"),
+                                           (F.col("population_hash") != h(edited)).alias("content_sensitive"))
+
+
 @query("A22", None)
 def population_identity(spark, sf):
     return sinks.population_hash(molecules(spark, sf))
