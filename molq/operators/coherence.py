@@ -154,12 +154,11 @@ def coherence_summary(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def _with_medians(out: DataFrame, df: DataFrame, cols: Sequence[str],
                   by: Sequence[str]) -> DataFrame:
     from molq.operators.accounting import group_medians
-    keys = list(by) or ["_all"]
-    rows = df if by else df.withColumn("_all", F.lit(1))
-    med = group_medians(rows, cols, keys)
-    left = out if by else out.withColumn("_all", F.lit(1))
-    joined = left.join(med, keys, "left")
-    return joined if by else joined.drop("_all")
+    if by:
+        return out.join(group_medians(df, cols, list(by)), list(by), "left")
+    med = group_medians(df.withColumn("_all", F.lit(1)), cols, ["_all"])
+    # One row either way, so the medians come in as scalar subqueries.
+    return out.withColumns({f"median_{c}": med.agg(F.max(f"median_{c}")).scalar() for c in cols})
 
 
 def coherence_medians(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
