@@ -121,8 +121,9 @@ def top_markers_by_ratio(spark, sf):
 
 
 RANK_SQL = """
-, nn AS (SELECT count(*) AS n FROM rl), u AS (SELECT DISTINCT feature_name AS g FROM rn WHERE v > 0),
-dense AS (SELECT rl.cell_id, rl.cell_type, u.g, coalesce(rn.v, 0) AS v FROM rl CROSS JOIN u LEFT JOIN rn ON rn.cell_id = rl.cell_id AND rn.feature_name = u.g),
+, big AS (SELECT * FROM rl WHERE cell_type IN (SELECT cell_type FROM rsz WHERE n >= 30)), nn AS (SELECT count(*) AS n FROM big),
+u AS (SELECT DISTINCT feature_name AS g FROM rn JOIN big USING (cell_id) WHERE v > 0),
+dense AS (SELECT big.cell_id, big.cell_type, u.g, coalesce(rn.v, 0) AS v FROM big CROSS JOIN u LEFT JOIN rn ON rn.cell_id = big.cell_id AND rn.feature_name = u.g),
 rk AS (SELECT *, rank() OVER (PARTITION BY g ORDER BY v) + (count(*) OVER (PARTITION BY g, v) - 1) / 2.0 AS r FROM dense),
 tie AS (SELECT g, 1 - sum(power(c, 3) - c) / (power(any_value(n), 3) - any_value(n)) AS corr FROM (SELECT g, v, count(*) AS c FROM dense GROUP BY 1, 2), nn GROUP BY 1),
 s AS (SELECT cell_type, g, sum(r) AS rs, count(*) AS nt, sum(v) AS sv FROM rk GROUP BY 1, 2), al AS (SELECT g, sum(sv) AS sa FROM s GROUP BY 1),
