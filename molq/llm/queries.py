@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from molq.llm.near_dedup import near_duplicate_entities
+from molq.llm.phrase_dedup import remove_recurring_runs
 from molq.plans.fixtures import table
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -38,9 +39,32 @@ SELECT d.doc_id, coalesce(n.c, 0) AS n_shingles, component_id, d.doc_id = compon
 FROM documents d JOIN low USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entities = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("cell_id"), F.col("text").alias("features"))
+    return remove_recurring_runs(entities).select(
+        F.col("cell_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_features", 256).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS g
+        FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)),
+owner AS (SELECT g, min(doc_id) AS low FROM win GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM win JOIN owner USING (g) WHERE low < doc_id),
+words AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY 1),
+n AS (SELECT doc_id, count(*) AS c FROM gone GROUP BY 1)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(c, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_substring_dedup": op2_substring_dedup,
 }
 SQL = {
     "op1_minhash_near_dedup": OP1_SQL,
+    "op2_substring_dedup": OP2_SQL,
 }
