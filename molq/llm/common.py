@@ -7,8 +7,10 @@ xxhash, kept in a bounded cache.
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,32 @@ def id_type(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
+def kept_in_worker(key: str, make: Callable[[], object]) -> object:
+    """An object that later tasks of the same Python worker find again."""
+    held = sys.modules.setdefault("_molq_worker", types.ModuleType("_molq_worker")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
+class Remembered(dict):
+    """A bounded cache of ``compute(key)`` in two generations: what is not asked for again goes first."""
+
+    def __init__(self, compute: Callable, limit: int = CACHE_WORDS):
+        super().__init__()
+        self.compute, self.limit, self.older = compute, limit, {}
+
+    def __missing__(self, key):
+        found = self.older.get(key)
+        if found is None:
+            found = self.compute(key)
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
 class WordHashes(dict):
     """word bytes -> 64-bit hash; forgets everything when it is full."""
 

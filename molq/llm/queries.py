@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from molq.llm.near_dedup import near_duplicate_entities
 from molq.llm.phrase_dedup import remove_recurring_runs
+from molq.llm.pieces import encode_and_decode
+from molq.llm.token_counts import token_counts
 from molq.plans.fixtures import table
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -60,9 +62,25 @@ SELECT w.doc_id, len(ws) AS n_words, coalesce(c, 0) AS n_removed, sha256(coalesc
 FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as pieces and back: number of pieces, a hash of the id list, and whether the text came back."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("dataset"), F.col("text").alias("provenance"))
+    coded = encode_and_decode(docs)
+    return coded.select(F.col("dataset").alias("doc_id"), F.size("piece_ids").cast("long").alias("n_pieces"),
+                        F.xxhash64("piece_ids").alias("ids_hash"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("dataset"), F.col("text").alias("provenance"))
+    return token_counts(docs).withColumnRenamed("dataset", "doc_id")
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
+    "op6_sentencepiece": op6_sentencepiece,
+    "op8_token_counts": op8_token_counts,
 }
 SQL = {
     "op1_minhash_near_dedup": OP1_SQL,
