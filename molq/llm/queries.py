@@ -6,9 +6,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from molq.llm.lang_id import fit_language_centroids, predict_language
 from molq.llm.near_dedup import near_duplicate_entities
 from molq.llm.phrase_dedup import remove_recurring_runs
 from molq.llm.pieces import encode_and_decode
+from molq.llm.quality_fm import fit_quality, score_quality
 from molq.llm.token_counts import token_counts
 from molq.plans.fixtures import table
 
@@ -76,11 +78,33 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs).withColumnRenamed("dataset", "doc_id")
 
 
+
+def _fold(parts: int):
+    return F.crc32(F.col("doc_id").cast("string")) % parts
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    learn = docs.join(labels.where(_fold(3) != 1).select("doc_id", "quality"), "doc_id")
+    model = fit_quality(learn, "doc_id", "text", "quality", "n_chars")
+    return score_quality(docs, model, "doc_id", "text", "n_chars").select(
+        "doc_id", (_fold(3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_language_centroids(docs.where(_fold(4) != 2), "doc_id", "text", "lang")
+    return predict_language(docs, model, "doc_id", "text").select(
+        "doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_quality": op7_quality,
     "op8_token_counts": op8_token_counts,
+    "op9_language_id": op9_language_id,
 }
 SQL = {
     "op1_minhash_near_dedup": OP1_SQL,
