@@ -12,6 +12,8 @@ from molq.llm.phrase_dedup import remove_recurring_runs
 from molq.llm.pieces import encode_and_decode
 from molq.llm.quality_fm import fit_quality, score_quality
 from molq.llm.token_counts import token_counts
+from molq.llm.url_filter import filter_urls
+from molq.llm.warc import read_archives, write_archives
 from molq.plans.fixtures import table
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -65,6 +67,45 @@ FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 
+# The rules of the URL query.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+             ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return filter_urls(table(spark, sf_dir, "pages"), rules, "page_id", "url")
+
+
+OP3_SQL = r"""
+WITH rules AS (SELECT * FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+                              ('net', '/es/', 'block'), ('net', '/fr/', 'block')) r(h, p, v)),
+parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)),
+fits AS (
+  SELECT page_id, h || p AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC, length(h) DESC) AS k
+  FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM parts LEFT JOIN (SELECT * FROM fits WHERE k = 1) USING (page_id)
+"""
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listing = write_archives(table(spark, sf_dir, "pages"), "page_id", "url", "html")
+    return read_archives(listing).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
+g AS (SELECT html, max(page_id) AS low FROM p WHERE n >= 1000 GROUP BY 1 HAVING count(*) > 1)
+SELECT page_id, n AS payload_bytes, sha1(p.html) AS payload_digest,
+       CASE WHEN low <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN low <> page_id THEN low END AS refers_to
+FROM p LEFT JOIN g USING (html)
+"""
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts as pieces and back: number of pieces, a hash of the id list, and whether the text came back."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("dataset"), F.col("text").alias("provenance"))
@@ -101,6 +142,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_url_filter": op3_url_filter,
+    "op5_warc": op5_warc,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_quality": op7_quality,
     "op8_token_counts": op8_token_counts,
@@ -109,4 +152,6 @@ QUERIES = {
 SQL = {
     "op1_minhash_near_dedup": OP1_SQL,
     "op2_substring_dedup": OP2_SQL,
+    "op3_url_filter": OP3_SQL,
+    "op5_warc": OP5_SQL,
 }
