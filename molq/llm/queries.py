@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from molq.llm.decontaminate import UNITS, find_leaks
 from molq.llm.lang_id import fit_language_centroids, predict_language
 from molq.llm.near_dedup import near_duplicate_entities
 from molq.llm.phrase_dedup import remove_recurring_runs
@@ -139,6 +140,48 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
+
+
+def _marked_sql(source: str) -> str:
+    """The canonical line of ``source`` (k, text) in SQL, step by step."""
+    return f"""
+SELECT k, trim(regexp_replace(lower(CASE WHEN regexp_matches(t3, '[0-9]') THEN regexp_replace(regexp_replace(regexp_replace(
+    regexp_replace(t3, '([0-9])[.,]([0-9])', '\\1_\\2', 'g'), '([0-9])[.,]([0-9])', '\\1_\\2', 'g'), '[0-9][0-9_]*', ' ⟦n⟧\\0 ', 'g'),
+    '(?i)(⟦n⟧[0-9_]+ +)({'|'.join(UNITS)})( |[.,;:?!)]|$)', '\\1⟦u⟧\\2\\3', 'g') ELSE t3 END), '[^\\p{{L}}\\p{{N}}\\p{{M}}⟦⟧_]+', ' ', 'g')) AS line
+FROM (SELECT k, CASE WHEN contains(t2, '⟦a⟧') THEN regexp_replace(regexp_replace(
+          t2, '(⟦a⟧\\p{{Lu}}\\p{{Ll}}+) (\\p{{Lu}}\\p{{Ll}}+)', '\\1_\\2', 'g'),
+          '(⟦a⟧\\p{{Lu}}\\p{{Ll}}+_\\p{{Ll}}+) ⟦a⟧(\\p{{Lu}}\\p{{Ll}}+)', '\\1_\\2', 'g') ELSE t2 END AS t3
+      FROM (SELECT k, regexp_replace(regexp_replace(coalesce(text, ''), '[⟦⟧]', ' ', 'g'),
+                   '([^.!?:\\s] )(\\p{{Lu}}\\p{{Ll}}+)', '\\1⟦a⟧\\2', 'g') AS t2 FROM {source}))
+""".replace("\\\\", "\\")
+
+
+def _leaks_sql() -> str:
+    docs, items = (_marked_sql(f"(SELECT {k} AS k, text FROM {t})") for k, t in (("doc_id", "documents"), ("item_id", "benchmark")))
+    tokens = """SELECT k, list_filter(string_split(line, ' '), lambda w: w <> '') AS words,
+      list_filter(string_split(regexp_replace(line, '⟦(.)⟧[^ ]*', '⟦\\1⟧', 'g'), ' '), lambda w: w <> '') AS bare FROM """.replace("\\\\", "\\")
+    windows = "SELECT k, i, bare[i:i + 7] AS win FROM (SELECT k, bare, unnest(range(1, len(bare) - 6)) AS i FROM {0} WHERE len(bare) >= 8)"
+    return f"""
+WITH d AS ({tokens} ({docs})), b AS ({tokens} ({items})),
+dw AS ({windows.format('d')}),
+bw AS (SELECT * FROM ({windows.format('b')}) WHERE len(list_filter(win, lambda w: NOT starts_with(w, '⟦'))) >= 5),
+size AS (SELECT k, count(*) AS item_windows FROM bw GROUP BY 1),
+hit AS (SELECT DISTINCT dw.k AS doc, bw.k AS item, dw.i - bw.i AS shift, bw.i AS pos FROM dw JOIN bw USING (win)),
+slot AS (SELECT DISTINCT doc, item, shift, b.words[p] AS x, d.words[p + shift] AS y
+         FROM (SELECT DISTINCT doc, item, shift, unnest(range(pos, pos + 8)) AS p FROM hit) JOIN b ON b.k = item JOIN d ON d.k = doc
+         WHERE starts_with(b.bare[p], '⟦')),
+bad AS (SELECT doc, item, shift FROM slot GROUP BY ALL HAVING count(*) > count(DISTINCT x)),
+diff AS (SELECT doc, item, shift, max(x <> y) AS differs FROM slot GROUP BY ALL),
+good AS (SELECT hit.*, coalesce(differs, false) AS differs FROM hit ANTI JOIN bad USING (doc, item, shift) LEFT JOIN diff USING (doc, item, shift)),
+merged AS (SELECT doc, item, count(DISTINCT pos) AS n, min(differs) AS r FROM good GROUP BY ALL)
+SELECT doc AS doc_id, item AS item_id, CAST(n AS INTEGER) AS n_windows, CAST(item_windows AS INTEGER) AS item_windows, r AS reparameterised
+FROM merged JOIN size ON size.k = item WHERE n >= 0.5 * item_windows
+"""
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -148,10 +191,12 @@ QUERIES = {
     "op7_quality": op7_quality,
     "op8_token_counts": op8_token_counts,
     "op9_language_id": op9_language_id,
+    "op10_decontamination": op10_decontamination,
 }
 SQL = {
     "op1_minhash_near_dedup": OP1_SQL,
     "op2_substring_dedup": OP2_SQL,
     "op3_url_filter": OP3_SQL,
     "op5_warc": OP5_SQL,
+    "op10_decontamination": _leaks_sql(),
 }
