@@ -34,27 +34,40 @@ def _tokens(texts: DataFrame) -> DataFrame:
     Each step is a column of its own, so that no step is repeated inside the conditions of the next."""
     t = F.col("t")
     names = f"({NAME}\\p{{Lu}}\\p{{Ll}}+"
-    return (texts.withColumn("t", F.regexp_replace(F.coalesce("text", F.lit("")), "[⟦⟧]", " ")).drop("text")
+    return (texts.withColumn("t", F.coalesce("text", F.lit(""))).drop("text")
+            .withColumn("t", F.when(F.contains(t, F.lit("⟦")) | F.contains(t, F.lit("⟧")), F.regexp_replace(t, "[⟦⟧]", " "))
+                        .otherwise(t))
             .withColumn("t", F.regexp_replace(t, r"([^.!?:\s] )(\p{Lu}\p{Ll}+)", f"$1{NAME}$2"))
             .withColumn("t", F.when(F.contains(t, F.lit(NAME)), F.regexp_replace(F.regexp_replace(
                 t, f"{names}) (\\p{{Lu}}\\p{{Ll}}+)", "$1_$2"), f"{names}_\\p{{Ll}}+) {NAME}(\\p{{Lu}}\\p{{Ll}}+)", "$1_$2")).otherwise(t))
             .withColumn("t", F.when(t.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(
                 t, r"([0-9])[.,]([0-9])", "$1_$2"), r"([0-9])[.,]([0-9])", "$1_$2"), r"[0-9][0-9_]*", f" {NUMBER}$0 "),
                 f"(?i)({NUMBER}[0-9_]+ +)({'|'.join(UNITS)})( |[.,;:?!)]|$)", f"$1{UNIT}$2$3")).otherwise(t))
-            .withColumn("line", F.trim(F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}\p{M}⟦⟧_]+", " "))).drop("t")
+            .withColumn("line", F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}\p{M}⟦⟧_ ]+", " ")).drop("t")
             .withColumn("bare", F.when(F.contains("line", F.lit("⟦")), F.regexp_replace("line", "⟦(.)⟧[^ ]*", "⟦$1⟧"))
                         .otherwise(F.col("line"))))
 
 
 def _split(column: str) -> Column:
-    return F.when(F.col(column) == "", F.array().cast("array<string>")).otherwise(F.split(column, " "))
+    return F.array_remove(F.split(column, " "), "")
 
 
 def _windows(tokens: DataFrame, key: str, width: int) -> DataFrame:
-    """(key, at, window): hash of every window; ``at`` counts words from 1."""
-    template = tokens.select(key, _split("bare").alias("template")).where(F.size("template") >= width)
-    hashed = F.transform(F.sequence(F.lit(1), F.size("template") - (width - 1)), lambda i: F.xxhash64(F.slice("template", i, width)))
-    return template.select(key, F.posexplode(hashed).alias("at", "window")).withColumn("at", F.col("at") + 1)
+    """(key, at, window): hash of every run of ``width`` template words; ``at`` counts words from 1.
+
+    Hashes of 1, 2, 4, ... words are put together from the hashes of half the length."""
+    if width & (width - 1):
+        raise ValueError("the window width must be a power of two")
+    runs = tokens.select(key, F.transform(_split("bare"), lambda w: F.xxhash64(w)).alias("run")).withColumn("n", F.size("run"))
+    size = 1
+    while size < width:
+        # The places at the end whose second half is missing are cut off below.
+        runs = runs.withColumn("run", F.zip_with("run", F.slice("run", size + 1, 1 << 30), lambda a, b: F.xxhash64(a, b)))
+        size *= 2
+    # An outer explode, so that no condition on the array is pushed down and evaluates every step again.
+    whole = F.slice("run", F.lit(1), F.greatest(F.col("n") - (width - 1), F.lit(0)))
+    return (runs.select(key, F.posexplode_outer(whole).alias("at", "window")).where("window is not null")
+            .withColumn("at", F.col("at") + 1))
 
 
 def find_leaks(records: DataFrame, benchmark: DataFrame, id_col: str = "dataset", text_col: str = "provenance",
