@@ -123,6 +123,21 @@ def fit_language_centroids(labelled: DataFrame, id_col: str = "dataset", text_co
     return LanguageCentroids([r["lang"] for r in made], np.stack([np.frombuffer(r["centroid"], np.float32) for r in made]), idf)
 
 
+def _nearest(texts: list[str | None], known: LanguageCentroids, fold: np.ndarray,
+             reject_below: float) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(labels, cosines, rejected) of a few hundred texts."""
+    lettered = np.array([bool(t) and LETTER.search(t) is not None for t in texts], bool)
+    labels, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    rows = np.flatnonzero(lettered)
+    if len(rows):
+        cosines = _vectors([texts[i] for i in rows], known.idf, fold) @ known.centroids.T
+        best = cosines.argmax(axis=1)
+        scores[rows] = np.clip(cosines[np.arange(len(best)), best], 0, 1)
+        for i, b in zip(rows.tolist(), best.tolist(), strict=True):
+            labels[i] = known.labels[b]
+    return labels, scores, (scores < reject_below) | ~lettered
+
+
 def predict_language(records: DataFrame, model: LanguageCentroids, id_col: str = "dataset",
                      text_col: str = "provenance", reject_below: float = REJECT_BELOW) -> DataFrame:
     """(id, lang_pred, score, rejected) for every row.
@@ -139,19 +154,26 @@ def predict_language(records: DataFrame, model: LanguageCentroids, id_col: str =
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [t for (t,) in rows_of(part, "text")]
-                lettered = [bool(t) and LETTER.search(t) is not None for t in texts]
-                labels, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-                if any(lettered):
-                    at_rows = np.flatnonzero(lettered)
-                    cosines = _vectors([texts[i] for i in at_rows], known.idf, fold) @ known.centroids.T
-                    best = cosines.argmax(axis=1)
-                    scores[at_rows] = np.clip(cosines[np.arange(len(best)), best], 0, 1)
-                    for i, b in zip(at_rows.tolist(), best.tolist(), strict=True):
-                        labels[i] = known.labels[b]
+                labels, scores, rejected = _nearest([t for (t,) in rows_of(part, "text")], known, fold, reject_below)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(labels), pa.array(scores),
-                     pa.array((scores < reject_below) | ~np.array(lettered, bool))], ["id", "lang_pred", "score", "rejected"])
+                    [part.column("id"), pa.array(labels), pa.array(scores), pa.array(rejected)],
+                    ["id", "lang_pred", "score", "rejected"])
 
     out = texts.mapInArrow(predict, f"id {id_type(texts, 'id')}, lang_pred string, score double, rejected boolean")
     return out.withColumnRenamed("id", id_col)
+
+
+def drop_rejected(records: DataFrame, model: LanguageCentroids, text_col: str = "provenance",
+                  reject_below: float = REJECT_BELOW) -> DataFrame:
+    """``records``, all columns as they are, without the rows that ``predict_language`` rejects."""
+    shipped = records.sparkSession.sparkContext.broadcast(model)
+    place = records.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, fold = shipped.value, _folding()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                yield part.filter(pa.array(~_nearest(part.column(place).to_pylist(), known, fold, reject_below)[2]))
+
+    return records.mapInArrow(keep, records.schema)

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import ahocorasick
 import numpy as np
@@ -38,17 +38,19 @@ SHARD_WORDS = 100_000
 
 
 def _chunker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, made, held, size = TaskContext.get().partitionId(), 0, [], 0
+    part, made, held, size, kind = TaskContext.get().partitionId(), 0, [], 0, pa.null()
 
     def row() -> pa.RecordBatch:
         held.sort(key=lambda r: (r[0] is None, r[0]))
         return pa.RecordBatch.from_arrays(
             [pa.array([f"{part}-{made}"]), pa.array([[r[0] for r in held]], pa.list_(pa.int64())),
-             pa.array([[r[1] for r in held]], pa.list_(pa.string()))], ["chunk", "ids", "texts"])
+             pa.array([[r[1] for r in held]], pa.list_(pa.string())), pa.array([[r[2] for r in held]], pa.list_(kind))],
+            ["chunk", "ids", "texts", "carried"])
 
     for batch in batches:
-        for num, text in rows_of(batch, "num", "text"):
-            held.append((num, text))
+        kind = batch.schema.field("carried").type
+        for num, text, carried in rows_of(batch, "num", "text", "carried"):
+            held.append((num, text, carried))
             size += len(text or "") + 64
             if size >= CHUNK_BYTES:
                 yield row()
@@ -275,7 +277,8 @@ def _locator(width: int):
 def _cutter(width: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, texts, spans in rows_of(batch, "ids", "texts", "spans"):
+            kind = batch.schema.field("carried").type.value_type
+            for ids, texts, carried, spans in rows_of(batch, "ids", "texts", "carried", "spans"):
                 words = _word_lists(texts)
                 marks = {}
                 for s in spans or ():
@@ -286,8 +289,8 @@ def _cutter(width: int):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array([len(w) for w in words], pa.int64()),
                      pa.array([len(w) - len(k) for w, k in zip(words, kept, strict=True)], pa.int64()),
-                     pa.array([b" ".join(k).decode("utf-8", "surrogatepass") for k in kept], pa.string())],
-                    ["num", "n_words", "n_removed", "kept_features"])
+                     pa.array([b" ".join(k).decode("utf-8", "surrogatepass") for k in kept], pa.string()),
+                     pa.array(carried, kind)], ["num", "n_words", "n_removed", "kept_features", "carried"])
 
     return cut
 
@@ -295,7 +298,8 @@ def _cutter(width: int):
 def _chunk_table(texts: DataFrame) -> DataFrame:
     """Texts as chunk rows, stored once and bucketed by chunk."""
     spark, name = texts.sparkSession, f"chunks_{uuid.uuid4().hex}"
-    chunks = texts.mapInArrow(_chunker, "chunk string, ids array<bigint>, texts array<string>")
+    carried = texts.schema["carried"].dataType.simpleString()
+    chunks = texts.mapInArrow(_chunker, f"chunk string, ids array<bigint>, texts array<string>, carried array<{carried}>")
     (chunks.write.format("parquet").option("path", shared_folder(spark, "chunks")).option("compression", "zstd")
      .option("parquet.block.size", str(16 << 20)).bucketBy(shuffle_width(texts), "chunk").saveAsTable(name))
     return spark.table(name)
@@ -318,34 +322,36 @@ def located_claims(runs: DataFrame, width: int) -> DataFrame:
             .mapInArrow(_locator(width), "owner bigint, key binary, spans array<struct<lo:int,hi:int>>"))
 
 
-def _numbered(entities: DataFrame, entity_col: str, features_col: str) -> tuple[DataFrame, DataFrame | None]:
+def _numbered(entities: DataFrame, entity_col: str, features_col: str, carry: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
     """Texts with integer ids; ids of other types are numbered in their order first."""
-    texts = entities.select(F.col(entity_col).alias("id"), F.col(features_col).alias("text"))
+    carried = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]) if carry else F.lit(0)
+    texts = entities.select(F.col(entity_col).alias("id"), F.col(features_col).alias("text"), carried.alias("carried"))
     if id_type(texts, "id") in ("bigint", "int", "smallint", "tinyint"):
-        return texts.select(F.col("id").cast("bigint").alias("num"), "text"), None
+        return texts.select(F.col("id").cast("bigint").alias("num"), "text", "carried"), None
     index = stored(dense_index(texts.select("id").where("id is not null").distinct(), ["id"], "num"), "numbers")
-    return texts.join(index, "id", "left").select("num", "text"), index
+    return texts.join(index, "id", "left").select("num", "text", "carried"), index
 
 
 def remove_recurring_runs(entities: DataFrame, entity_col: str = "cell_id", features_col: str = "features",
-                          width: int = 13) -> DataFrame:
-    """(entity, n_words, n_removed, kept_features) for every row of ``entities``.
+                          width: int = 13, carry: Sequence[str] = ()) -> DataFrame:
+    """(entity, n_words, n_removed, kept_features, carried columns) for every row of ``entities``.
 
     Words are cut at blanks, tabs and line ends and kept unchanged; ``kept_features`` joins the words
     left by one blank. Windows are judged on the input. Null or short text: nothing to remove, kept as
     it is ("" for null). Null id: kept whole, and no other entity loses words to it. Rows that repeat an
-    id do not remove each other's words. Other columns are not read. An empty table gives an empty
-    result.
+    id do not remove each other's words. Columns named in ``carry`` are passed on, others are not read.
+    An empty table gives an empty result.
     """
-    numbered, index = _numbered(entities, entity_col, features_col)
+    numbered, index = _numbered(entities, entity_col, features_col, carry)
     chunks = _chunk_table(numbered)
     buckets = shuffle_width(chunks)
-    sent = chunks.mapInArrow(_sender(width, buckets), "bucket int, chunk string, hashes binary, docs binary, "
-                                                      "doc_of binary, several binary")
+    bare = chunks.select("chunk", "ids", "texts")
+    sent = bare.mapInArrow(_sender(width, buckets), "bucket int, chunk string, hashes binary, docs binary, "
+                                                    "doc_of binary, several binary")
     answers = (sent.repartition(buckets, "bucket").sortWithinPartitions("bucket")
                .mapInArrow(_merger, "chunk string, bucket int, recurs binary, foreign binary, owners binary")
                .groupBy("chunk").agg(F.collect_list(F.struct("bucket", "recurs", "foreign", "owners")).alias("answers")))
-    runs = stored(chunks.join(answers, "chunk").mapInArrow(
+    runs = stored(bare.join(answers, "chunk").mapInArrow(
         _passage_finder(width, buckets), "owned boolean, chunk string, doc int, start int, windows int, owner bigint, "
                                          "key binary, text string"), "runs")
     located = located_claims(runs, width)
@@ -353,9 +359,12 @@ def remove_recurring_runs(entities: DataFrame, entity_col: str = "cell_id", feat
     spans = (runs.where("not owned").drop("text").join(located, ["owner", "key"])
              .select("chunk", "doc", "start", F.explode("spans").alias("s"))
              .groupBy("chunk").agg(F.collect_list(span).alias("spans")))
+    kind = numbered.schema["carried"].dataType.simpleString()
     out = chunks.join(spans, "chunk", "left").mapInArrow(
-        _cutter(width), "num bigint, n_words bigint, n_removed bigint, kept_features string")
+        _cutter(width), f"num bigint, n_words bigint, n_removed bigint, kept_features string, carried {kind}")
     if index is None:
-        kind = id_type(entities, entity_col)
-        return out.select(F.col("num").cast(kind).alias(entity_col), "n_words", "n_removed", "kept_features")
-    return out.join(index, "num", "left").select(F.col("id").alias(entity_col), "n_words", "n_removed", "kept_features")
+        entity = F.col("num").cast(id_type(entities, entity_col))
+    else:
+        out, entity = out.join(index, "num", "left"), F.col("id")
+    return out.select(entity.alias(entity_col), "n_words", "n_removed", "kept_features",
+                      *[F.col(f"carried.c{i}").alias(c) for i, c in enumerate(carry)])

@@ -14,6 +14,7 @@ from molq.llm.pieces import encode_and_decode
 from molq.llm.quality_fm import fit_quality, score_quality
 from molq.llm.token_counts import token_counts
 from molq.llm.url_filter import filter_urls
+from molq.llm.vector_dedup import near_duplicate_profiles
 from molq.llm.warc import read_archives, write_archives
 from molq.plans.fixtures import table
 
@@ -92,6 +93,27 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM parts LEF
 """
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profiles = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("cell_id"), "embedding", F.col("label").alias("cell_type"))
+    return near_duplicate_profiles(profiles, cosine=0.93).withColumnRenamed("cell_id", "vec_id")
+
+
+OP4_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+          WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+n AS (SELECT x AS vec_id, count(*) AS n_links FROM links GROUP BY 1),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+low AS (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM low LEFT JOIN n USING (vec_id)
+"""
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     listing = write_archives(table(spark, sf_dir, "pages"), "page_id", "url", "html")
     return read_archives(listing).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -186,6 +208,7 @@ QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_url_filter": op3_url_filter,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_warc": op5_warc,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_quality": op7_quality,
@@ -197,6 +220,7 @@ SQL = {
     "op1_minhash_near_dedup": OP1_SQL,
     "op2_substring_dedup": OP2_SQL,
     "op3_url_filter": OP3_SQL,
+    "op4_embedding_near_dedup": OP4_SQL,
     "op5_warc": OP5_SQL,
     "op10_decontamination": _leaks_sql(),
 }
