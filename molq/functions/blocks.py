@@ -250,8 +250,9 @@ def replicate_weights(h: np.ndarray, replicates: np.ndarray, seed: int, rate: fl
         z = (z ^ (z >> np.uint64(27))) * m2
         z = z ^ (z >> np.uint64(31))
     u = (z >> np.uint64(11)).astype(np.float64) / float(1 << 53)
-    # Inverse CDF; the tail beyond the table has probability below 1e-15 for rates up to 1.
-    terms = np.exp(-rate) * np.cumprod(np.concatenate([[1.0], rate / np.arange(1, 24)]))
+    # Inverse CDF; the table ends where the tail is below the resolution of the draws.
+    size = int(rate + 12 * np.sqrt(rate) + 24)
+    terms = np.exp(-rate) * np.cumprod(np.concatenate([[1.0], rate / np.arange(1, size)]))
     return np.searchsorted(np.cumsum(terms), u, side="right").astype(np.float64)
 
 

@@ -110,25 +110,43 @@ def dense_index(df: DataFrame, order: Sequence, name: str) -> DataFrame:
                  .drop("_part", "_place", "_offset")
 
 
-def hashed_sample(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
-    """Exactly n rows (or all), those of lowest key hash.
-
-    Bucket counts of the hash tell where the n-th row lies; lower buckets are kept as they are
-    and only the boundary bucket, a millionth of the rows, is put in order."""
-    h = F.xxhash64(F.lit(seed), F.col(key))
-    rows = df.withColumn("_h", h).withColumn("_b", F.shiftrightunsigned("_h", 44))
-    part = Window.partitionBy(F.lit(0)).orderBy("_b")
-    sizes = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).withColumn(
-        "_upto", F.sum("_n").over(part.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    edge = sizes.where(F.col("_upto") >= n).agg(F.min_by(F.struct("_b", (F.col("_upto") - F.col("_n")).alias("before")), "_b")
-                                                .alias("e"))
-    edge_b = F.coalesce(edge.select("e._b").scalar(), F.lit((1 << 20)).cast("long"))
-    before = edge.select("e.before").scalar()
-    kept = rows.where(F.col("_b") < edge_b)
-    last = Window.partitionBy("_b").orderBy("_h", key)
+def lowest_rows(df: DataFrame, n: int, bucket: Column, order: Sequence) -> DataFrame:
+    """Exactly the n first rows (or all) in ``order``, where ``bucket`` is a monotone function of it.
+
+    Bucket counts tell where the n-th row lies; lower buckets are kept as they are and only rows of the
+    boundary bucket are put in order, so no task sees more than that bucket."""
+    rows = df.withColumn("_b", bucket)
+    upto = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sizes = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_upto", F.sum("_n").over(upto))
+    edge = sizes.where(F.col("_upto") >= n).agg(
+        F.min_by(F.struct("_b", (F.col("_upto") - F.col("_n")).alias("before")), "_b").alias("e"))
+    edge_b, before = edge.select("e._b").scalar(), edge.select("e.before").scalar()
+    kept = rows.where(edge_b.isNull() | (F.col("_b") < edge_b))
+    last = Window.partitionBy("_b").orderBy(*order)
     boundary = (rows.where(F.col("_b") == edge_b).withColumn("_r", F.row_number().over(last))
                 .where(F.col("_r") <= F.lit(n) - before).drop("_r"))
-    return kept.unionByName(boundary).drop("_h", "_b")
+    return kept.unionByName(boundary).drop("_b")
+
+
+def drawn(seed: int, key) -> Column:
+    """A 60-bit number from the md5 of seed and key: the same in every engine and after every retry."""
+    text = F.concat(F.lit(f"{seed}-"), col(key).cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
+def hashed_sample(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
+    """Exactly n rows (or all), those of lowest drawn number, ties by key."""
+    rows = df.withColumn("_h", drawn(seed, key))
+    return lowest_rows(rows, n, F.shiftright("_h", 40), ["_h", key]).drop("_h")
+
+
+def min_ranks(df: DataFrame, value: str, by: Sequence[str], name: str, descending: bool = False) -> DataFrame:
+    """Adds the 1-based minimum rank of ``value`` within ``by``; undefined values get none. No group is
+    sorted in one task."""
+    v = -F.col(value) if descending else F.col(value)
+    ranks = average_ranks(df.select(*by, v.alias("_v")), "_v", by).select(
+        *by, F.col("v").alias("_v"), (F.col("rank") - (F.col("n") - 1) / 2).cast("int").alias(name))
+    return df.withColumn("_v", finite(v)).join(ranks, [*by, "_v"], "left").drop("_v")
 
 
 def top_k_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int,

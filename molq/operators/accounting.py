@@ -190,9 +190,10 @@ def cell_counts(df: DataFrame, min_tx: int, max_tx: int, cell_col: str = "cell_i
     The class of an entity is that of its first molecule in ``order_col``."""
     aggs = [F.count(F.lit(1)).alias("n")]
     has_class = bool(etype_col) and etype_col in df.columns
+    if has_class and not order_col:
+        raise ValueError("the class of an entity needs order_col: which molecule counts as the first")
     if has_class:
-        aggs.append((F.min_by(etype_col, order_col) if order_col else F.first(etype_col))
-                    .alias("kind"))
+        aggs.append(F.min_by(etype_col, order_col).alias("kind"))
     per = df.where(~X.is_unassigned(cell_col, preset)).groupBy(cell_col).agg(*aggs)
     ok = X.within("n", min_tx, max_tx, bounds)
     of_class = lambda k: (F.count_if(F.col("kind") == k) if has_class

@@ -80,8 +80,8 @@ def ensure_transcript_columns(df: DataFrame, method: str) -> DataFrame:
     """Fill the columns the older contract expects; ids become strings."""
     out = _fill_columns(df, TRANSCRIPT_DEFAULTS)
     if "transcript_id" not in out.columns:
-        # Unique, not dense: no shuffle and no single-task numbering.
-        out = out.withColumn("transcript_id", F.monotonically_increasing_id())
+        # Numbered once and stored, so later scans and joins see the same ids.
+        out = dense_index(out, out.columns, "transcript_id")
     if "method" not in out.columns:
         out = out.withColumn("method", F.lit(method))
     return out.withColumn("cell_id_method", F.col("cell_id_method").cast("string"))
@@ -377,18 +377,10 @@ def center_subset(df: DataFrame, span: float, n: int, seed: int = 0,
     mid_x = e.select((F.col("x0") + F.col("x1")) / 2).scalar()
     mid_y = e.select((F.col("y0") + F.col("y1")) / 2).scalar()
     inside = (F.abs(F.col("x") - mid_x) <= span / 2) & (F.abs(F.col("y") - mid_y) <= span / 2)
-    order = [F.col("_out"), F.when(F.col("_out") == 0, F.xxhash64(F.lit(seed), F.col(key))),
-             F.col(key)]
-    picked = (df.withColumn("_out", F.when(inside, 0).otherwise(1)).orderBy(*order).limit(n))
-    best = F.min("_out").over(_whole())
-    # At most n rows reach this window.
-    return picked.withColumn("_best", best).where(F.col("_out") == F.col("_best")) \
-                 .drop("_out", "_best")
-
-
-def _whole():
-    from pyspark.sql import Window
-    return Window.partitionBy(F.lit(0))
+    box = df.where(inside)
+    if box.isEmpty():
+        return dense_index(df, [key], "_place").where(F.col("_place") < n).drop("_place")
+    return hashed_sample(box, n, seed, key)
 
 
 def clear_nuclear_flag(df: DataFrame) -> DataFrame:

@@ -129,12 +129,13 @@ BROAD_OR_STRESS = (
 
 def marker_panel(canonical: DataFrame, fallback: DataFrame, platform: DataFrame,
                  ref_counts: DataFrame, ref_labels: DataFrame, target: int = 3, minimum: int = 2,
-                 maximum: int = 5, min_specificity: float = 0.10, max_candidates: int = 30,
+                 maximum: int = 5, min_specificity: float = 0.10, max_candidates: int | None = None,
                  broad: Sequence[str] = BROAD_OR_STRESS) -> DataFrame:
     """Audit of every candidate: canonical features first, then data-driven ones.
 
     canonical / fallback: cell_type, gene, rank. A lineage takes its best ``target`` eligible
-    canonical features; with fewer than ``minimum`` of them, fallback ones fill up to target.
+    canonical features; with fewer than ``minimum`` of them, fallback ones fill up to target. ``max_candidates``
+    bounds the priority of fallback candidates when a caller asks for it.
     """
     src = lambda df, name, n: df.select("cell_type", "gene", "rank", F.lit(name).alias("source"),
                                         F.lit(n).alias("_s"))
@@ -145,7 +146,9 @@ def marker_panel(canonical: DataFrame, fallback: DataFrame, platform: DataFrame,
     first = Window.partitionBy("cell_type", "gene").orderBy("_s", "rank")
     cands = cands.withColumn("_d", F.row_number().over(first)).where("_d = 1")
     cands = cands.withColumn("priority", F.row_number().over(by_type.orderBy("_s", "rank", "gene")))
-    cands = cut_lineage(cands.where((F.col("_s") == 0) | (F.col("priority") <= max_candidates)))
+    if max_candidates is not None:
+        cands = cands.where((F.col("_s") == 0) | (F.col("priority") <= max_candidates))
+    cands = cut_lineage(cands)
     flag = lambda df, name: df.select(F.col("feature_name").alias("gene")).distinct().withColumn(
         name, F.lit(True))
     spec = reference_specificity(ref_counts, ref_labels, cands.select("cell_type", "gene"))

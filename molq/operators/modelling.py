@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from molq.functions import expr as X
 from molq.functions.blocks import feature_index
+from molq.functions.ordering import dense_index
 from molq.operators.profiles import log_normalize
 from molq.session import cut_lineage
 
@@ -25,8 +26,8 @@ def deterministic_clusters(counts: DataFrame, k: int = 12, components: int = 50,
     width = index.count()
     packed = F.sort_array(F.collect_list(F.struct("g", "value")))
     rows = (log_normalize(counts).where("value <> 0").join(index, "feature_name").groupBy("cell_id").agg(packed.alias("p"))
-            .select(F.xxhash64("cell_id").alias("key"), "cell_id", F.col("p.g").alias("idx"), F.col("p.value").alias("val")))
-    rows = cut_lineage(rows)
+            .select("cell_id", F.col("p.g").alias("idx"), F.col("p.value").alias("val")))
+    rows = cut_lineage(dense_index(rows, ["cell_id"], "key"))
     n = rows.count()
     dims = int(min(components, max(2, min(n, width) - 1)))
     matrix = IndexedRowMatrix(rows.select("key", "idx", "val").rdd.map(

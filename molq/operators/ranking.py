@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from molq.functions import expr as X
-from molq.functions.ordering import quantiles, top_k_per_group
+from molq.functions.ordering import lowest_rows, min_ranks, quantiles, top_k_per_group, value_bucket
 
 
 def rank_and_penalize(runs: DataFrame) -> DataFrame:
@@ -18,13 +18,12 @@ def rank_and_penalize(runs: DataFrame) -> DataFrame:
     refined_median_tx, unassigned_frac, relative_purity.
     """
     by = ["dataset"]
-    w = lambda c: Window.partitionBy(*by).orderBy(c)
     med_cols = ("n_cells", "runtime_seconds", "peak_memory_gb")
     from molq.operators.accounting import group_medians
     r = runs.join(group_medians(runs, med_cols, by), by, "left")
     # NULL metrics get no rank, as NaN does.
-    rank = lambda c: F.when(F.col(c).isNotNull(), F.rank().over(w(F.col(c).desc_nulls_last())))
-    r = r.withColumns({"rank_marker": rank("marker_log2fc"), "rank_kendall": rank("kendall_tau")})
+    for c, name in (("marker_log2fc", "rank_marker"), ("kendall_tau", "rank_kendall")):
+        r = min_ranks(r, c, by, name, descending=True)
     have = F.array_compact(F.array("rank_marker", "rank_kendall"))
     mean_rank = F.aggregate(have, F.lit(0.0), lambda a, b: a + b) / F.nullif(
         F.size(have), F.lit(0))
@@ -48,9 +47,7 @@ def rank_and_penalize(runs: DataFrame) -> DataFrame:
     flags = F.concat_ws(";", *[F.when(cond, flag) for cond, _, flag in rules])
     r = r.withColumns({"mean_rank": mean_rank, "penalty": penalty, "penalty_flags": flags})
     r = r.withColumn("penalized_score", F.col("mean_rank") + F.col("penalty"))
-    final = F.when(F.col("penalized_score").isNotNull(),
-                   F.rank().over(w(F.col("penalized_score").asc_nulls_last())))
-    return r.withColumn("final_rank", final).drop(*[f"median_{c}" for c in med_cols])
+    return min_ranks(r, "penalized_score", by, "final_rank").drop(*[f"median_{c}" for c in med_cols])
 
 
 def best_per_group(df: DataFrame, by: Sequence[str], order: Sequence) -> DataFrame:
@@ -95,11 +92,12 @@ def nearest_to_quantile(df: DataFrame, value: str, probs: dict[str, float],
 
 def nearest_to_median_point(df: DataFrame, n: int, x: str = "x", y: str = "y",
                             key: str = "transcript_id") -> DataFrame:
-    """The n rows nearest to the coordinate medians: a distributed top-n."""
+    """The n rows nearest to the coordinate medians; rows with undefined coordinates are no candidates."""
     mx = quantiles(df, x, {"m": 0.5}).select("m").scalar()
     my = quantiles(df, y, {"m": 0.5}).select("m").scalar()
     d2 = (F.col(x) - mx) * (F.col(x) - mx) + (F.col(y) - my) * (F.col(y) - my)
-    return df.withColumn("dist2", d2).orderBy("dist2", key).limit(n)
+    rows = df.withColumn("dist2", d2).where("dist2 IS NOT NULL")
+    return lowest_rows(rows, n, value_bucket("dist2"), ["dist2", key])
 
 
 def display_order(df: DataFrame, order: Sequence[str], col: str = "method") -> DataFrame:

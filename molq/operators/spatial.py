@@ -373,19 +373,27 @@ def neighbour_composition(graph: DataFrame, labels: DataFrame) -> DataFrame:
                         / F.sum("n_neighbours").over(Window.partitionBy("cell_id")))
 
 
-def nearest_one(queries: DataFrame, candidates: DataFrame, start: float, max_rounds: int = 24) -> DataFrame:
-    """The nearest candidate of every query, however far. A tile search settles the queries that
-    find one within the tile size; the rest repeat with tiles four times larger, so each round
-    is a bounded job on a shrinking set."""
-    open_q, settled, r = cut_lineage(queries), None, float(start)
-    for _ in range(max_rounds):
+def nearest_one(queries: DataFrame, candidates: DataFrame, start: float) -> DataFrame:
+    """The nearest candidate of every query with finite coordinates, however far. A tile search settles
+    the queries that find one within the tile size; the rest repeat with tiles four times larger, so each
+    round is a bounded job on a shrinking set. The radius ends at the joint extent, where nothing can be left."""
+    finite = lambda d: d.where(X.finite("x").isNotNull() & X.finite("y").isNotNull())
+    open_q, candidates, r = cut_lineage(finite(queries)), cut_lineage(finite(candidates)), float(start)
+    settled = nearest_within(open_q, candidates, 1, r)
+    if candidates.isEmpty():
+        return settled
+    e = extent(open_q.select("x", "y").unionByName(candidates.select("x", "y"))).first()
+    widest = 0.0 if e["xmin"] is None else math.hypot(e["xmax"] - e["xmin"], e["ymax"] - e["ymin"])
+    settled = None
+    while True:
         hit = cut_lineage(nearest_within(open_q, candidates, 1, r))
         settled = hit if settled is None else settled.unionByName(hit)
         open_q = cut_lineage(open_q.join(hit.select("id"), "id", "left_anti"))
         if open_q.isEmpty():
-            break
+            return settled
+        if r > 2 * widest:
+            raise RuntimeError("queries are left without a neighbour at the joint extent")
         r *= 4.0
-    return settled
 
 
 def mutual_nearest(ref: DataFrame, other: DataFrame, start: float) -> DataFrame:

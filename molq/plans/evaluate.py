@@ -37,7 +37,7 @@ def method_metrics(df: DataFrame, ref_counts: DataFrame, ref_obs: DataFrame, pan
                    skip: Sequence[str] = ()) -> dict[str, DataFrame]:
     """The lettered metric set of one assignment table: assignment, entity counts, QC, labels,
     reference agreement, marker specificity, coherence. The kept entities are a semi join."""
-    out = {"assignment": A.assignment_pre_post(df), "entities": A.cell_counts(df, min_tx, max_tx)}
+    out = {"assignment": A.assignment_pre_post(df), "entities": A.cell_counts(df, min_tx, max_tx, order_col="transcript_id")}
     counts = cut_lineage(A.cell_gene_counts(df, keep=A.kept_entities(df, min_tx, max_tx)))
     if "qc" not in skip:
         out["qc"] = A.cell_qc(counts)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,18 +30,32 @@ def build_session(master: str = "local[8]", app: str = "molq",
     return spark
 
 
+def is_local(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster; a fresh local one only if unset."""
+    """The shared checkpoint folder named by the cluster.
+
+    Only a local master may go without one: elsewhere each machine would write to its own disk."""
     sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current:
         return current
-    target = configured or tempfile.mkdtemp(prefix="molq-checkpoint-")
+    target = spark.conf.get("spark.checkpoint.dir", None)
+    if not target:
+        if not is_local(sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        target = tempfile.mkdtemp(prefix="molq-checkpoint-")
     sc.setCheckpointDir(target)
     return target
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so lost executors can re-read it."""
     ensure_checkpoint_dir(df.sparkSession)

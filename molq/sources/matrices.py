@@ -24,9 +24,15 @@ def read_matrix_market(spark: SparkSession, matrix: str, rows: str, cols: str,
 
     The size line is the first line after the comments; it is told apart from entries by its
     position in the file, found from one ordered take of the header."""
-    lines = spark.read.text(matrix)
-    header = spark.read.text(matrix).where(~F.col("value").startswith("%")).limit(1)
-    size_line = header.select("value").scalar()
+    lines = spark.read.option("recursiveFileLookup", True).text(matrix)
+    # The banner opens the file with the size line, whatever the order in which parts are listed.
+    placed = lines.select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("s"),
+                          F.monotonically_increasing_id().alias("l"))
+    banner = placed.where(F.startswith("value", F.lit("%%MatrixMarket"))).agg(F.min("f").alias("f"))
+    place = F.struct("s", "l")
+    size_line = (placed.where(~F.startswith("value", F.lit("%")) & (F.length(F.trim("value")) > 0)
+                              & (F.col("f") == banner.select("f").scalar()))
+                 .agg(F.min_by("value", place).alias("v")).select("v").scalar())
     body = lines.where(~F.col("value").startswith("%") & (F.length(F.trim("value")) > 0))
     parts = F.split(F.trim("value"), r"\s+")
     coords = body.select("value", parts[0].cast("long").alias("i"), parts[1].cast("long").alias("j"),

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import re
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from molq.operators.accounting import cell_gene_counts, derive_cells
+from molq.session import shuffle_width
 
 
 def write_standardized(df: DataFrame, directory: str, method: str, tile: float = 500.0) -> None:
@@ -41,17 +46,35 @@ def recompress(spark: SparkSession, source: str, target: str, codec: str) -> Non
 
 def file_manifest(spark: SparkSession, paths: str | Sequence[str],
                   root: str | None = None) -> DataFrame:
-    """Relative path, size and SHA-256 of every file, hashed where the file is read.
+    """Relative path, size and SHA-256 of every file.
 
-    A file is one value here, so files above 2 GB are outside this operator's reach."""
+    Only paths and lengths are listed; tasks read the files in pieces, so their size does not matter. Files
+    in stores that only Spark can open are hashed as one value each, which ends at 2 GB."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     base = (root or paths[0]).rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
     name = F.regexp_replace("path", r"^[a-z0-9]+:/*", "/")
-    return files.select(
-        F.when(name.startswith(base + "/"), F.substring(name, len(base) + 2, 1 << 20))
-        .otherwise(name).alias("path"),
-        F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    base = re.sub(r"^[a-z0-9]+:/*", "/", base)
+    shown = (F.when(name.startswith(base + "/"), F.substring(name, len(base) + 2, 1 << 20)).otherwise(name).alias("path"))
+    open_to_tasks = F.col("path").rlike("^(file|hdfs|s3|gs|abfs|abfss):")
+    listed = files.where(open_to_tasks).select(shown, F.col("length").alias("bytes"), F.col("path").alias("uri"))
+    streamed = listed.repartition(shuffle_width(listed), "uri").mapInArrow(_hash_files, "path string, bytes bigint, sha256 string")
+    whole = files.where(~open_to_tasks).select(shown, F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return streamed.unionByName(whole)
+
+
+def _hash_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        digests = []
+        for uri in batch.column("uri").to_pylist():
+            digest = hashlib.sha256()
+            files, path = pafs.FileSystem.from_uri(uri)
+            with files.open_input_stream(path, compression=None) as source:
+                while piece := source.read(1 << 22):
+                    digest.update(piece)
+            digests.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("bytes"), pa.array(digests, pa.string())],
+                                         ["path", "bytes", "sha256"])
 
 
 def feature_inventory(df: DataFrame) -> DataFrame:
@@ -62,6 +85,6 @@ def population_hash(df: DataFrame, id_col: str = "transcript_id",
                     feature_col: str = "feature_name") -> DataFrame:
     """Order-independent identity of a population: a commutative sum of row hashes plus the
     count, so it needs no sort and no single task."""
-    h = F.xxhash64(F.col(id_col).cast("string"), F.col(feature_col).cast("string"))
-    return df.agg(F.count(F.lit(1)).alias("n_rows"),
-                  F.sum(h.cast("decimal(20,0)")).cast("string").alias("population_hash"))
+    text = F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(feature_col).cast("string"), F.lit("")))
+    half = lambda at: F.sum(F.conv(F.substring(F.md5(text), at, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.concat_ws("-", half(1), half(16)).alias("population_hash"))

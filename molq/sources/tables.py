@@ -49,9 +49,12 @@ def symmetric_panel(pairs: DataFrame, value: str | None = None, finite_only: boo
 
 def read_pair_panel(spark: SparkSession, path: str, value: str | None = None,
                     finite_only: bool = False) -> DataFrame:
-    """CSV(.gz) of feature pairs, expanded symmetrically."""
-    raw = spark.read.option("header", True).csv(path)
-    return symmetric_panel(raw, value, finite_only)
+    """CSV(.gz) of feature pairs, expanded symmetrically; of repeated pairs the first row of the file
+    counts, also when its value is undefined."""
+    raw = spark.read.option("header", True).csv(path).select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_line"))
+    return symmetric_panel(raw, value, finite_only, order=("_file", "_block", "_line"))
 
 
 def read_per_cell_table(spark: SparkSession, path: str, numeric: Sequence[str] = ()) -> DataFrame:
@@ -148,9 +151,15 @@ def flatten_stats(stats: DataFrame, qc_keys: Sequence[str] = ()) -> DataFrame:
 
 
 def qc_keys(stats: DataFrame) -> list[str]:
-    """Distinct qc names: a handful per producer, read to the driver to name columns."""
+    """All distinct qc names, read to the driver because they name columns. ``qc_rows`` has the same
+    entries as long rows, whatever their number."""
     keys = stats.select(F.explode(F.map_keys("qc")).alias("k")).distinct().orderBy("k")
-    return [r.k for r in keys.limit(1000).collect()]
+    return [r.k for r in keys.collect()]
+
+
+def qc_rows(stats: DataFrame) -> DataFrame:
+    """(run_dir, method, qc_key, qc_value): every qc entry of every run."""
+    return stats.select("run_dir", "method", F.explode("qc").alias("qc_key", "qc_value"))
 
 
 def dummy_row(spark: SparkSession, values: Mapping[str, object], zero_cols: Sequence[str] = (),

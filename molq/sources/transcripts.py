@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from molq.functions.ordering import dense_index
 from molq.operators.contract import rename
 
 TRANSCRIPT_SCHEMA = T.StructType([
@@ -29,14 +30,15 @@ def _text(df: DataFrame, name: str):
 
 
 def read_vendor_transcripts(spark: SparkSession, directory: str) -> DataFrame:
-    """Vendor bundle: byte columns become text, a missing z is 0, a missing id is unique but
-    not dense."""
+    """Vendor bundle: byte columns become text, a missing z is 0, missing ids are dense numbers in file
+    order, stored once so that later scans see the same ids."""
     df = spark.read.parquet(f"{directory}/transcripts.parquet")
     df = df.withColumns({c: _text(df, c) for c in ("feature_name", "cell_id") if c in df.columns})
     if "z_location" not in df.columns:
         df = df.withColumn("z_location", F.lit(0.0))
     if "transcript_id" not in df.columns:
-        df = df.withColumn("transcript_id", F.monotonically_increasing_id())
+        placed = df.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_l"))
+        df = dense_index(placed, ["_f", "_l"], "transcript_id").drop("_f", "_l")
     return df
 
 

@@ -336,7 +336,9 @@ def reference_restricted(spark, sf):
     return C.restrict_genes(counts, m.where("qv > 49 AND x < 300"))
 
 
-@query("B28", None)
+@query("B28", with_parts("""
+SELECT transcript_id, feature_name FROM molecules
+ORDER BY CAST('0x' || substr(md5('7-' || transcript_id), 1, 15) AS BIGINT), transcript_id LIMIT 500"""))
 def seeded_sample(spark, sf):
     return C.subsample(molecules(spark, sf), 500, seed=7).select("transcript_id", "feature_name")
 
@@ -347,7 +349,10 @@ def seeded_sample_size(spark, sf):
         F.count(F.lit(1)).alias("n"), F.countDistinct("transcript_id").alias("n_distinct"))
 
 
-@query("B29", None)
+@query("B29", with_parts("""
+SELECT transcript_id, x, y FROM molecules, (SELECT (min(x) + max(x)) / 2 AS mx, (min(y) + max(y)) / 2 AS my FROM molecules)
+WHERE abs(x - mx) <= 100 AND abs(y - my) <= 100
+ORDER BY CAST('0x' || substr(md5('3-' || transcript_id), 1, 15) AS BIGINT), transcript_id LIMIT 300"""))
 def center_sample(spark, sf):
     return C.center_subset(molecules(spark, sf), 200.0, 300, seed=3).select("transcript_id", "x", "y")
 

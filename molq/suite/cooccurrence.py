@@ -76,8 +76,8 @@ def npmi_panel_dense(spark, sf):
 
 
 # Documents as contexts, their words as features.
-WORDS = "SELECT doc_id, unnest(string_split(lower(text), ' ')) AS w FROM documents"
-DOC_PRES = """SELECT doc_id AS c, w AS g FROM words WHERE regexp_full_match(w, '[a-z]{4,}') GROUP BY 1, 2 HAVING count(*) >= 3"""
+WORDS = r"SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS w FROM documents"
+DOC_PRES = """SELECT doc_id AS c, w AS g FROM words WHERE w <> '' GROUP BY 1, 2 HAVING count(*) >= 3"""
 
 
 @query("E01 E02 E03", "WITH words AS (" + WORDS + "), pres AS (" + DOC_PRES + """),
@@ -86,8 +86,8 @@ kij AS (SELECT a.g AS gi, b.g AS gj, count(*) AS k FROM pres a JOIN pres b ON a.
 SELECT gi AS gene_i, gj AS gene_j, round(ln((kij.k / n) / ((a.k / n) * (b.k / n))) / -ln(kij.k / n), 6) + 0.0 AS npmi
 FROM kij JOIN marg a ON gi = a.g JOIN marg b ON gj = b.g, tot""")
 def document_word_npmi(spark, sf):
-    words = table(spark, sf, "documents").select("doc_id", F.explode(F.split(F.lower("text"), " ")).alias("w")).where(
-        F.col("w").rlike("^[a-z]{4,}$"))
+    words = table(spark, sf, "documents").select("doc_id", F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("w")).where(
+        "w <> ''")
     pres = N.presence(words, "doc_id", 3, feature="w")
     return rounded(N.compute_npmi(pres).select("gene_i", "gene_j", F.col("NPMI").alias("npmi")))
 

@@ -93,11 +93,11 @@ def panel_filter_statistics(spark, sf):
 
 @query("C10 S03", with_parts("""
 , w AS (SELECT concat('r', CAST(s_suppkey AS VARCHAR)) AS roi_id, (s_suppkey * 53) % 900 AS xmin, (s_suppkey * 53) % 900 + 120 AS xmax,
-  (s_suppkey * 31) % 900 AS ymin, (s_suppkey * 31) % 900 + 90 AS ymax FROM supplier WHERE s_suppkey <= 40)
+  (s_suppkey * 31) % 900 AS ymin, (s_suppkey * 31) % 900 + 90 AS ymax FROM supplier)
 SELECT roi_id, transcript_id FROM molecules JOIN w ON x >= xmin AND x < xmax AND y >= ymin AND y < ymax"""))
 def windows_range_join(spark, sf):
     s = F.col("s_suppkey")
-    w = table(spark, sf, "supplier").where("s_suppkey <= 40").select(
+    w = table(spark, sf, "supplier").select(
         F.concat(F.lit("r"), s.cast("string")).alias("roi_id"), ((s * 53) % 900).alias("xmin"),
         ((s * 53) % 900 + 120).alias("xmax"), ((s * 31) % 900).alias("ymin"), ((s * 31) % 900 + 90).alias("ymax"))
     return J.windows_join(molecules(spark, sf), w, tile=100).select("roi_id", "transcript_id")

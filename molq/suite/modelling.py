@@ -71,7 +71,10 @@ def lognorm_sequence(spark, sf):
     return rounded(L.lognorm_sequence(sides(spark, sf)[0], 30))
 
 
-@query("L05", None)
+@query("L05", with_parts("""
+SELECT cell_id, cell_type, CASE WHEN row_number() OVER (PARTITION BY cell_type ORDER BY sha256('11|' || cell_type || '|' || cell_id), cell_id)
+ <= least(count(*) OVER (PARTITION BY cell_type) - 1, greatest(1, round_even(count(*) OVER (PARTITION BY cell_type) * 0.2, 0)))
+ THEN 'evaluation_holdout' ELSE 'reference_train' END AS reference_split FROM cell_labels""", "cell_labels"))
 def reference_split(spark, sf):
     return L.stratified_split(cell_labels(spark, sf), 0.2, 11)
 

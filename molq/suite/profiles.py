@@ -428,7 +428,7 @@ SELECT qi AS cell_id, label AS predicted_celltype, CAST(n AS INTEGER) AS n_neigh
     au="SELECT cell_id, feature_name AS g, v / sqrt(sum(v * v) OVER (PARTITION BY cell_id)) AS u FROM rn"))
 def label_transfer(spark, sf):
     q, _, r, rl = sides(spark, sf)
-    return rounded(T.transfer_labels(q, r, rl, k=15, per_type=100000))
+    return rounded(T.transfer_labels(q, r, rl, k=15, per_type=None))
 
 
 @query("F28", with_parts("""
@@ -452,7 +452,7 @@ def label_transfer_purified(spark, sf):
     from molq.operators.contract import normalize_counts_integer
     _, _, r, rl = sides(spark, sf)
     purified = normalize_counts_integer(count_pair(spark, sf)[1]).drop("was_fractional")
-    return rounded(T.transfer_labels(purified, r, rl, k=15, per_type=100000))
+    return rounded(T.transfer_labels(purified, r, rl, k=15, per_type=None))
 
 
 EMB = "SELECT CAST(vec_id AS VARCHAR) AS id, vec_id, CAST(label AS VARCHAR) AS label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings"

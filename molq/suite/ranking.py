@@ -15,12 +15,12 @@ from molq.suite.util import rounded
 RUNS_SQL = """SELECT o_orderkey AS run_id, o_orderpriority AS dataset, (o_custkey % 64) / 16.0 AS marker_log2fc, (o_orderkey % 128) / 128.0 AS kendall_tau,
  CAST(200 + (o_orderkey * 7) % 900 AS DOUBLE) AS n_cells, CAST(10 + o_custkey % 300 AS DOUBLE) AS runtime_seconds, CAST(1 + o_orderkey % 33 AS DOUBLE) AS peak_memory_gb,
  CAST(o_custkey % 60 AS DOUBLE) AS refined_median_tx, (o_orderkey % 11) / 32.0 AS unassigned_frac, CASE WHEN o_custkey % 5 = 0 THEN 1.0 ELSE 0.5 END AS relative_purity
-FROM orders WHERE o_custkey % 7 > 0"""
+FROM orders"""
 
 
 def runs(spark, sf):
     c, o = F.col("o_custkey"), F.col("o_orderkey")
-    return table(spark, sf, "orders").where("o_custkey % 7 > 0").select(
+    return table(spark, sf, "orders").select(
         o.alias("run_id"), F.col("o_orderpriority").alias("dataset"), ((c % 64) / 16.0).alias("marker_log2fc"),
         ((o % 128) / 128.0).alias("kendall_tau"), (200 + (o * 7) % 900).cast("double").alias("n_cells"),
         (10 + c % 300).cast("double").alias("runtime_seconds"), (1 + o % 33).cast("double").alias("peak_memory_gb"),

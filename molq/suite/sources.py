@@ -2,24 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from molq.operators import accounting as A
+from molq.session import shared_folder
 from molq.plans.fixtures import cell_labels, mixture_weights, molecules, table, with_parts
 from molq.sources import matrices, sinks, tables, transcripts
 from molq.suite.base import query
 from molq.suite.util import rounded
 
 
+# All feature names of the molecule view.
+FEATURES = [f"GENE{i:03d}" for i in range(60)]
+
+
 def scratch(spark, name: str) -> str:
-    """A fresh folder for one run: under the shared folder the cluster names, else local."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/molq-{name}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"molq-{name}-")
+    """A fresh folder for one run under the shared folder."""
+    return shared_folder(spark, name)
 
 
 @query("A03 A05 A07 A15 A16 A18", with_parts("""
@@ -89,11 +88,7 @@ def matrix_market_roundtrip(spark, sf):
     root = scratch(spark, "mtx")
     sinks_counts = A.cell_gene_counts(molecules(spark, sf))
     matrices.write_tenx_layout(sinks_counts, root)
-    # One file per layer for the reader, as a producer would hand it over.
-    read = spark.read.text
-    (read(f"{root}/matrix/header").unionByName(read(f"{root}/matrix/entries"))
-     .coalesce(1).write.text(f"{root}/one/matrix"))
-    return matrices.read_matrix_market(spark, f"{root}/one/matrix", f"{root}/feature_names",
+    return matrices.read_matrix_market(spark, f"{root}/matrix", f"{root}/feature_names",
                                        f"{root}/cell_ids", "feature_name", "cell_id")
 
 
@@ -106,10 +101,10 @@ def tenx_triplets(spark, sf):
 
 
 @query("A25", with_parts("""
-SELECT cell_id, CAST(sum(CASE WHEN feature_name = 'GENE000' THEN count ELSE 0 END) AS BIGINT) AS GENE000,
- CAST(sum(CASE WHEN feature_name = 'GENE001' THEN count ELSE 0 END) AS BIGINT) AS GENE001 FROM cg GROUP BY 1""", "cg"))
+SELECT cell_id, """ + ", ".join(f"CAST(sum(CASE WHEN feature_name = '{g}' THEN count ELSE 0 END) AS BIGINT) AS {g}" for g in FEATURES)
++ " FROM cg GROUP BY 1", "cg"))
 def wide_counts(spark, sf):
-    return matrices.triplets_to_wide(A.cell_gene_counts(molecules(spark, sf)), ["GENE000", "GENE001"])
+    return matrices.triplets_to_wide(A.cell_gene_counts(molecules(spark, sf)), FEATURES)
 
 
 @query("A09", with_parts("""
@@ -151,7 +146,7 @@ SELECT cell_id, count(*) AS n_types, round(sum(weight), 6) AS total FROM weights
 def per_cell_weights_tsv(spark, sf):
     root = scratch(spark, "weights")
     w = mixture_weights(spark, sf)
-    types = [r.cell_type for r in w.select("cell_type").distinct().orderBy("cell_type").limit(64).collect()]
+    types = [r.cell_type for r in w.select("cell_type").distinct().orderBy("cell_type").collect()]
     w.groupBy("cell_id").pivot("cell_type", types).agg(F.sum("weight")).write.option(
         "header", True).option("sep", "\t").csv(f"{root}/w")
     long = tables.wide_weights_to_long(tables.read_per_cell_table(spark, f"{root}/w"))
@@ -199,7 +194,10 @@ def population_identity_laws(spark, sf):
                                            (F.col("population_hash") != h(edited)).alias("content_sensitive"))
 
 
-@query("A22", None)
+@query("A22", with_parts("""
+, h AS (SELECT md5(transcript_id || '|' || feature_name) AS d FROM molecules)
+SELECT count(*) AS n_rows, CAST(sum(CAST(CAST('0x' || substr(d, 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) || '-'
+ || CAST(sum(CAST(CAST('0x' || substr(d, 16, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS population_hash FROM h"""))
 def population_identity(spark, sf):
     return sinks.population_hash(molecules(spark, sf))
 
