@@ -15,11 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from molq.session import shuffle_width
+from molq.session import cut_lineage, shuffle_width
 
 BLOCK = 1024
 ROWS = 2048
 OUT_ROWS = 1 << 18
+SHARD_ROWS = 16384
 
 
 def feature_index(features: DataFrame) -> DataFrame:
@@ -59,6 +60,14 @@ def block_pairs(rows: DataFrame, with_values: bool = False) -> DataFrame:
     return out.drop("_bs", "genes", "vals")
 
 
+def block_pair_shards(rows: DataFrame, per_shard: int | None = None) -> DataFrame:
+    """(bi, bj, shards): how many shards the rows of a block pair need. One small row per block pair."""
+    blocks = F.array_distinct(F.transform("genes", lambda g: (g / BLOCK).cast("int")))
+    one = rows.select(blocks.alias("bs")).withColumn("bi", F.explode("bs"))
+    pairs = one.select("bi", F.explode(F.filter("bs", lambda b: b >= F.col("bi"))).alias("bj"))
+    return pairs.groupBy("bi", "bj").agg(F.ceil(F.count(F.lit(1)) / F.lit(per_shard or SHARD_ROWS)).cast("int").alias("shards"))
+
+
 def _ragged(column: pa.Array, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
     """Flat values and row numbers of list rows start..stop."""
     part = column.slice(start, stop - start)
@@ -143,9 +152,14 @@ def pair_products(rows: DataFrame, with_values: bool = False) -> DataFrame:
             yield from _emit(current, acc)
 
     cols = ["bi", "bj", "a", "b"] + (["av", "bv"] if with_values else [])
-    # A local sort keeps one accumulator alive at a time; there is no shuffle here.
-    blocks = block_pairs(rows, with_values).select(*cols).sortWithinPartitions("bi", "bj")
-    return (blocks.mapInArrow(kernel, "i int, j int, s double")
+    kept = cut_lineage(rows)
+    # A block pair is dealt over as many salts as its measured rows need, so the sums that leave the
+    # kernel number at most salts x pairs, whatever the number of tasks that hold the rows.
+    salted = (block_pairs(kept, with_values).join(block_pair_shards(kept), ["bi", "bj"])
+              .withColumn("salt", F.pmod(F.xxhash64("context"), F.col("shards")).cast("int")))
+    dealt = (salted.select(*cols, "salt").repartition(shuffle_width(salted), "bi", "bj", "salt")
+             .sortWithinPartitions("bi", "bj", "salt"))
+    return (dealt.mapInArrow(kernel, "i int, j int, s double")
             .groupBy("i", "j").agg(F.sum("s").alias("s")))
 
 
@@ -165,17 +179,18 @@ def panel_blocks(panel: DataFrame, index: DataFrame, value: str = "value") -> Da
 
 
 def stream_with_blocks(rows: DataFrame, blocks: DataFrame, key: str,
-                       shards: int | None = None) -> DataFrame:
+                       per_shard: int | None = None) -> DataFrame:
     """Deal the rows of each block pair over shards and put a copy of the block in front of
-    every shard, so a task meets the block first and then streams its rows. The copies are the
-    only replicated data: shards x panel size, independent of the number of rows."""
-    n = shards or shuffle_width(rows)
-    shard = F.pmod(F.hash(F.col(key)), F.lit(n)).cast("int")
-    left = block_pairs(rows).select(
+    every shard, so a task meets the block first and then streams its rows. A block pair has as many
+    shards, and its panel entries as many copies, as its measured rows need."""
+    rows = cut_lineage(rows)
+    n, shards = shuffle_width(rows), block_pair_shards(rows, per_shard)
+    shard = F.pmod(F.hash(F.col(key)), F.col("shards")).cast("int")
+    left = block_pairs(rows).join(shards, ["bi", "bj"]).select(
         "bi", "bj", shard.alias("shard"), F.lit(1).alias("kind"), F.col(key).cast("string").alias("id"),
         F.xxhash64(F.col(key)).alias("h"), "a", "b", F.lit(None).cast("array<double>").alias("v"))
-    right = blocks.select(
-        "bi", "bj", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("shard"),
+    right = blocks.join(shards, ["bi", "bj"]).select(
+        "bi", "bj", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"),
         F.lit(0).alias("kind"), F.lit("").alias("id"), F.lit(0).cast("long").alias("h"),
         "a", "b", "v")
     return (left.unionByName(right).repartition(n, "bi", "bj", "shard")
@@ -184,7 +199,7 @@ def stream_with_blocks(rows: DataFrame, blocks: DataFrame, key: str,
 
 def pair_scores(rows: DataFrame, panel: DataFrame, index: DataFrame, key: str = "context",
                 threshold: float = 0.05, tau: float = 0.05, relu_mode: str = "shrink",
-                shards: int | None = None) -> DataFrame:
+                per_shard: int | None = None) -> DataFrame:
     """Per row: pairs above ``threshold``, summed negative magnitude, and the positive and
     negative magnitude outside the dead zone [-tau, tau].
 
@@ -227,7 +242,7 @@ def pair_scores(rows: DataFrame, panel: DataFrame, index: DataFrame, key: str =
                     [batch.column("id").slice(lo, hi - lo)] + [pa.array(p) for p in parts],
                     ["id", "n_pos", "sum_neg", "pos_relu", "neg_relu"])
 
-    streamed = stream_with_blocks(rows, panel_blocks(panel, index), key, shards)
+    streamed = stream_with_blocks(rows, panel_blocks(panel, index), key, per_shard)
     names = ("n_pos", "sum_neg", "pos_relu", "neg_relu")
     return (streamed.mapInArrow(kernel, "id string, " + ", ".join(f"{n} double" for n in names))
             .groupBy("id").agg(*[F.sum(n).alias(n) for n in names]))
@@ -286,7 +301,7 @@ def replicate_marginals(rows: DataFrame, replicates: range, seed: int, rate: flo
 
 def replicate_pair_sums(rows: DataFrame, pairs: DataFrame, index: DataFrame, replicates: range,
                         seed: int, rate: float = 1.0, key: str = "context",
-                        shards: int | None = None) -> DataFrame:
+                        per_shard: int | None = None) -> DataFrame:
     """(i, j, r, k): weighted co-occurrence per requested pair and replicate. Only the requested
     pairs leave a task."""
     reps = np.arange(replicates.start, replicates.stop, dtype=np.int64)
@@ -332,6 +347,6 @@ def replicate_pair_sums(rows: DataFrame, pairs: DataFrame, index: DataFrame, rep
             yield from flush(current, at, k)
 
     eligible = pairs.select("gene_i", "gene_j", F.lit(1.0).alias("value"))
-    streamed = stream_with_blocks(rows, panel_blocks(eligible, index), key, shards)
+    streamed = stream_with_blocks(rows, panel_blocks(eligible, index), key, per_shard)
     return (streamed.mapInArrow(kernel, "i int, j int, r int, k double")
             .groupBy("i", "j", "r").agg(F.sum("k").alias("k")))
