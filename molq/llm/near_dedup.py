@@ -181,6 +181,6 @@ def near_duplicate_entities(entities: DataFrame, entity_col: str = "cell_id", fe
     reps = classes.join(found, "rep", "left").select(
         "set_key", F.coalesce("component", "rep").alias("component"))
     return (signed.drop("bands").join(reps, "set_key", "left")
-            .withColumn("component_id", F.coalesce("component", "id"))
+            .withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")))
             .select(F.col("id").alias(entity_col), "n_shingles", "component_id",
                     F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")))
