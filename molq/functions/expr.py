@@ -119,6 +119,8 @@ def first_match(label, rules: Sequence[tuple[str, Sequence[str]]], default: str
     return out.otherwise(F.lit(default))
 
 
+# The name patterns and units below, and the thresholds and labels of the p-value and
+# abundance functions, are part of the result tables.
 def metric_unit(name) -> Column:
     n = col(name)
     return (F.when(n.endswith("_s") | n.endswith("seconds"), "seconds")

@@ -108,6 +108,7 @@ def recovery_metrics(df: DataFrame, by: Sequence[str] = (), original_col="origin
                   F.count_if(initial & final).alias("n_transcripts_recovered"))
     pct = X.safe_div(F.col("n_transcripts_recovered") * 100.0,
                      "n_transcripts_initially_unassigned")
+    # The notes are part of the result tables.
     return out.withColumns({
         "recovery_percent": pct,
         "recovery_percent_note": F.when(pct.isNull(),

@@ -174,6 +174,7 @@ def marker_panel(canonical: DataFrame, fallback: DataFrame, platform: DataFrame,
     position = F.when(F.col("base"), F.col("canon_rank")).when(
         filled, F.col("n_base") + F.col("filler_rank"))
     chosen = F.coalesce(position <= maximum, F.lit(False))
+    # The reasons, in the order in which they apply.
     reason = (F.when(F.col("selected"), "")
               .when(~yes("in_platform"), "absent from platform panel")
               .when(F.col("specificity").isNull(), "not detected in scRNA reference")

@@ -220,3 +220,37 @@ def test_hulls_match_brute_force(spark):
     assert area > 0  # counter-clockwise
     assert len(out["line"]) == 8 and out["line"][0] == pytest.approx((4.0, 2.0))
     assert out["two"][0] == pytest.approx((5.5, 0.5))
+
+
+def test_nearest_one_without_candidates(frame):
+    q = frame([("a", 0.0, 0.0), ("b", float("nan"), 1.0)], "id string, x double, y double")
+    assert S.nearest_one(q, q.limit(0), 2.0).collect() == []
+    assert [r.id for r in S.nearest_one(q, q.where("id = 'a'"), 2.0).collect()] == ["a"]
+
+
+def test_pair_work_follows_the_rows_not_the_settings(spark):
+    from molq.functions import blocks as B
+    rows = spark.range(5000).selectExpr("cast(id as string) AS context", "sort_array(array(cast(id % 40 as int), cast(1100 + id % 7 as int))) AS genes")
+    shards = {(r.bi, r.bj): r.shards for r in B.block_pair_shards(rows, 1000).collect()}
+    assert shards == {(0, 0): 5, (0, 1): 5, (1, 1): 5}
+    panel = spark.createDataFrame([(0, 0, [0], [1], [0.5]), (1, 1, [0], [1], [0.5])], "bi int, bj int, a array<int>, b array<int>, v array<double>")
+    for width in ("3", "9"):
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+        streamed = B.stream_with_blocks(rows, panel, "context", 2500)
+        assert streamed.where("kind = 0").count() == 4 and streamed.where("kind = 1").count() == 15000
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_replicate_weights_above_rate_one():
+    from molq.functions.blocks import replicate_weights
+    w = replicate_weights(np.arange(20000), np.arange(3), 1, 40.0)
+    assert abs(w.mean() - 40) < 0.2 and w.max() > 60 and abs(w.var() - 40) < 1.5
+
+
+def test_ranks_and_lowest_rows(frame):
+    from molq.functions.ordering import lowest_rows, min_ranks, value_bucket
+    data = frame([("d", i, float(v) if v is not None else None) for i, v in enumerate([3, 1, 3, None, 2, 1])], "dataset string, i int, v double")
+    assert [r.k for r in min_ranks(data, "v", ["dataset"], "k", True).orderBy("i").collect()] == [1, 4, 1, None, 3, 4]
+    low = lowest_rows(data.where("v is not null"), 3, value_bucket("v"), ["v", "i"])
+    assert sorted(r.i for r in low.collect()) == [1, 4, 5]
+    assert lowest_rows(data.where("v is not null"), 99, value_bucket("v"), ["v", "i"]).count() == 5

@@ -60,6 +60,49 @@ def test_stats_tree(spark, tmp_path):
     assert len(good) == 2 and all(r.n_transcripts_assigned + r.n_transcripts_unassigned == r.n_transcripts_total for r in good)
 
 
+def test_more_than_a_thousand_qc_keys_and_64_types(spark, tmp_path):
+    (tmp_path / "m1").mkdir()
+    (tmp_path / "m1" / "benchmark_stats.json").write_text(json.dumps({"method": "m1", "qc": {f"k{i:04d}": i for i in range(1500)}}))
+    stats = tables.collect_run_stats(spark, str(tmp_path))
+    assert len(tables.qc_keys(stats)) == 1500 == tables.qc_rows(stats).count()
+    wide = spark.createDataFrame([("c1", *range(100))], ["cell_id", *[f"t{i}" for i in range(100)]])
+    assert tables.wide_weights_to_long(wide).count() == 100
+
+
+def test_pair_panel_keeps_the_first_row_of_the_file(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("gene_i,gene_j,NPMI\na,b,0.9\na,b,0.1\nb,a,0.5\nc,d,\nc,d,0.2\ne,f,0.2\ne,f,\nd,e,0.3\n")
+    got = {(r.gene_i, r.gene_j): r.value for r in tables.read_pair_panel(spark, str(tmp_path / "p.csv")).collect()}
+    assert got[("a", "b")] == 0.9 and got[("c", "d")] is None and got[("e", "f")] == 0.2
+    assert got[("b", "a")] == 0.5 and got[("e", "d")] == 0.3
+    finite = {(r.gene_i, r.gene_j): r.value for r in tables.read_pair_panel(spark, str(tmp_path / "p.csv"), finite_only=True).collect()}
+    assert finite[("c", "d")] == 0.2
+
+
+def test_combined_checksums(spark, tmp_path):
+    for panel in ("p1", "p2"):
+        (tmp_path / panel).mkdir()
+        (tmp_path / panel / "sums.csv").write_text(f"file,sha\n{panel}.csv,00{panel}\n")
+    got = tables.combine_checksums(spark, [str(tmp_path / p / "sums.csv") for p in ("p1", "p2")])
+    assert sorted((r.panel, r.sha) for r in got.collect()) == [("p1", "00p1"), ("p2", "00p2")]
+
+
+def test_shared_folder_is_asked_for_off_local(spark, monkeypatch):
+    from molq import session
+    assert session.is_local("local[8]") and session.is_local("local") and not session.is_local("local-cluster[2,1,1024]")
+    monkeypatch.setattr(session, "is_local", lambda master: False)
+
+    class Context:
+        master = "yarn"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = type("Conf", (), {"get": staticmethod(lambda key, other=None: other)})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session)
+
+
 def test_manifest_digests(spark, tmp_path):
     import hashlib
     (tmp_path / "sub").mkdir()
