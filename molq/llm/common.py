@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from molq.session import ensure_checkpoint_dir
@@ -165,5 +165,13 @@ def components(edges: DataFrame) -> DataFrame:
             .unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
 
 
-def folded(key: Column, parts: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+def sample_per_group(rows: DataFrame, group: str, key: str, n: int) -> DataFrame:
+    """(key, group): of every group the ``n`` keys of lowest hash, stored; at most n rows per group.
+
+    Group counts give a hash bound under which about four times as many keys lie, so only those are put
+    in order, however large a group is."""
+    keys = rows.select(key, group).distinct().withColumn("_h", F.pmod(F.xxhash64(key), F.lit(1 << 32)))
+    sizes = keys.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    low = keys.join(stored(sizes, "sizes"), group).where(F.col("_h") * F.col("_n") < float(4 * n + 40) * (1 << 32))
+    place = F.row_number().over(Window.partitionBy(group).orderBy("_h", key))
+    return stored(low.withColumn("_place", place).where(F.col("_place") <= n).select(key, group), "sample")

@@ -22,8 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from molq.functions.ordering import top_k_per_group
-from molq.llm.common import id_type, rows_of
+from molq.llm.common import id_type, rows_of, sample_per_group, stored
 
 BITS = 14
 SAMPLE_PER_LANGUAGE = 300
@@ -103,9 +102,8 @@ def fit_language_centroids(labelled: DataFrame, id_col: str = "dataset", text_co
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("lang"))
     usable = rows.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    picked = top_k_per_group(usable.select("id", "lang").distinct(), ["lang"],
-                             [F.xxhash64("id"), F.col("id")], per_language, "_place").select("id", "lang")
-    sample = usable.join(picked, ["id", "lang"]).dropDuplicates(["id", "lang"]).select("text", "lang")
+    picked = sample_per_group(usable, "lang", "id", per_language)
+    sample = stored(usable.join(picked, ["id", "lang"]).dropDuplicates(["id", "lang"]).select("text", "lang"), "texts")
     parts = sample.mapInArrow(_frequencies, "n bigint, seen binary").collect()
     total = sum(p["n"] for p in parts)
     if not total:

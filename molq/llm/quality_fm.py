@@ -18,8 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from molq.functions.ordering import top_k_per_group
-from molq.llm.common import WordHashes, id_type, rows_of
+from molq.llm.common import WordHashes, id_type, rows_of, sample_per_group
 
 BITS = 14
 FACTORS = 4
@@ -124,18 +123,20 @@ def _columns(records: DataFrame, id_col: str, text_col: str, length_col: str | N
     return records.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), stated.alias("stated"), *more)
 
 
-def fit_quality(labelled: DataFrame, id_col: str = "dataset", text_col: str = "provenance", label_col: str = "quality",
-                length_col: str | None = None, per_class: int = SAMPLE_PER_CLASS) -> FactorisationMachine:
-    """Fit on the ``per_class`` rows of lowest id hash of each class (label 1 against 0).
+def fit_quality(records: DataFrame, labels: DataFrame, id_col: str = "dataset", text_col: str = "provenance",
+                label_col: str = "quality", length_col: str | None = None,
+                per_class: int = SAMPLE_PER_CLASS) -> FactorisationMachine:
+    """Fit on the ``per_class`` labelled ids of lowest hash of each class (label 1 against 0).
 
-    Rows with a null id or another label are left out; repeated ids count once. The driver receives the
-    hashed features of the sample, at most ``2 * per_class`` rows.
+    ``labels`` has the id and the label; only the sampled ids, a table of bounded size, meet the texts of
+    ``records``. Null ids, other labels and labels without a record are left out; repeated ids count once. The
+    driver receives the hashed features of the sample, at most ``2 * per_class`` rows.
     """
-    rows = _columns(labelled, id_col, text_col, length_col, F.col(label_col).cast("int").alias("label")).where(
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(
         "id is not null and label in (0, 1)")
-    picked = top_k_per_group(rows.select("id", "label").distinct(), ["label"], [F.xxhash64("id"), F.col("id")],
-                             per_class, "_place").select("id", "label")
-    sample = rows.join(picked, ["id", "label"]).dropDuplicates(["id", "label"]).select("id", "text", "stated", "label")
+    picked = sample_per_group(known, "label", "id", per_class)
+    rows = _columns(records, id_col, text_col, length_col)
+    sample = rows.join(picked, "id").dropDuplicates(["id", "label"]).select("id", "text", "stated", "label")
     made = sample.mapInArrow(_featured, f"id {id_type(rows, 'id')}, label int, at binary, x binary").orderBy("id").collect()
     if not made:
         raise ValueError("no labelled row to learn from")

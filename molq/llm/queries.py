@@ -149,8 +149,7 @@ def _fold(parts: int):
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    learn = docs.join(labels.where(_fold(3) != 1).select("doc_id", "quality"), "doc_id")
-    model = fit_quality(learn, "doc_id", "text", "quality", "n_chars")
+    model = fit_quality(docs, labels.where(_fold(3) != 1), "doc_id", "text", "quality", "n_chars")
     return score_quality(docs, model, "doc_id", "text", "n_chars").select(
         "doc_id", (_fold(3) == 1).alias("held_out"), "score", "predicted")
 

@@ -120,13 +120,13 @@ def test_quality_pair_sums_and_edges(frame):
     good, bad = "alpha beta gamma delta", "ALPHA!! BETA!! GAMMA!!"
     rows = [(i, good if i % 2 else bad, i % 2) for i in range(40)] + [(None, good, 1), (98, None, 1), (99, "", 0), (1, good, 1), (97, good, None)]
     labelled = frame(rows, "dataset bigint, provenance string, quality int")
-    fitted = quality_fm.fit_quality(labelled)
+    fitted = quality_fm.fit_quality(labelled, labelled)
     got = quality_fm.score_quality(frame([(i, t, "x") for i, t, _ in rows] + [(7, "long " * 50000, "x")], "dataset bigint, provenance string, score string"), fitted).collect()
     assert len(got) == len(rows) + 1 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
     assert all(r.predicted == q for r, (_, t, q) in zip(got, rows) if t and q is not None)
     assert quality_fm.score_quality(labelled.limit(0), fitted).collect() == []
     with pytest.raises(ValueError):
-        quality_fm.fit_quality(labelled.limit(0))
+        quality_fm.fit_quality(labelled, labelled.limit(0))
 
 
 QUESTION = "Anna has 3 apples and buys 5 more apples at the market for 12 dollars before she walks home"
