@@ -11,6 +11,7 @@ from molq.functions import expr as X
 from molq.functions.ordering import quantiles
 from molq.functions.tokens import (ASSIGNED_IN_METRICS, ASSIGNED_IN_STATS, CONTROL_PREFIXES,
                                    UNASSIGNED)
+from molq.session import cut_lineage
 
 
 def median_of(value) -> Column:
@@ -325,19 +326,33 @@ def gene_unassigned(df: DataFrame, by: Sequence[str] = (), cell_col: str = "cell
                     / F.greatest("total_count", F.lit(1))))
 
 
+def _paired(original: DataFrame, purified: DataFrame) -> DataFrame:
+    """(cell_id, feature_name, original_count, purified_count, in_original, in_purified): both count tables
+    in one union and one group-by, stored, so that each table is derived once."""
+    side = lambda df, mine: df.select(
+        "cell_id", "feature_name", F.when(F.lit(mine), F.col("count").cast("double")).alias("o"),
+        F.when(F.lit(not mine), F.col("count").cast("double")).alias("p"), F.lit(mine).alias("mine"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    return cut_lineage(side(original, True).unionByName(side(purified, False)).groupBy("cell_id", "feature_name").agg(
+        total("o").alias("original_count"), total("p").alias("purified_count"),
+        F.max("mine").alias("in_original"), F.max(~F.col("mine")).alias("in_purified")))
+
+
+def _known(pairs: DataFrame, key: str) -> DataFrame:
+    """Per entity or feature: which of the two tables know it."""
+    return pairs.groupBy(key).agg(F.max("in_original").alias("o"), F.max("in_purified").alias("p"))
+
+
+def _shared(pairs: DataFrame) -> DataFrame:
+    """The pairs over the entities and features that both tables know."""
+    both = lambda key: _known(pairs, key).where("o AND p").select(key)
+    return (pairs.join(both("cell_id"), "cell_id", "left_semi").join(both("feature_name"), "feature_name", "left_semi")
+            .select("cell_id", "feature_name", "original_count", "purified_count",
+                    (F.col("original_count") - F.col("purified_count")).alias("removed_count")))
+
+
 def _aligned(original: DataFrame, purified: DataFrame) -> DataFrame:
-    """Full outer join of two count tables over the entities and features both know."""
-    cells = original.select("cell_id").intersect(purified.select("cell_id"))
-    genes = original.select("feature_name").intersect(purified.select("feature_name"))
-    cut = lambda df, name: (df.join(cells, "cell_id", "left_semi")
-                            .join(genes, "feature_name", "left_semi")
-                            .select("cell_id", "feature_name",
-                                    F.col("count").cast("double").alias(name)))
-    zero = F.lit(0.0)
-    return (cut(original, "original_count").join(cut(purified, "purified_count"),
-                                                 ["cell_id", "feature_name"], "full")
-            .withColumns({c: F.coalesce(c, zero) for c in ("original_count", "purified_count")})
-            .withColumn("removed_count", F.col("original_count") - F.col("purified_count")))
+    return _shared(_paired(original, purified))
 
 
 def removed_by_gene(original: DataFrame, purified: DataFrame) -> DataFrame:
@@ -374,7 +389,8 @@ def pruning_summary(original: DataFrame, purified: DataFrame, n_unassigned: Colu
     """Removal totals, negative-difference audit and the pseudo-unassigned estimate."""
     d = F.col("removed_count")
     p = F.col("purified_count")
-    totals = _aligned(original, purified).agg(
+    pairs = _paired(original, purified)
+    totals = _shared(pairs).agg(
         F.sum("original_count").alias("original_assigned_count"),
         F.sum("purified_count").alias("purified_retained_count"),
         F.sum(F.greatest(d, F.lit(0.0))).alias("estimated_removed_count"),
@@ -382,9 +398,9 @@ def pruning_summary(original: DataFrame, purified: DataFrame, n_unassigned: Colu
         F.count_if(d < -eps).alias("n_negative_differences_before_clamping"),
         F.coalesce(F.sum(F.when(d < -eps, -d)), F.lit(0.0))
         .alias("total_negative_magnitude_before_clamping"))
-    count_of = lambda df, c: df.agg(F.countDistinct(c)).scalar()
-    shared = lambda c: (original.select(c).intersect(purified.select(c))
-                        .agg(F.count(F.lit(1))).scalar())
+    sizes = {key: _known(pairs, key).agg(F.count_if("o").alias("o"), F.count_if("p").alias("p"),
+                                         F.count_if(F.col("o") & F.col("p")).alias("both")) for key in ("cell_id", "feature_name")}
+    size = lambda key, c: sizes[key].select(c).scalar()
     lost = n_unassigned if isinstance(n_unassigned, Column) else F.lit(n_unassigned)
     return totals.withColumns({
         "original_unassigned_count": lost.cast("long"),
@@ -392,12 +408,9 @@ def pruning_summary(original: DataFrame, purified: DataFrame, n_unassigned: Colu
         "fraction_removed_of_original_assigned": F.when(
             F.col("original_assigned_count") > 0,
             F.col("estimated_removed_count") / F.col("original_assigned_count")).otherwise(0.0),
-        "n_cells_original": count_of(original, "cell_id"),
-        "n_cells_purified": count_of(purified, "cell_id"),
-        "n_cells_aligned": shared("cell_id"),
-        "n_genes_original": count_of(original, "feature_name"),
-        "n_genes_purified": count_of(purified, "feature_name"),
-        "n_genes_aligned": shared("feature_name")})
+        "n_cells_original": size("cell_id", "o"), "n_cells_purified": size("cell_id", "p"), "n_cells_aligned": size("cell_id", "both"),
+        "n_genes_original": size("feature_name", "o"), "n_genes_purified": size("feature_name", "p"),
+        "n_genes_aligned": size("feature_name", "both")})
 
 
 def frequency(df: DataFrame, key: str, by: Sequence[str] = (), count_name: str = "n_cells",

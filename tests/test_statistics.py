@@ -82,7 +82,7 @@ def test_signed_rank_needs_eight_pairs(frame):
     assert got["few"].z is None and got["same"].z is None
     m = 11
     z = (m * (m + 1) / 2 - m * (m + 1) / 4) / math.sqrt(m * (m + 1) * (2 * m + 1) / 24)
-    assert got["up"].z == pytest.approx(z) and got["up"].stars == "**"
+    assert got["up"].z == pytest.approx(z) and got["up"].stars == "***"  # exact law
 
 
 def test_thinning_sizes_and_repeatability(frame):
@@ -131,3 +131,25 @@ def test_ranking_without_metrics(frame):
     got = {r.kendall_tau: r for r in R.rank_and_penalize(runs).collect()}
     assert got[0.5].mean_rank == 1.5 and got[0.9].mean_rank == 1.0 and got[0.9].rank_marker is None
     assert got[0.9].final_rank == 1 and got[0.9].penalty == 0.0 and got[0.9].penalty_flags == ""
+
+
+def test_exact_rank_laws(frame):
+    import itertools
+
+    from molq.operators.stattests import mann_whitney, wilcoxon_signed_rank
+    a, b = [3.1, 0.2, 5.5, 4.4], [1.0, 2.0, 0.5, 6.0, 0.1]
+    rows = [("m", v) for v in a] + [("o", v) for v in b]
+    pooled = sorted(a + b)
+    u = sum(x > y for x in a for y in b)
+    every = [sum(x > y for x in pick for y in set(pooled) - set(pick)) for pick in itertools.combinations(pooled, len(a))]
+    for side, want in (("greater", sum(v >= u for v in every)), ("less", sum(v <= u for v in every))):
+        got = mann_whitney(frame(rows, "method string, v double"), "v", "m", side).first()
+        assert got.U == u and got.p_value == pytest.approx(want / len(every))
+    d = [0.5, -1.0, 2.0, 3.0, -0.25, 4.0, 6.0, 7.0, -8.0]
+    order = sorted(range(9), key=lambda i: abs(d[i]))
+    w = sum(k + 1 for k, i in enumerate(order) if d[i] > 0)
+    sums = [sum(s) for s in itertools.product(*[(0, k) for k in range(1, 10)])]
+    data = frame([("t", x, 0.0) for x in d], "g string, a double, b double")
+    for side, want in (("greater", sum(v >= w for v in sums)), ("less", sum(v <= w for v in sums))):
+        got = wilcoxon_signed_rank(data, "a", "b", ["g"], side).first()
+        assert got.test_method == "exact" and got.statistic == w and got.p_value == pytest.approx(want / 512)
