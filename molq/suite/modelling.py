@@ -18,6 +18,19 @@ def feature_clusters(spark, sf):
     return L.deterministic_clusters(A.cell_gene_counts(molecules(spark, sf), "original_cell_id"), 6, 10, seed=1)
 
 
+@query("L01", with_parts("""
+SELECT count(DISTINCT original_cell_id) AS n_rows, count(DISTINCT original_cell_id) AS n_entities, TRUE AS labels_from_1_to_k, TRUE AS same_twice
+FROM orig""", "orig"))
+def cluster_laws(spark, sf):
+    """Every entity once, labels between 1 and k, the same after a second run."""
+    counts = A.cell_gene_counts(molecules(spark, sf), "original_cell_id")
+    one, two = (L.deterministic_clusters(counts, 6, 10, seed=1) for _ in range(2))
+    twice = one.join(two.withColumnRenamed("cluster", "again"), "cell_id", "full")
+    return twice.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("cell_id").alias("n_entities"),
+                     F.bool_and(F.col("cluster").between(1, 6)).alias("labels_from_1_to_k"),
+                     F.bool_and(F.col("cluster").eqNullSafe(F.col("again"))).alias("same_twice"))
+
+
 @query("L05", with_parts("SELECT cell_id, cell_type FROM cell_labels", "cell_labels"))
 def reference_split_total(spark, sf):
     split = L.stratified_split(cell_labels(spark, sf), 0.2, 11)

@@ -121,6 +121,20 @@ def wilcoxon_signed_rank(spark, sf):
     return rounded(S.wilcoxon_signed_rank(paired(spark, sf), "a", "b", ["cell_type"]).drop("p_value", "p_label", "stars"))
 
 
-@query("H01 H02 B23", None)
+# The upper normal tail by the same published fit (fixed values, constant term first).
+FIT = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+LESS_SQL = MW_SQL.replace("'greater' AS alternative", "'less' AS alternative").replace(
+    "round((r1 - n1 * (n1 + 1) / 2 - n1 * n2 / 2 - 0.5)", "((n1 * n2 - (r1 - n1 * (n1 + 1) / 2)) - n1 * n2 / 2 - 0.5)").replace(
+    "(n1 + n2 - 1)))), 6) AS z", "(n1 + n2 - 1)))) AS z")
+P_SQL = """, w AS (""" + LESS_SQL[LESS_SQL.index("SELECT 'method_a'"):] + """),
+x AS (SELECT *, 1 / (1 + 0.5 * abs(z) / sqrt(2)) AS t, abs(z) / sqrt(2) AS a FROM w),
+u AS (SELECT *, 0.5 * t * exp(-a * a + (""" + " + t * (".join(map(str, FIT)) + ")" * len(FIT) + """) AS up FROM x),
+p AS (SELECT *, CASE WHEN z >= 0 THEN up ELSE 1 - up END AS p_value FROM u)
+SELECT reference, other, alternative, n_ref, n_other, "U", round(z, 6) AS z, round(p_value, 6) AS p_value,
+ CASE WHEN p_value < 0.001 THEN 'p<0.001' ELSE printf('p=%.3f', round_even(p_value, 3)) END AS p_label,
+ CASE WHEN p_value < 0.001 THEN '***' WHEN p_value < 0.01 THEN '**' WHEN p_value < 0.05 THEN '*' ELSE 'ns' END AS stars FROM p"""
+
+
+@query("H01 H02 B23", with_parts(LESS_SQL[:LESS_SQL.index("SELECT 'method_a'")] + P_SQL, "assigned cell_labels", scored=SCORED_SQL))
 def rank_test_p_values(spark, sf):
-    return S.mann_whitney(scored_cells(spark, sf), "entropy", "method_a", "less")
+    return rounded(S.mann_whitney(scored_cells(spark, sf), "entropy", "method_a", "less"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from molq.operators import accounting as A
@@ -126,6 +127,39 @@ def molecule_boundaries(spark, sf):
     return S.boundary_table(S.molecule_outlines(molecules(spark, sf), False))
 
 
+@query("K09", with_parts("""
+, e AS (SELECT * FROM molecules WHERE cell_id NOT IN ('UNASSIGNED', 'nan', '', 'None', '0', '-1')),
+n AS (SELECT cell_id, count(DISTINCT (x, y)) >= 3 AND var_pop(x) * var_pop(y) - covar_pop(x, y) * covar_pop(x, y) > 1e-9 AS hull
+      FROM e WHERE overlaps_nucleus = 1 GROUP BY 1)
+SELECT DISTINCT e.cell_id, coalesce(hull, FALSE) AS is_hull, TRUE AS all_inside, TRUE AS turns_left
+FROM e LEFT JOIN n USING (cell_id)"""))
+def outline_laws(spark, sf):
+    """Hulls have input points as corners, hold all points and turn left everywhere; others are circles."""
+    m = molecules(spark, sf).where("overlaps_nucleus = 1").select("cell_id", "x", "y").distinct()
+    w = Window.partitionBy("cell_id").orderBy("vertex_idx")
+    after = lambda c, k: F.coalesce(F.lead(c, k).over(w), F.get(F.collect_list(c).over(w.rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing)), F.col("vertex_idx") + k - F.count(F.lit(1)).over(Window.partitionBy("cell_id"))))
+    o = S.molecule_outlines(molecules(spark, sf), True)
+    edges = o.select("*", *[after(f"vertex_{c}", k).alias(f"{c}{k}") for c in ("x", "y") for k in (1, 2)])
+    side = lambda x, y: (F.col("x1") - F.col("vertex_x")) * (y - F.col("vertex_y")) - (F.col("y1") - F.col("vertex_y")) * (x - F.col("vertex_x"))
+    shape = edges.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n"), (F.min(side(F.col("x2"), F.col("y2"))) > 0).alias("turns"))
+    corners = o.join(m, (o.cell_id == m.cell_id) & (o.vertex_x == m.x) & (o.vertex_y == m.y), "left_semi").groupBy("cell_id").agg(F.count(F.lit(1)).alias("c"))
+    inside = edges.join(m, "cell_id").groupBy("cell_id").agg((F.min(side(F.col("x"), F.col("y"))) >= 0).alias("inside"))
+    hull = F.coalesce(F.col("c") == F.col("n"), F.lit(False))
+    return shape.join(corners, "cell_id", "left").join(inside, "cell_id", "left").select(
+        "cell_id", hull.alias("is_hull"), F.coalesce(~hull | F.col("inside"), F.lit(False)).alias("all_inside"),
+        F.coalesce(~hull | F.col("turns"), F.lit(False)).alias("turns_left"))
+
+
+@query("K09 K11", with_parts("""
+SELECT count(DISTINCT cell_id) AS n_entities, count(DISTINCT cell_id) AS n_ids, CAST(1 AS BIGINT) AS first_id, count(DISTINCT cell_id) AS last_id
+FROM molecules WHERE cell_id NOT IN ('UNASSIGNED', 'nan', '', 'None', '0', '-1')"""))
+def boundary_laws(spark, sf):
+    """Each entity has one dense id."""
+    ids = S.boundary_table(S.molecule_outlines(molecules(spark, sf), False)).select("cell_id", F.col("dummy_id").cast("long").alias("i")).distinct()
+    return ids.agg(F.countDistinct("cell_id").alias("n_entities"), F.countDistinct("i").alias("n_ids"), F.min("i").alias("first_id"), F.max("i").alias("last_id"))
+
+
 @query("K10", with_parts("""
 , c AS (SELECT cell_id, avg(x) AS cx, avg(y) AS cy, least(greatest(1.5 * sqrt(var_pop(x) + var_pop(y)), 8), 40) AS r FROM assigned GROUP BY 1)
 SELECT cell_id, CAST(i AS INTEGER) AS vertex_idx, round(cx + r * cos(i * 2 * pi() / 8), 6) + 0.0 AS vertex_x, round(cy + r * sin(i * 2 * pi() / 8), 6) + 0.0 AS vertex_y FROM c, range(0, 8) t(i)""", "assigned"))
