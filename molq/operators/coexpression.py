@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from molq.functions import blocks as B
 from molq.functions import expr as X
-from molq.functions.ordering import average_ranks, top_k_per_group
+from molq.functions.ordering import average_ranks, lowest_rows, top_k_per_group, value_bucket
 from molq.operators.cooccurrence import all_pairs, named_pairs, pair_cooccurrence
 
+CHUNK = 4096
+
 
 def thin_counts(counts: DataFrame, n: int, seed: int, replace: bool = True) -> DataFrame:
     """Down-sample each entity to exactly n molecules; seeded by hash, stable under retries.
@@ -18,9 +20,11 @@ def thin_counts(counts: DataFrame, n: int, seed: int, replace: bool = True) -> D
     molecules of lowest hash, so smaller entities keep all they have.
     """
     if not replace:
-        units = counts.where("count > 0").select(
-            "cell_id", "feature_name",
-            F.explode(F.sequence(F.lit(1).cast("long"), F.col("count").cast("long"))).alias("u"))
+        # Molecules are numbered in chunks, so no row holds an array as long as a large count.
+        chunks = counts.where("count > 0").select("cell_id", "feature_name", F.col("count").cast("long").alias("c"), F.explode(
+            F.sequence(F.lit(0).cast("long"), F.floor((F.col("count").cast("long") - 1) / CHUNK))).alias("k"))
+        units = chunks.select("cell_id", "feature_name", F.explode(F.sequence(
+            F.col("k") * CHUNK + 1, F.least("c", (F.col("k") + 1) * CHUNK))).alias("u"))
         key = F.xxhash64(F.lit(seed), "cell_id", "feature_name", "u")
         kept = top_k_per_group(units, ["cell_id"], [key, F.col("feature_name"), F.col("u")], n)
         return kept.groupBy("cell_id", "feature_name").agg(F.count(F.lit(1)).alias("count"))
@@ -47,7 +51,7 @@ def eligible_entities(counts: DataFrame, target: int, min_samples: int = 0) -> D
     ``min_samples`` instead."""
     depth = counts.groupBy("cell_id").agg(F.sum("count").alias("n"))
     enough = depth.agg(F.count_if(F.col("n") >= target) >= min_samples).scalar()
-    deepest = depth.orderBy(F.desc("n"), "cell_id").limit(min_samples)
+    deepest = lowest_rows(depth, min_samples, value_bucket(-F.col("n")), [F.desc("n"), "cell_id"])
     return (depth.where(enough & (F.col("n") >= target))
             .unionByName(deepest.where(~enough)).select("cell_id"))
 
