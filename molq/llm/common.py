@@ -7,6 +7,7 @@ xxhash, kept in a bounded cache.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 import uuid
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from molq.session import ensure_checkpoint_dir
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 TEXTS_AT_ONCE = 512
 
@@ -49,6 +50,24 @@ def kept_in_worker(key: str, make: Callable[[], object]) -> object:
     return held[key]
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system, so that a reused worker starts its next task small."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def frugal(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A batch function that gives its memory back at the end of the task."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        give_back()
+
+    return run
+
+
 class Remembered(dict):
     """A bounded cache of ``compute(key)`` in two generations: what is not asked for again goes first."""
 

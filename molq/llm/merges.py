@@ -19,7 +19,7 @@ Life = list[tuple[str, float, float]]
 class StablePairs(dict):
     """(left, right) -> does the pair encode to itself? Answers are kept, up to a bound."""
 
-    LIMIT = 600_000
+    LIMIT = 200_000
 
     def __init__(self, rank: Callable[[str, str], float | None], symbols: Callable[[str], list[str]]):
         super().__init__()

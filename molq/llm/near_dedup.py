@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from molq.llm.common import (Forest, WordHashes, components, id_type, rows_of, sorted_groups, stored,
+from molq.llm.common import (Forest, WordHashes, components, frugal, id_type, rows_of, sorted_groups, stored,
                              window_hashes)
 from molq.session import shuffle_width
 
@@ -78,7 +78,7 @@ def _signer(id_col: str, text_col: str, width: int, bands: int, rows: int, seed:
                 [batch.column(id_col), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
                  pa.array(banded, pa.list_(pa.int64()))], ["id", "n_shingles", "set_key", "bands"])
 
-    return sign
+    return frugal(sign)
 
 
 def _setter(width: int):
@@ -89,7 +89,7 @@ def _setter(width: int):
             yield pa.RecordBatch.from_arrays([pa.array([set_key(p) for p in packed], pa.binary()),
                                               pa.array(packed, pa.binary())], ["set_key", "ids"])
 
-    return sets
+    return frugal(sets)
 
 
 def _linker(percent: int, id_arrow: pa.DataType):
@@ -125,7 +125,7 @@ def _linker(percent: int, id_arrow: pa.DataType):
                 yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], id_arrow) for i in (0, 1)],
                                                  ["u", "v"])
 
-    return link
+    return frugal(link)
 
 
 def confirmed_links(texts: DataFrame, clusters: DataFrame, width: int, percent: int) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from molq.functions.ordering import dense_index
-from molq.llm.common import WordHashes, id_type, rows_of, shared_folder, stored, window_hashes
+from molq.llm.common import WordHashes, frugal, id_type, rows_of, shared_folder, stored, window_hashes
 from molq.session import shuffle_width
 
 CHUNK_BYTES = 2_000_000
@@ -105,7 +105,7 @@ def _sender(width: int, buckets: int):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], schema)
 
-    return send
+    return frugal(send)
 
 
 def _answers(rows: list[tuple]) -> pa.RecordBatch:
@@ -191,7 +191,7 @@ def _passage_finder(width: int, buckets: int):
                             told.add(named)
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
 
-    return find
+    return frugal(find)
 
 
 class PhraseAutomaton:
@@ -271,7 +271,7 @@ def _locator(width: int):
                 [pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.binary(), spans))],
                 ["owner", "key", "spans"])
 
-    return locate
+    return frugal(locate)
 
 
 def _cutter(width: int):
@@ -292,14 +292,14 @@ def _cutter(width: int):
                      pa.array([b" ".join(k).decode("utf-8", "surrogatepass") for k in kept], pa.string()),
                      pa.array(carried, kind)], ["num", "n_words", "n_removed", "kept_features", "carried"])
 
-    return cut
+    return frugal(cut)
 
 
 def _chunk_table(texts: DataFrame) -> DataFrame:
     """Texts as chunk rows, stored once and bucketed by chunk."""
     spark, name = texts.sparkSession, f"chunks_{uuid.uuid4().hex}"
     carried = texts.schema["carried"].dataType.simpleString()
-    chunks = texts.mapInArrow(_chunker, f"chunk string, ids array<bigint>, texts array<string>, carried array<{carried}>")
+    chunks = texts.mapInArrow(frugal(_chunker), f"chunk string, ids array<bigint>, texts array<string>, carried array<{carried}>")
     (chunks.write.format("parquet").option("path", shared_folder(spark, "chunks")).option("compression", "zstd")
      .option("parquet.block.size", str(16 << 20)).bucketBy(shuffle_width(texts), "chunk").saveAsTable(name))
     return spark.table(name)
@@ -349,7 +349,7 @@ def remove_recurring_runs(entities: DataFrame, entity_col: str = "cell_id", feat
     sent = bare.mapInArrow(_sender(width, buckets), "bucket int, chunk string, hashes binary, docs binary, "
                                                     "doc_of binary, several binary")
     answers = (sent.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-               .mapInArrow(_merger, "chunk string, bucket int, recurs binary, foreign binary, owners binary")
+               .mapInArrow(frugal(_merger), "chunk string, bucket int, recurs binary, foreign binary, owners binary")
                .groupBy("chunk").agg(F.collect_list(F.struct("bucket", "recurs", "foreign", "owners")).alias("answers")))
     runs = stored(bare.join(answers, "chunk").mapInArrow(
         _passage_finder(width, buckets), "owned boolean, chunk string, doc int, start int, windows int, owner bigint, "

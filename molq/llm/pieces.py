@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from molq.llm.common import Remembered, id_type, kept_in_worker, rows_of
+from molq.llm.common import Remembered, frugal, id_type, kept_in_worker, rows_of
 from molq.llm.merges import StablePairs
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -138,7 +138,7 @@ def _encoder(path: str):
                 ids = _lists([pieces.encode(t or "") for (t,) in rows_of(part, "text")])
                 yield pa.RecordBatch.from_arrays([part.column("id"), ids], ["id", "piece_ids"])
 
-    return encode
+    return frugal(encode)
 
 
 def _decoder(path: str, both: bool):
@@ -155,7 +155,7 @@ def _decoder(path: str, both: bool):
                 texts = pa.array([pieces.decode(r) for r in ids], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column("id"), column, texts], ["id", "piece_ids", "decoded"])
 
-    return decode
+    return frugal(decode)
 
 
 def _texts(records: DataFrame, id_col: str, text_col: str) -> DataFrame:

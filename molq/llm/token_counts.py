@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from molq.llm.common import Remembered, id_type, kept_in_worker, rows_of
+from molq.llm.common import Remembered, frugal, id_type, kept_in_worker, rows_of
 from molq.llm.merges import StablePairs
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -168,7 +168,7 @@ def _counter(path: str, keep: bool):
                 columns, names = [*columns, pa.array(tables, pa.binary())], [*names, "prefix_tokens"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return count
+    return frugal(count)
 
 
 def token_counts(records: DataFrame, id_col: str = "dataset", text_col: str = "provenance",
