@@ -180,6 +180,19 @@ def input_manifest(spark, sf):
     return sinks.file_manifest(spark, sf)
 
 
+@query("A24", with_parts("""
+SELECT 'panel=' || method AS panel, feature_name AS file, md5(feature_name || '-' || CAST(count(*) AS VARCHAR)) AS checksum FROM molecules GROUP BY 1, 2, method"""))
+def combined_checksums(spark, sf):
+    """Checksum tables of several panels, one folder each, stacked with their panel."""
+    root = scratch(spark, "sums")
+    sums = molecules(spark, sf).groupBy("method", "feature_name").agg(F.count(F.lit(1)).alias("n")).select(
+        F.col("method").alias("panel"), F.col("feature_name").alias("file"),
+        F.md5(F.concat_ws("-", "feature_name", F.col("n").cast("string"))).alias("checksum"))
+    sums.write.partitionBy("panel").option("header", True).csv(root)
+    panels = [f"{root}/panel={m}" for m in ("method_a", "method_b", "method_c")]
+    return tables.combine_checksums(spark, panels).select("panel", "file", "checksum")
+
+
 @query("A21", with_parts("SELECT DISTINCT feature_name FROM molecules"))
 def feature_inventory(spark, sf):
     return sinks.feature_inventory(molecules(spark, sf))

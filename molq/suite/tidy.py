@@ -11,7 +11,7 @@ from molq.plans import evaluate as E
 from molq.plans.fixtures import molecules, table, with_parts
 from molq.suite.accounting import CLASS_SQL, SCORED_SQL, scored_cells
 from molq.suite.base import query
-from molq.suite.cooccurrence import panel
+from molq.suite.cooccurrence import SUMMARY_CTE, panel, score_parts
 from molq.suite.profiles import sides
 from molq.suite.util import rounded
 
@@ -212,6 +212,11 @@ def block_metrics(spark, sf):
     return rounded(E.block_metrics(q, ql, r, rl, panel(spark, sf), 10))
 
 
-@query("F38", None)
+@query("F38", with_parts(SUMMARY_CTE + """,
+n AS (SELECT cell_id, sum(count) AS n FROM cg GROUP BY 1),
+u AS (SELECT 'unfiltered' AS stage, sc.* FROM sc UNION ALL SELECT 'filtered', sc.* FROM sc JOIN n USING (cell_id) WHERE n > 20 AND n < 50)
+SELECT stage, count(*) AS n_entities_scored, round(median(ps), 6) AS cpmi_purity, round(median(cs), 6) AS cpmi_conflict,
+ round(median(rp), 6) AS cpmi_relative_purity, round(median(rc), 6) AS cpmi_relative_conflict, round(median(ps - cs), 6) + 0.0 AS cpmi_coherence,
+ round(median(rp - rc), 6) + 0.0 AS cpmi_relative_coherence FROM u GROUP BY 1""", "orig cg", **score_parts(1)))
 def qc_sensitivity(spark, sf):
     return rounded(E.qc_sensitivity(A.cell_gene_counts(molecules(spark, sf)), panel(spark, sf), 20, 50))
