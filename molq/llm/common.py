@@ -24,6 +24,7 @@ from molq.session import ensure_checkpoint_dir
 CACHE_WORDS = 150_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 TEXTS_AT_ONCE = 512
+BATCH_BYTES = str(8 << 20)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -38,6 +39,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches bounded by 8 MB, so that long texts do not pile up in a task."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def id_type(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 

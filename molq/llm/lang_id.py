@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from molq.llm.common import id_type, rows_of, sample_per_group, stored
+from molq.llm.common import id_type, in_small_batches, rows_of, sample_per_group, stored
 
 BITS = 14
 SAMPLE_PER_LANGUAGE = 300
@@ -145,7 +145,7 @@ def predict_language(records: DataFrame, model: LanguageCentroids, id_col: str =
     as they are, null, repeated or not; other columns are not read. The whole text counts.
     """
     shipped = records.sparkSession.sparkContext.broadcast(model)  # languages * centroids vectors, whatever the data
-    texts = records.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = in_small_batches(records).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, fold = shipped.value, _folding()
@@ -174,4 +174,4 @@ def drop_rejected(records: DataFrame, model: LanguageCentroids, text_col: str =
                 part = batch.slice(at, 256)
                 yield part.filter(pa.array(~_nearest(part.column(place).to_pylist(), known, fold, reject_below)[2]))
 
-    return records.mapInArrow(keep, records.schema)
+    return in_small_batches(records).mapInArrow(keep, records.schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from molq.llm.common import (Forest, WordHashes, components, frugal, id_type, rows_of, sorted_groups, stored,
+from molq.llm.common import (Forest, WordHashes, components, frugal, id_type, in_small_batches, rows_of, sorted_groups, stored,
                              window_hashes)
 from molq.session import shuffle_width
 
@@ -161,7 +161,7 @@ def near_duplicate_entities(entities: DataFrame, entity_col: str = "cell_id", fe
     no part, component null, kept. Repeated rows are copies of each other and all carry the smallest
     id; an id that comes with several texts is judged row by row. An empty table gives an empty result.
     """
-    texts = entities.select(F.col(entity_col).alias("id"), F.col(features_col).alias("text"))
+    texts = in_small_batches(entities).select(F.col(entity_col).alias("id"), F.col(features_col).alias("text"))
     kind = id_type(texts, "id")
     signed = stored(texts.mapInArrow(
         _signer("id", "text", width, bands, rows, seed),

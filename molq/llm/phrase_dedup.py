@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from molq.functions.ordering import dense_index
-from molq.llm.common import WordHashes, frugal, id_type, rows_of, shared_folder, stored, window_hashes
+from molq.llm.common import WordHashes, frugal, id_type, in_small_batches, rows_of, shared_folder, stored, window_hashes
 from molq.session import shuffle_width
 
 CHUNK_BYTES = 2_000_000
@@ -342,7 +342,7 @@ def remove_recurring_runs(entities: DataFrame, entity_col: str = "cell_id", feat
     id do not remove each other's words. Columns named in ``carry`` are passed on, others are not read.
     An empty table gives an empty result.
     """
-    numbered, index = _numbered(entities, entity_col, features_col, carry)
+    numbered, index = _numbered(in_small_batches(entities), entity_col, features_col, carry)
     chunks = _chunk_table(numbered)
     buckets = shuffle_width(chunks)
     bare = chunks.select("chunk", "ids", "texts")

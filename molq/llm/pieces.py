@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from molq.llm.common import Remembered, frugal, id_type, kept_in_worker, rows_of
+from molq.llm.common import Remembered, frugal, id_type, in_small_batches, kept_in_worker, rows_of
 from molq.llm.merges import StablePairs
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -159,7 +159,7 @@ def _decoder(path: str, both: bool):
 
 
 def _texts(records: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return records.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return in_small_batches(records).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
 
 def encode_pieces(records: DataFrame, id_col: str = "dataset", text_col: str = "provenance",
@@ -175,7 +175,7 @@ def decode_pieces(encoded: DataFrame, id_col: str = "dataset", ids_col: str = "p
                   model: str = MODEL) -> DataFrame:
     """(id, piece_ids, decoded) for every row; a null or empty list gives "". Control pieces show nothing;
     bytes that are no UTF-8 show as the replacement character."""
-    lists = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("piece_ids"))
+    lists = in_small_batches(encoded).select(F.col(id_col).alias("id"), F.col(ids_col).alias("piece_ids"))
     out = lists.mapInArrow(_decoder(model, False), f"id {id_type(lists, 'id')}, piece_ids array<int>, decoded string")
     return out.withColumnRenamed("id", id_col)
 

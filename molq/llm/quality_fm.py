@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from molq.llm.common import WordHashes, id_type, rows_of, sample_per_group
+from molq.llm.common import WordHashes, id_type, in_small_batches, rows_of, sample_per_group
 
 BITS = 14
 FACTORS = 4
@@ -120,7 +120,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _columns(records: DataFrame, id_col: str, text_col: str, length_col: str | None, *more) -> DataFrame:
     stated = F.col(length_col).cast("long") if length_col else F.lit(None).cast("long")
-    return records.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), stated.alias("stated"), *more)
+    return in_small_batches(records).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), stated.alias("stated"), *more)
 
 
 def fit_quality(records: DataFrame, labels: DataFrame, id_col: str = "dataset", text_col: str = "provenance",

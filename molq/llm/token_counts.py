@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from molq.llm.common import Remembered, frugal, id_type, kept_in_worker, rows_of
+from molq.llm.common import Remembered, frugal, id_type, in_small_batches, kept_in_worker, rows_of
 from molq.llm.merges import StablePairs
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -181,7 +181,7 @@ def token_counts(records: DataFrame, id_col: str = "dataset", text_col: str = "p
     other columns are not read. An empty table gives an empty result. ``vocabulary`` must lie at the
     same path on every machine.
     """
-    texts = records.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = in_small_batches(records).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {id_type(texts, 'id')}, n_bytes bigint, n_tokens bigint" + ", prefix_tokens binary" * keep_prefixes
     out = texts.mapInArrow(_counter(vocabulary, keep_prefixes), schema)
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"),

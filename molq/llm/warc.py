@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from molq.llm.common import rows_of, shared_folder, stored
+from molq.llm.common import in_small_batches, rows_of, shared_folder, stored
 
 REVISIT_FROM = 1000
 ARCHIVE_BYTES = 64_000_000
@@ -157,7 +157,7 @@ def write_archives(pages: DataFrame, id_col: str = "record_id", url_col: str = "
     raises an error, since a record needs a name. Payloads below ``revisit_from`` bytes are always
     responses. Rows that repeat an id and payload: one of them is the response, as the id says only that much.
     """
-    rows = pages.select(F.col(id_col).cast("bigint").alias("id"), F.col(url_col).alias("url"), F.col(content_col).alias("content"))
+    rows = in_small_batches(pages).select(F.col(id_col).cast("bigint").alias("id"), F.col(url_col).alias("url"), F.col(content_col).alias("content"))
     rows = rows.withColumn("id", F.coalesce("id", F.raise_error(F.lit("a record needs an id")).cast("bigint")))
     large = F.octet_length("content") >= revisit_from
     digest = F.when(large, F.unhex(F.sha2("content", 256)))
