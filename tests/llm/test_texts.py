@@ -1,5 +1,6 @@
 """Tokens, pieces, language, quality, leaks, URLs and archives."""
 
+import base64
 import gzip
 import hashlib
 from pathlib import Path
@@ -102,6 +103,32 @@ def test_language_edges(frame):
         lang_id.fit_language_centroids(data.limit(0))
 
 
+@needs_tables
+def test_foreign_and_noise_texts_are_rejected_and_clean_ones_stay(spark, frame):
+    draw = np.random.default_rng(5)
+    foreign = ["Вчера вечером мы долго гуляли по старому городу и говорили о том, как изменилась наша жизнь за последние годы.",
+               "昨天晚上我们在老城区散步了很久，谈论着这些年来我们的生活发生了怎样的变化。后来下雨了，我们就回家了。",
+               "Eilen illalla kävelimme pitkään vanhassa kaupungissa ja puhuimme siitä, miten elämämme on muuttunut viime vuosina.",
+               "Dün akşam eski şehirde uzun süre yürüdük ve son yıllarda hayatımızın nasıl değiştiğini konuştuk.",
+               "Wczoraj wieczorem długo spacerowaliśmy po starym mieście i rozmawialiśmy o tym, jak zmieniło się nasze życie."]
+    for words in (60, 6000):
+        foreign.append(" ".join("".join(map(chr, draw.integers(97, 123, draw.integers(3, 10)))) for _ in range(words)))
+        foreign.append(base64.b64encode(draw.bytes(words * 6)).decode())
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = lang_id.fit_language_centroids(docs.where(queries._fold(4) != 2), "doc_id", "text", "lang")
+    got = lang_id.predict_language(frame([(i, t) for i, t in enumerate(foreign)], "dataset bigint, provenance string"), model)
+    assert [r.dataset for r in got.collect() if not r.rejected] == []
+    assert lang_id.predict_language(docs, model, "doc_id", "text").where("rejected").count() == 0
+
+
+def test_document_frequencies_count_all_labelled_texts(frame):
+    rows = [(i, "alpha beta" if i % 2 else "gamma", "en") for i in range(40)]
+    model = lang_id.fit_language_centroids(frame(rows, "dataset bigint, provenance string, lang string"), per_language=4)
+    fold = lang_id._folding()
+    half, never = (lang_id.trigram_counts(t, fold) > 0 for t in ("alpha", "zzz"))
+    assert model.idf[half] == pytest.approx(np.log(41 / 21) + 0.1) and model.idf[never].min() == pytest.approx(model.idf.max())
+
+
 @needs_tables
 def test_quality_of_held_out_documents(spark):
     got = queries.QUERIES["op7_quality"](spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").toPandas()
