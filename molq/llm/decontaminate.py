@@ -6,6 +6,12 @@ of the records. For every aligned pair the window words are compared in full and
 checked: one value of the item must always stand for one value of the record. So a question with other
 numbers or names is caught, while texts that share a form by chance, with slots filled at random, are not.
 
+An item is read in three ways, and any of them finds it. ``strict``: names are capitalised words inside a sentence,
+windows have ``width`` words and must hold ``literals`` plain ones. Two loose readings, one with these names and one
+with every capitalised word as a name, take the whole template as one window for items under ``width`` words,
+windows of half the width up to 3 * width - 1 words, and full ones beyond. They keep windows rich in slots,
+and ask instead that few of the values differ.
+
 The project's records carry no running text, so the functions take any id and text column.
 """
 
@@ -28,8 +34,8 @@ UNITS = ("km cm mm nm um kg mg ug ml hz khz mhz ghz kb mb gb tb seconds second m
 NUMBER, UNIT, NAME = "⟦n⟧", "⟦u⟧", "⟦a⟧"
 
 
-def _tokens(texts: DataFrame) -> DataFrame:
-    """Adds ``line``, the lower-cased words with marked slots and their values, and ``bare``, without the values.
+def _tokens(texts: DataFrame, every: bool = False) -> DataFrame:
+    """Marks capitalised words inside a sentence as names, or ``every`` capitalised word. Adds ``line``, the lower-cased words with marked slots and their values, and ``bare``, without the values.
 
     Each step is a column of its own, so that no step is repeated inside the conditions of the next."""
     t = F.col("t")
@@ -37,7 +43,8 @@ def _tokens(texts: DataFrame) -> DataFrame:
     return (texts.withColumn("t", F.coalesce("text", F.lit(""))).drop("text")
             .withColumn("t", F.when(F.contains(t, F.lit("⟦")) | F.contains(t, F.lit("⟧")), F.regexp_replace(t, "[⟦⟧]", " "))
                         .otherwise(t))
-            .withColumn("t", F.regexp_replace(t, r"([^.!?:\s] )(\p{Lu}\p{Ll}+)", f"$1{NAME}$2"))
+            .withColumn("t", F.regexp_replace(t, r"(?<![\p{L}\p{N}\p{M}_])(\p{Lu}\p{Ll}+)", f"{NAME}$1") if every else
+                        F.regexp_replace(t, r"([^.!?:\s] )(\p{Lu}\p{Ll}+)", f"$1{NAME}$2"))
             .withColumn("t", F.when(F.contains(t, F.lit(NAME)), F.regexp_replace(F.regexp_replace(
                 t, f"{names}) (\\p{{Lu}}\\p{{Ll}}+)", "$1_$2"), f"{names}_\\p{{Ll}}+) {NAME}(\\p{{Lu}}\\p{{Ll}}+)", "$1_$2")).otherwise(t))
             .withColumn("t", F.when(t.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(
@@ -52,22 +59,48 @@ def _split(column: str) -> Column:
     return F.array_remove(F.split(column, " "), "")
 
 
-def _windows(tokens: DataFrame, key: str, width: int) -> DataFrame:
-    """(key, at, window): hash of every run of ``width`` template words; ``at`` counts words from 1.
+def _runs(tokens: DataFrame, keys: list[str], widths: list[int]) -> DataFrame:
+    """(*keys, n, place, window): hash of every run of each of ``widths`` template words, one width after the other.
 
-    Hashes of 1, 2, 4, ... words are put together from the hashes of half the length."""
-    if width & (width - 1):
-        raise ValueError("the window width must be a power of two")
-    runs = tokens.select(key, F.transform(_split("bare"), lambda w: F.xxhash64(w)).alias("run")).withColumn("n", F.size("run"))
+    Hashes of 1, 2, 4, ... words are put together from the hashes of half the length, other lengths from those."""
+    runs = tokens.select(*keys, F.transform(_split("bare"), lambda w: F.xxhash64(w)).alias("run1")).withColumn("n", F.size("run1"))
     size = 1
-    while size < width:
+    while size * 2 <= max(widths):
         # The places at the end whose second half is missing are cut off below.
-        runs = runs.withColumn("run", F.zip_with("run", F.slice("run", size + 1, 1 << 30), lambda a, b: F.xxhash64(a, b)))
+        runs = runs.withColumn(f"run{size * 2}", F.zip_with(f"run{size}", F.slice(f"run{size}", size + 1, 1 << 30),
+                                                            lambda a, b: F.xxhash64(a, b)))
         size *= 2
+    for width in widths:
+        done = 1 << (width.bit_length() - 1)
+        whole, left = F.col(f"run{done}"), width - done
+        while left:
+            part = 1 << (left.bit_length() - 1)
+            whole = F.zip_with(whole, F.slice(f"run{part}", done + 1, 1 << 30), lambda a, b: F.xxhash64(a, b))
+            done, left = done + part, left - part
+        runs = runs.withColumn(f"run{width}", whole)
     # An outer explode, so that no condition on the array is pushed down and evaluates every step again.
-    whole = F.slice("run", F.lit(1), F.greatest(F.col("n") - (width - 1), F.lit(0)))
-    return (runs.select(key, F.posexplode_outer(whole).alias("at", "window")).where("window is not null")
-            .withColumn("at", F.col("at") + 1))
+    cut = [F.slice(f"run{w}", F.lit(1), F.greatest(F.col("n") - (w - 1), F.lit(0))) for w in widths]
+    return runs.select(*keys, "n", F.posexplode_outer(F.concat(*cut)).alias("place", "window")).where("window is not null")
+
+
+def _width_and_at(runs: DataFrame, widths: list[int]) -> DataFrame:
+    """Adds ``at``, the word counted from 1 where a window of ``width`` words begins, from ``place`` and ``n``."""
+    offset, at = F.lit(0), F.when(F.lit(False), F.lit(0))
+    for w in widths:
+        at = at.when(F.col("width") == w, F.col("place") - offset + 1)
+        offset = offset + F.greatest(F.col("n") - (w - 1), F.lit(0))
+    return runs.withColumn("at", at)
+
+
+def _read_items(items: DataFrame, width: int) -> DataFrame:
+    """(item, every, strict, width, version, i_words, i_bare): every reading of every text of an item."""
+    both = [_tokens(items, every).withColumn("every", F.lit(every)) for every in (False, True)]
+    words = both[0].unionByName(both[1]).select("item", "every", "line", "bare", _split("line").alias("i_words"), _split("bare").alias("i_bare"))
+    n = F.size("i_bare")
+    loose = F.when(n < width, n).when(n < 3 * width, max(width // 2, 1)).otherwise(width)
+    return (words.where(n > 0).withColumn("strict", F.explode(F.array(F.lit(True), F.lit(False))))
+            .where("not (strict and every)").withColumn("width", F.when(F.col("strict"), width).otherwise(loose))
+            .where(n >= F.col("width")).withColumn("version", F.xxhash64("line", "every", "strict")))
 
 
 def find_leaks(records: DataFrame, benchmark: DataFrame, id_col: str = "dataset", text_col: str = "provenance",
@@ -75,46 +108,80 @@ def find_leaks(records: DataFrame, benchmark: DataFrame, id_col: str = "dataset"
                share: float = SHARE) -> DataFrame:
     """(id, item, n_windows, item_windows, reparameterised) for every record that holds a benchmark item.
 
-    A record holds an item when at least ``share`` of the item's windows with ``literals`` or more plain words stand
-    in it with consistent slots. ``reparameterised`` tells that some slot value differs. Null or short
-    texts (under ``width`` template words) hold nothing and are held by nothing; rows with a null id
-    are left out. Rows that repeat an id are judged as one: an item is reported once per id. Other
+    A record holds an item when, in one of the readings above, at least ``share`` of the item's windows stand in it
+    with consistent slots. In the strict reading windows with under ``literals`` plain words do not count. In the loose
+    ones windows without any plain word count only where the item has no other; the windows must stand within some 8 words
+    of one another's order, and at most 1 - literals / width of the words may be differing slot values, a repeated one
+    taken once. The figures are those of the strict reading where it finds the item. ``reparameterised`` tells
+    that some slot value differs. Null texts and texts without a word hold nothing and are held by nothing;
+    rows with a null id are left out. Rows that repeat an id are judged as one: an item is reported once per id. Other
     columns are not read. Item windows are stored, so Spark broadcasts them only when their size on
     disk is below its threshold and shuffles otherwise.
     """
+    if width & (width - 1):
+        raise ValueError("the window width must be a power of two")
     texts = records.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).where("item is not null")
-    item_tokens = stored(_tokens(items.dropDuplicates(["item", "text"])), "items")
-    plain = F.size(F.filter(F.slice("template", F.col("at"), width), lambda w: ~F.startswith(w, F.lit("⟦"))))
+    readings = stored(_read_items(items.dropDuplicates(["item", "text"]), width), "items")
+    # At most ``width`` + 1 different numbers.
+    in_use = {every: sorted((r["width"] for r in readings.where(F.col("every") == every).select("width").distinct().collect()), reverse=True)
+              or [width] for every in (False, True)}
+    plain = F.size(F.filter(F.slice("i_bare", F.col("at"), F.col("width")), lambda w: ~F.startswith(w, F.lit("⟦"))))
+    cut = []
+    for every, widths in in_use.items():
+        keys = ["item", "every", "strict", "width", "version", "i_bare"]
+        runs = _runs(readings.where(F.col("every") == every).withColumn("bare", F.array_join("i_bare", " ")), keys, widths)
+        for w in widths:
+            cut.append(_width_and_at(runs.where(F.col("width") == w), widths).where(F.col("at").between(1, F.col("n") - (w - 1))))
+    every_window = cut[0]
+    for more in cut[1:]:
+        every_window = every_window.unionByName(more)
+    every_window = every_window.withColumn("plain", plain)
+    has_plain = every_window.groupBy("item", "version").agg(F.max("plain").alias("most"))
     item_windows = stored(
-        _windows(item_tokens.select("item", "bare", "line", F.struct("item", "line").alias("key")), "key", width)
-        .join(item_tokens.select(F.struct("item", "line").alias("key"), _split("bare").alias("template")), "key")
-        .where(plain >= literals).select(F.col("key.item").alias("item"), F.xxhash64("key.line").alias("version"), "at", "window"),
-        "item-windows")
+        every_window.join(has_plain, ["item", "version"])
+        .where(F.col("plain") >= F.when(F.col("strict"), literals).otherwise(F.least(F.col("most"), F.lit(1))))
+        .select("item", "every", "strict", "width", "version", "at", "window"), "item-windows")
     sizes = item_windows.groupBy("item", "version").agg(F.count(F.lit(1)).cast("int").alias("item_windows"))
-    hits = (_windows(_tokens(texts), "id", width).withColumnRenamed("at", "there").join(item_windows, "window")
-            .groupBy("id", "item", "version", (F.col("there") - F.col("at")).alias("shift")).agg(F.collect_set("at").alias("places")))
-    found = stored(hits, "hits")
+
+    hits = None
+    for every, widths in in_use.items():
+        wanted = item_windows.where(F.col("every") == every).withColumnRenamed("at", "there")
+        met = (_width_and_at(_runs(_tokens(texts, every), ["id"], widths).join(wanted, "window"), widths)
+               .groupBy("id", "item", "every", "strict", "width", "version", (F.col("at") - F.col("there")).alias("shift"))
+               .agg(F.collect_set("there").alias("places")))
+        hits = met if hits is None else hits.unionByName(met)
+    enough = F.col("n_windows") >= share * F.col("item_windows")
+    # Loose windows belong together when their shifts are near: of two staggered rows of boxes, one holds both.
+    boxes = F.when(F.col("strict"), F.array(F.lit(0).cast("bigint"))).otherwise(F.array(
+        F.floor(F.col("shift") / (2 * width)) * 2, F.floor((F.col("shift") + width) / (2 * width)) * 2 + 1))
+    found = stored(hits.withColumn("box", F.explode(boxes)), "hits")
+    promising = (found.select("id", "item", "version", "box", F.explode("places").alias("at"))
+                 .groupBy("id", "item", "version", "box").agg(F.count_distinct("at").alias("n_windows"))
+                 .join(sizes, ["item", "version"]).where(enough).select("id", "item", "version", "box"))
+    found = stored(found.join(promising, ["id", "item", "version", "box"], "left_semi"), "promising")
 
     near = texts.join(found.select("id").distinct(), "id", "left_semi")
-    record_side = _tokens(near).select("id", _split("line").alias("r_words"), _split("bare").alias("r_bare"))
-    item_side = item_tokens.select("item", F.xxhash64("line").alias("version"), _split("line").alias("i_words"),
-                                   _split("bare").alias("i_bare"))
-    pairs = found.join(item_side, ["item", "version"]).join(record_side, "id")
-    alike = F.filter("places", lambda p: F.slice("i_bare", p, width) == F.slice(
-        "r_bare", F.greatest(p + F.col("shift"), F.lit(1)), width))
-    covered = F.array_distinct(F.flatten(F.transform("alike", lambda p: F.sequence(p, p + (width - 1)))))
-    slots = F.transform(F.filter(covered, lambda p: F.startswith(F.get("i_bare", p - 1), F.lit("⟦"))),
+    record_side = [_tokens(near, every).select("id", F.lit(every).alias("every"), _split("line").alias("r_words"),
+                                               _split("bare").alias("r_bare")) for every in (False, True)]
+    item_side = readings.select("item", "version", "i_words", "i_bare")
+    pairs = found.join(item_side, ["item", "version"]).join(record_side[0].unionByName(record_side[1]), ["id", "every"])
+    alike = F.filter("places", lambda p: F.slice("i_bare", p, F.col("width")) == F.slice(
+        "r_bare", F.greatest(p + F.col("shift"), F.lit(1)), F.col("width")))
+    covered = F.array_distinct(F.flatten(F.transform("alike", lambda p: F.sequence(p, p + (F.col("width") - 1)))))
+    slots = F.transform(F.filter("covered", lambda p: F.startswith(F.get("i_bare", p - 1), F.lit("⟦"))),
                         lambda p: F.struct(F.get("i_words", p - 1).alias("i"), F.get("r_words", p + F.col("shift") - 1).alias("r")))
-    judged = (pairs.withColumn("alike", alike).where(F.size("alike") > 0).withColumn("slots", F.array_distinct(slots))
+    judged = (pairs.withColumn("alike", alike).where(F.size("alike") > 0).withColumn("covered", covered)
+              .withColumn("slots", F.array_distinct(slots))
               .where(F.size("slots") == F.size(F.array_distinct("slots.i")))
-              .withColumn("differs", F.exists("slots", lambda s: s["i"] != s["r"])))
-    merged = (judged.select("id", "item", "version", "differs", F.explode("alike").alias("at"))
-              .groupBy("id", "item", "version").agg(F.count_distinct("at").cast("int").alias("n_windows"),
-                                                    F.min("differs").alias("reparameterised")))
-    return (merged.join(sizes, ["item", "version"]).where(F.col("n_windows") >= share * F.col("item_windows"))
+              .withColumn("changed", F.size(F.filter("slots", lambda s: s["i"] != s["r"])))
+              .where(F.col("strict") | (F.col("changed") * width <= (width - literals) * F.size("covered"))))
+    merged = (judged.select("id", "item", "strict", "version", "box", "changed", F.explode("alike").alias("at"))
+              .groupBy("id", "item", "strict", "version", "box")
+              .agg(F.count_distinct("at").cast("int").alias("n_windows"), F.min(F.col("changed") > 0).alias("reparameterised")))
+    return (merged.join(sizes, ["item", "version"]).where(enough)
             .groupBy("id", "item").agg(F.max_by(F.struct("n_windows", "item_windows", "reparameterised"),
-                                                F.struct("n_windows", "version")).alias("best"))
+                                                F.struct("strict", "n_windows", "version", "box")).alias("best"))
             .select(F.col("id").alias(id_col), F.col("item").alias(item_col), "best.n_windows", "best.item_windows",
                     "best.reparameterised"))
 

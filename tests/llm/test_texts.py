@@ -175,6 +175,19 @@ def test_leaks_by_template(frame):
         find_leaks(data, items, width=6)
 
 
+def found_in(frame, items, texts):
+    got = find_leaks(frame(list(enumerate(texts)), "dataset bigint, provenance string"),
+                     frame(list(enumerate(items)), "item_id bigint, text string"))
+    return {(r.item_id, r.dataset): r.reparameterised for r in got.collect()}
+
+
+def test_names_at_sentence_starts_are_slots(frame):
+    item = "Tom has 3 red balls. Mary has 5 blue balls. Tom gives Mary 2 balls. How many balls does Tom have now?"
+    other = item.replace("Tom", "Peter").replace("Mary", "Anna").replace("3", "7")
+    apart = "Peter has seen the red hills. Anna has been there too. How many hills does Peter know now?"
+    assert found_in(frame, [item], [item, other, "Read this.\n" + other, apart]) == {(0, 0): False, (0, 1): True, (0, 2): True}
+
+
 def test_urls(frame):
     assert split_url("HTTP://Ex.COM:80?q") == ("ex.com:80", "") and split_url("x.com/a") == ("", "") and split_url(None) == ("", "")
     rules = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("COM", "/", "allow"), (None, None, "block")]
