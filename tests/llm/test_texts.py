@@ -188,6 +188,15 @@ def test_names_at_sentence_starts_are_slots(frame):
     assert found_in(frame, [item], [item, other, "Read this.\n" + other, apart]) == {(0, 0): False, (0, 1): True, (0, 2): True}
 
 
+def test_short_items_and_items_rich_in_slots(frame):
+    short, rich = "What is the capital of France?", "Anna 3, Tom 4, Mary 5: give 12 to Anna 3, Tom 4, Mary 5"
+    middle = "the small grey cat walked over the wet garden wall before the rain had stopped"  # 15 words
+    texts = ["He asked: " + short, short.replace("France", "Spain"), "What is the colour of France?", "So. " + rich + ".",
+             rich.replace("Anna", "Eve").replace("4", "9"), "Anna 1, Tom 2, Mary 3: give 4 to Anna 5, Tom 6, Mary 7",
+             "And then " + middle.replace("wet", "old") + " again", middle.replace("wet ", ""), "the small grey cat sat and slept before the rain had come"]
+    assert found_in(frame, [short, rich, middle], texts) == {(0, 0): False, (0, 1): True, (1, 3): False, (1, 4): True, (2, 6): False, (2, 7): False}
+
+
 def test_urls(frame):
     assert split_url("HTTP://Ex.COM:80?q") == ("ex.com:80", "") and split_url("x.com/a") == ("", "") and split_url(None) == ("", "")
     rules = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("COM", "/", "allow"), (None, None, "block")]
