@@ -10,7 +10,7 @@ from molq.llm.decontaminate import drop_leaks
 from molq.llm.lang_id import drop_rejected, fit_language_centroids
 from molq.llm.near_dedup import near_duplicate_entities
 from molq.llm.phrase_dedup import remove_recurring_runs
-from molq.llm.pieces import encode_pieces
+from molq.llm.pieces import encode_and_decode
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,13 +40,14 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_pieces, piece_ids) of every document left."""
-    coded = encode_pieces(docs, "doc_id", "text")
-    return coded.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids")
+    """(doc_id, n_pieces, piece_ids, decoded_sha256) of every document left; the digest is of the text decoded from the ids."""
+    coded = encode_and_decode(docs, "doc_id", "text")
+    return coded.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids",
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("language ID", language), ("MinHash near-dedup", near_dedup), ("substring dedup", substring_dedup),
-          ("benchmark decontamination", decontamination), ("SentencePiece encoding", pieces)]
+          ("benchmark decontamination", decontamination), ("SentencePiece encoding and decoding", pieces)]
 ORACLE_SQL = None  # SQL cannot express the first and the last stage; tests/llm holds a brute-force version
 
 

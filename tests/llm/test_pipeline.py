@@ -1,5 +1,6 @@
 """The pipeline against a plain version of each stage, and its SQL checks on the smallest tables."""
 
+import hashlib
 import sys
 from pathlib import Path
 
@@ -64,6 +65,15 @@ def test_stages_match_plain_versions(spark):
     assert {r.doc_id: (r.n_pieces, r.piece_ids) for r in final} == {i: (len(x), x) for i, t in left.items() for x in [tool.encode(t)]}
 
 
+def test_last_stage_decodes(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    tool = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    want = {r.doc_id: hashlib.sha256(tool.decode(tool.encode(r.text)).encode()).hexdigest() for r in docs.collect()}
+    name, stage = corpus_pipeline.STAGES[-1]
+    assert name == "SentencePiece encoding and decoding"
+    assert {r.doc_id: r.decoded_sha256 for r in stage(spark, docs, SF).collect()} == want
+
+
 def test_stages_on_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES[1:]:
