@@ -14,8 +14,8 @@ from molq.llm.pieces import encode_and_decode
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents too far from every language centroid, or without a letter, go."""
-    return drop_rejected(docs, fit_language_centroids(docs, "doc_id", "text", "lang"), "text")
+    """Documents too far from every language centroid, or without a letter, go; without a single label all do."""
+    return drop_rejected(docs, fit_language_centroids(docs, "doc_id", "text", "lang", allow_empty=True), "text")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

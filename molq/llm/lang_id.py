@@ -120,12 +120,13 @@ def _cuts(rows: np.ndarray, reach: np.ndarray, means: np.ndarray) -> np.ndarray:
 
 def fit_language_centroids(labelled: DataFrame, id_col: str = "dataset", text_col: str = "provenance",
                            label_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE,
-                           centroids: int = CENTROIDS) -> LanguageCentroids:
+                           centroids: int = CENTROIDS, allow_empty: bool = False) -> LanguageCentroids:
     """Fit on the ``per_language`` rows of lowest id hash of every language.
 
     Rows without label or id, or whose text is null or holds no letter, are left out. Document frequencies
     count all other rows and are added up in Spark. The driver receives one vector of them and
-    ``centroids`` vectors per language.
+    ``centroids`` vectors per language. Without any row to learn from this is an error or, with
+    ``allow_empty``, a model that knows no language: every text is ``und`` and rejected.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("lang"))
     usable = rows.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & F.col("text").rlike(r"\p{L}"))
@@ -134,6 +135,8 @@ def fit_language_centroids(labelled: DataFrame, id_col: str = "dataset", text_co
     met = in_small_batches(usable.select("text")).mapInArrow(_frequencies, "bucket int, seen bigint")
     counted = {r["bucket"]: r["seen"] for r in met.groupBy("bucket").agg(F.sum("seen").alias("seen")).collect()}
     total = counted.pop(-1, 0)
+    if not total and allow_empty:
+        return LanguageCentroids([], np.zeros((0, 1 << BITS), np.float32), np.zeros(1 << BITS, np.float32), np.zeros(0))
     if not total:
         raise ValueError("no labelled text to learn from")
     seen = np.zeros(1 << BITS)
@@ -158,7 +161,9 @@ def _nearest(texts: list[str | None], known: LanguageCentroids, fold: np.ndarray
     lettered = np.array([bool(t) and LETTER.search(t) is not None for t in texts], bool)
     labels, scores, rejected = [UNKNOWN] * len(texts), np.zeros(len(texts)), ~lettered
     rows = np.flatnonzero(lettered)
-    if len(rows):
+    if not known.labels:
+        rejected[:] = True
+    elif len(rows):
         vectors, reach = _vectors([texts[i] for i in rows], known.idf, fold)
         cosines = vectors @ known.centroids.T
         best = cosines.argmax(axis=1)

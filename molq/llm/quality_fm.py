@@ -125,12 +125,13 @@ def _columns(records: DataFrame, id_col: str, text_col: str, length_col: str | N
 
 def fit_quality(records: DataFrame, labels: DataFrame, id_col: str = "dataset", text_col: str = "provenance",
                 label_col: str = "quality", length_col: str | None = None,
-                per_class: int = SAMPLE_PER_CLASS) -> FactorisationMachine:
+                per_class: int = SAMPLE_PER_CLASS, allow_empty: bool = False) -> FactorisationMachine:
     """Fit on the ``per_class`` labelled ids of lowest hash of each class (label 1 against 0).
 
     ``labels`` has the id and the label; only the sampled ids, a table of bounded size, meet the texts of
     ``records``. Null ids, other labels and labels without a record are left out; repeated ids count once. The
-    driver receives the hashed features of the sample, at most ``2 * per_class`` rows.
+    driver receives the hashed features of the sample, at most ``2 * per_class`` rows. Without any row to
+    learn from this is an error or, with ``allow_empty``, a model that scores every text 0.5.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(
         "id is not null and label in (0, 1)")
@@ -138,6 +139,9 @@ def fit_quality(records: DataFrame, labels: DataFrame, id_col: str = "dataset",
     rows = _columns(records, id_col, text_col, length_col)
     sample = rows.join(picked, "id").dropDuplicates(["id", "label"]).select("id", "text", "stated", "label")
     made = sample.mapInArrow(_featured, f"id {id_type(rows, 'id')}, label int, at binary, x binary").orderBy("id").collect()
+    if not made and allow_empty:
+        n = (1 << BITS) + len(STATISTICS)
+        return FactorisationMachine(0.0, np.zeros(n), np.zeros((n, FACTORS)))
     if not made:
         raise ValueError("no labelled row to learn from")
     return train([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["x"], np.float32)) for r in made],

@@ -149,14 +149,14 @@ def _fold(parts: int):
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = fit_quality(docs, labels.where(_fold(3) != 1), "doc_id", "text", "quality", "n_chars")
+    model = fit_quality(docs, labels.where(_fold(3) != 1), "doc_id", "text", "quality", "n_chars", allow_empty=True)
     return score_quality(docs, model, "doc_id", "text", "n_chars").select(
         "doc_id", (_fold(3) == 1).alias("held_out"), "score", "predicted")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fit_language_centroids(docs.where(_fold(4) != 2), "doc_id", "text", "lang")
+    model = fit_language_centroids(docs.where(_fold(4) != 2), "doc_id", "text", "lang", allow_empty=True)
     return predict_language(docs, model, "doc_id", "text").select(
         "doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score")
 

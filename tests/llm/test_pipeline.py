@@ -7,6 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2] / "tools"))
 sys.path.insert(0, str(Path(__file__).resolve().parent))
@@ -78,3 +79,21 @@ def test_stages_on_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES[1:]:
         assert stage(spark, docs, SF).collect() == []
+
+
+def test_nothing_to_learn_from(spark, tmp_path):
+    docs, labels, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    for name, rows in (("empty", docs.limit(0)), ("unlabelled", unlabelled)):
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.limit(0).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        items.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).collect() == []
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").collect() == []
+    assert corpus_pipeline.language(spark, unlabelled, SF).collect() == []
+    for name in ("op7_quality", "op9_language_id"):
+        assert queries.QUERIES[name](spark, f"{tmp_path}/empty").collect() == []
+    got = queries.QUERIES["op9_language_id"](spark, f"{tmp_path}/unlabelled").collect()
+    assert len(got) == docs.count() and {(r.lang_pred, r.score) for r in got} == {("und", 0.0)}
+    assert {r.score for r in queries.QUERIES["op7_quality"](spark, f"{tmp_path}/unlabelled").collect()} == {0.5}
