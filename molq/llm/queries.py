@@ -7,11 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from molq.llm.decontaminate import UNITS, find_leaks
+from molq.llm.fertility import fertility_verdicts
 from molq.llm.lang_id import fit_language_centroids, predict_language
+from molq.llm.manifest import dataset_manifest
 from molq.llm.near_dedup import near_duplicate_entities
 from molq.llm.phrase_dedup import remove_recurring_runs
 from molq.llm.pieces import encode_and_decode
 from molq.llm.quality_fm import fit_quality, score_quality
+from molq.llm.spelling import feature_words, name_variants
 from molq.llm.token_counts import token_counts
 from molq.llm.url_filter import filter_urls
 from molq.llm.vector_dedup import near_duplicate_profiles
@@ -203,6 +206,90 @@ FROM merged JOIN size ON size.k = item WHERE n >= 0.5 * item_windows
 """
 
 
+def _crc32_sql(text: str) -> str:
+    """Unsigned crc32 of the UTF-8 bytes of ``text`` in SQL: the register takes eight shifts for every byte."""
+    octets = f"list_transform(range(1, CAST(length(hex({text})) / 2 AS INTEGER) + 1), lambda i: CAST('0x' || hex({text})[2 * i - 1:2 * i] AS UBIGINT))"
+    byte = ("list_reduce(list_concat([xor(c, b)], list_transform(range(8), lambda k: CAST(0 AS UBIGINT))), "
+            "lambda x, y: xor(x >> 1, (x & 1) * 3988292384))")
+    return f"xor(list_reduce(list_concat([CAST(4294967295 AS UBIGINT)], {octets}), lambda c, b: {byte}), 4294967295)"
+
+
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a leaf; where 7 divides the crc32 of doc_id, n_chars is claimed one too high."""
+    claimed = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    return dataset_manifest(table(spark, sf_dir, "documents"), "doc_id", "lang",
+                            ["doc_id", "source", "lang", "n_chars", "text"], {"n_chars": claimed})
+
+
+def _manifest_sql() -> str:
+    def field(name: str) -> str:
+        return f"coalesce(CAST(strlen(CAST({name} AS VARCHAR)) AS VARCHAR) || ':' || CAST({name} AS VARCHAR), '-')"
+
+    def leaf(n_chars: str) -> str:
+        return f"sha256({' || '.join(map(field, ('doc_id', 'source', 'd.lang')))} || {field(n_chars)} || {field('text')})"
+
+    # A tree per k; the upper tree, over the subroots, is the one of k = -1.
+    climb = """
+  SELECT k, lvl + 1 AS lvl, pos // 2 AS pos, sha256(string_agg(h, '' ORDER BY pos)) AS h, CAST(ceil(any_value(n) / 2.0) AS BIGINT) AS n
+  FROM {0} WHERE n > 1 GROUP BY k, lvl, pos // 2"""
+    walk = """
+  SELECT w.doc_id, w.k, w.lvl + 1, w.pos // 2, w.sibs || coalesce(s.h, ''),
+         sha256(CASE WHEN s.h IS NULL THEN w.f WHEN w.pos % 2 = 1 THEN s.h || w.f ELSE w.f || s.h END), w.n
+  FROM {0} w JOIN {1} t ON t.k = w.k AND t.lvl = w.lvl AND t.pos = w.pos AND t.n > 1
+  LEFT JOIN {1} s ON s.k = w.k AND s.lvl = w.lvl AND s.pos = xor(w.pos, 1)"""
+    crc = _crc32_sql("CAST(doc_id AS VARCHAR)")
+    return f"""
+WITH RECURSIVE groups AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS k, count(*) AS n FROM documents GROUP BY lang),
+leaves AS (
+  SELECT doc_id, g.k, g.n, row_number() OVER (PARTITION BY g.k ORDER BY doc_id) - 1 AS pos, {leaf('n_chars')} AS leaf,
+         {leaf(f'(CASE WHEN {crc} % 7 = 0 THEN n_chars + 1 ELSE n_chars END)')} AS claimed
+  FROM documents d JOIN groups g ON d.lang IS NOT DISTINCT FROM g.lang),
+low AS (SELECT k, 0 AS lvl, pos, leaf AS h, n FROM leaves UNION ALL {climb.format('low')}),
+subroots AS (SELECT k, h FROM low WHERE n = 1),
+high AS (SELECT CAST(-1 AS BIGINT) AS k, 0 AS lvl, k AS pos, h, (SELECT count(*) FROM groups) AS n FROM subroots UNION ALL {climb.format('high')}),
+top AS (SELECT h FROM high WHERE n = 1),
+under AS (SELECT doc_id, k, 0 AS lvl, pos, '' AS sibs, claimed AS f, n FROM leaves UNION ALL {walk.format('under', 'low')}),
+ended AS (SELECT * FROM under QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY lvl DESC) = 1),
+over_ AS (SELECT doc_id, CAST(-1 AS BIGINT) AS k, 0 AS lvl, k AS pos, sibs, f, n FROM ended UNION ALL {walk.format('over_', 'high')}),
+last AS (SELECT * FROM over_ QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY lvl DESC) = 1)
+SELECT doc_id, leaf, subroots.h AS subroot, top.h AS root, sha256(sibs) AS proof_sha256, f AS folded_root, f = top.h AS verified
+FROM leaves JOIN last USING (doc_id) JOIN subroots ON subroots.k = leaves.k CROSS JOIN top
+"""
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = feature_words(table(spark, sf_dir, "documents"), "doc_id", "text", min_length=6, min_count=5, slip_one_in=199)
+    return name_variants(words, ratio=5).withColumnRenamed("feature_name", "word")
+
+
+OP12_SQL = f"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS c
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY 1, 2),
+hashed AS (SELECT doc_id, run, c, {_crc32_sql("(CAST(doc_id AS VARCHAR) || ':' || run)")} AS h FROM runs),
+slipped AS (SELECT c, CASE WHEN h % 199 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word FROM hashed),
+words AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM slipped WHERE length(word) >= 6 GROUP BY 1 HAVING sum(c) >= 5),
+cut AS (SELECT word, i, word[:i] || word[i + 2:] AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM words)),
+pairs AS (
+  SELECT a.word AS a, b.word AS b FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT word, rest FROM cut WHERE rest IN (SELECT word FROM words)
+  UNION SELECT rest, word FROM cut WHERE rest IN (SELECT word FROM words)),
+best AS (SELECT a AS word, count(*) AS n_near, arg_min(b, (-n, b)) AS form, max(n) AS form_n FROM pairs JOIN words ON words.word = b GROUP BY 1),
+judged AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * n THEN form END AS form, CASE WHEN form_n >= 5 * n THEN form_n END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+steps AS (SELECT word, word AS here, 0 AS k FROM judged
+          UNION ALL SELECT s.word, j.form, k + 1 FROM steps s JOIN judged j ON j.word = s.here AND j.form IS NOT NULL),
+roots AS (SELECT word, arg_max(here, k) AS root FROM steps GROUP BY 1)
+SELECT word, form, root, n, n_near, form_n FROM judged JOIN roots USING (word)
+"""
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility_verdicts(table(spark, sf_dir, "documents"), "doc_id", "text", "lang").withColumn(
+        "outside", F.concat_ws(",", "outside"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -214,6 +301,9 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
+    "op11_manifest": op11_manifest,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_quality_rules": op13_quality_rules,
 }
 SQL = {
     "op1_minhash_near_dedup": OP1_SQL,
@@ -222,4 +312,6 @@ SQL = {
     "op4_embedding_near_dedup": OP4_SQL,
     "op5_warc": OP5_SQL,
     "op10_decontamination": _leaks_sql(),
+    "op11_manifest": _manifest_sql(),
+    "op12_spelling_variants": OP12_SQL,
 }
