@@ -166,7 +166,7 @@ def fertility_verdicts(records: DataFrame, id_col: str = "dataset", text_col: st
 
     Base rules: at least ``min_words`` words, at most ``repeat_percent`` percent of them in repeated windows of three.
     Of texts that pass, the characters per token of two public vocabularies, the share of byte-fallback pieces and
-    the entropy of the tokens must lie in the bands of their language and length class (number of tokens, in powers
+    the entropy of the tokens must lie in the bands of their language and length class (number of words, in powers
     of two); ``outside`` names the measures that do not. Where the language is null, the script stands for it. A group
     of fewer than ``min_rows`` texts is judged by the bands of its length class over all languages; a class
     that has fewer is not judged and its texts are kept.
@@ -176,7 +176,7 @@ def fertility_verdicts(records: DataFrame, id_col: str = "dataset", text_col: st
     """
     rows = stored(fertility_measures(records, id_col, text_col, lang_col).withColumns({
         "tongue": F.coalesce("lang", F.concat(F.lit("script "), "script")),
-        "class": F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int"),
+        "class": F.floor(F.log2(F.greatest("n_words", F.lit(1)))).cast("int"),
         "base_failed": base_failed(min_words, repeat_percent)}), "measures")
     sound = rows.where("not base_failed")
     own = rejection_bands(sound, ["tongue", "class"], deviations, min_rows)
