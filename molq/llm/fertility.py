@@ -12,6 +12,7 @@ The project's records hold no running text, so the functions take any id, text a
 from __future__ import annotations
 
 import base64
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,6 +30,8 @@ BYTE_LEVEL = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BLANKS, SYMBOLS = " \t\n\r\v\f", "#*$%&|<>"
 PART = 50_000
+NO_LETTERS = bytes(b for b in range(256) if not chr(b).isalpha() or b > 127)
+WIDE = re.compile("[^\x00-\x7f]+")
 # First code points of the Unicode ranges told apart as scripts.
 SCRIPTS = [(0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"),
            (0x0900, "Indic"), (0x0E00, "Thai"), (0x0E80, "other"), (0x1100, "Hangul"), (0x1200, "other"), (0x1E00, "Latin"),
@@ -65,10 +68,12 @@ def base_measures(text: str) -> tuple[int, int, int, int, int]:
 
 def script_of(text: str) -> str:
     """Script of most letters; "none" without a letter, ties to the first in code-point order."""
-    letters = np.frombuffer("".join(filter(str.isalpha, text)).encode("utf-32-le", "surrogatepass"), np.uint32)
-    if not len(letters):
+    plain = len(text.encode("ascii", "ignore").translate(None, NO_LETTERS))
+    wide = "" if text.isascii() else "".join(filter(str.isalpha, "".join(WIDE.findall(text))))
+    if not plain and not wide:
         return "none"
-    votes: Counter[str] = Counter()
+    letters = np.frombuffer(wide.encode("utf-32-le", "surrogatepass"), np.uint32)
+    votes: Counter[str] = Counter({"Latin": plain})
     for k, n in enumerate(np.bincount(np.searchsorted(SCRIPT_STARTS, letters, "right") - 1)):
         votes[SCRIPTS[k][1]] += int(n)
     return votes.most_common(1)[0][0]
