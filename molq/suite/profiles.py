@@ -464,7 +464,7 @@ def embedding_label_vote(spark, sf):
     v = table(spark, sf, "embeddings")
     anchors = cut_lineage(T.dense_vectors(v.where("vec_id % 2 = 0"), "vec_id", "embedding", "label"))
     queries = T.dense_vectors(v.where("vec_id % 2 = 1"), "vec_id", "embedding")
-    return rounded(T.vote(T.cosine_top_k(queries, anchors, 5, anchors.count()), 5))
+    return rounded(T.vote(T.cosine_top_k(queries, anchors, 5), 5))
 
 
 @query("K13", "WITH emb AS (" + EMB + """), sim AS (SELECT q.id AS qi, a.id AS ai, round(list_cosine_similarity(q.e, a.e), 12) AS s FROM emb q JOIN emb a ON q.vec_id <> a.vec_id)

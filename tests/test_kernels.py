@@ -11,6 +11,7 @@ from molq.functions import blocks as B
 from molq.operators import coherence as H
 from molq.operators import cooccurrence as N
 from molq.operators import spatial as S
+from molq.operators import pivots as PV
 from molq.operators import transfer as T
 
 
@@ -151,7 +152,10 @@ def cosine(a, b):
 
 
 def test_nearest_anchors_over_blocks_with_ties(spark, monkeypatch):
-    monkeypatch.setattr(T, "ANCHORS", 6)
+    monkeypatch.setattr(PV, "BLOCK_ROWS", 6)
+    monkeypatch.setattr(PV, "HOME_ANCHORS", 6)
+    monkeypatch.setattr(PV, "QUERY_ROWS", 9)
+    monkeypatch.setattr(PV, "SEARCH_ANCHORS", 10)
     rng = np.random.default_rng(4)
     base = rng.normal(size=(40, 5))
     base[10:22] = base[3]  # a third of the anchors are copies
@@ -165,11 +169,59 @@ def test_nearest_anchors_over_blocks_with_ties(spark, monkeypatch):
         assert [a for _, a in sorted(got[name])] == [n for _, n in want]
 
 
+def brute_nearest(queries, anchors, k, drop_self):
+    def sim(a, b):
+        return round(cosine(a, b), 12) + 0.0 if np.any(a) and np.any(b) else 0.0
+
+    return {q: [n for _, n in sorted((-sim(v, u), n) for n, u in anchors if not (drop_self and n == q))[:k]] for q, v in queries}
+
+
+def test_pivot_search_prunes_clusters_and_stays_exact(spark, monkeypatch):
+    for name, value in (("BLOCK_ROWS", 32), ("HOME_ANCHORS", 64), ("QUERY_ROWS", 64)):
+        monkeypatch.setattr(PV, name, value)
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(25, 12))
+    base = centres[rng.integers(0, 25, 1500)] + rng.normal(scale=0.02, size=(1500, 12))
+    base[700:900] = base[3]  # many copies in one list
+    base[1490:] = 0.0
+    rows = [(f"v{i:04d}", [float(x) for x in v], "even" if i % 2 else "odd") for i, v in enumerate(base)]
+    vec = T.dense_vectors(spark.createDataFrame(rows, "id string, v array<double>, label string"), "id", "v", "label").cache()
+    best, work = PV.pivot_search(vec, vec, 7, drop_self=True)
+    got = {}
+    for r in best.collect():
+        got.setdefault(r.cell_id, []).append((r["rank"], r.anchor_id))
+    units = [(n, v) for n, v, _ in rows]
+    want = brute_nearest(units, units, 7, True)
+    # Copies and rounding at the twelfth digit: compare by similarity, and by name where it is clear.
+    close = {n: np.array(v) / (np.linalg.norm(v) or 1) for n, v in units}
+    for q, names in want.items():
+        mine = [a for _, a in sorted(got[q])]
+        assert len(mine) == 7
+        assert np.allclose([close[q] @ close[a] for a in mine], [close[q] @ close[a] for a in names], atol=1e-11)
+    assert [a for _, a in sorted(got["v1499"])] == [f"v{i:04d}" for i in range(7)]
+    done = work.first()
+    assert (done.queries, done.anchors) == (1500, 1500) and done.compared < 1500 * 1500 / 4
+
+
+def test_pivot_search_without_anchors_or_queries(spark):
+    vec = T.dense_vectors(spark.createDataFrame([("a", [1.0, 0.0], "x")], "id string, v array<double>, label string"), "id", "v", "label")
+    assert PV.pivot_search(vec, vec.where("false"), 3)[0].collect() == []
+    assert PV.pivot_search(vec.where("false"), vec, 3)[0].collect() == []
+    assert [(r.anchor_id, r.similarity) for r in PV.pivot_search(vec, vec, 3)[0].collect()] == [("a", 1.0)]
+
+
+def test_transfer_refuses_too_few_shared_features(frame):
+    q = frame([("q1", "g1", 3)], "cell_id string, feature_name string, count long")
+    obs = frame([("q1", "A")], "cell_id string, cell_type string")
+    with pytest.raises(ValueError, match="1 shared features"):
+        T.transfer_labels(q, q, obs)
+
+
 def test_zero_overlap_anchors_fill_k(frame):
     q = frame([("q1", "g1", 3), ("q2", "only_q", 2)], "cell_id string, feature_name string, count long")
     r = frame([("r1", "g1", 2), ("r2", "g2", 1), ("r3", "g3", 1)], "cell_id string, feature_name string, count long")
     obs = frame([("r1", "A"), ("r2", "B"), ("r3", "B")], "cell_id string, cell_type string")
-    got = {x.cell_id: x for x in T.transfer_labels(q, r, obs, k=3, per_type=9).collect()}
+    got = {x.cell_id: x for x in T.transfer_labels(q, r, obs, k=3, per_type=9, min_shared=1).collect()}
     assert got["q1"].predicted_celltype == "B" and got["q1"].n_neighbors_voting == 2
     assert got["q1"].confidence == pytest.approx(2 / 3) and got["q2"].predicted_celltype == "B"
 
