@@ -2,43 +2,143 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from molq.functions import expr as X
-from molq.functions.blocks import feature_index
-from molq.functions.ordering import dense_index
+from molq.functions.blocks import ROWS, _dense, _ragged, feature_index, pair_products
+from molq.functions.ordering import drawn
 from molq.operators.profiles import log_normalize
 from molq.session import cut_lineage
 
-
-def deterministic_clusters(counts: DataFrame, k: int = 12, components: int = 50, seed: int = 0) -> DataFrame:
-    """log-normalise, truncated SVD, k-means, all in MLlib with a fixed seed. Labels are 1-based
-    and comparable between runs only up to their names."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.linalg import Vectors as MLVectors
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
-
+MAX_FEATURES = 8192
+SAMPLE = 4096
+STEPS = 256.0
+UNIT = float(1 << 20)
+
+
+def _whole_rows(counts: DataFrame, index: DataFrame, target: float = 1e4) -> DataFrame:
+    """(cell_id, idx, val): log-normalised rows in whole steps of 1 / STEPS."""
+    rows = counts.join(index, "feature_name").groupBy("cell_id").agg(
+        F.sort_array(F.collect_list(F.struct("g", F.col("count").cast("double").alias("c")))).alias("p"))
+    total = F.aggregate("p", F.lit(0.0), lambda s, x: s + x["c"])
+    value = lambda x: F.round(F.log1p(x["c"] / F.col("total") * target) * STEPS)
+    return rows.withColumn("total", F.when(total == 0, 1.0).otherwise(total)).select(
+        "cell_id", F.col("p.g").alias("idx"), F.transform("p", value).alias("val"))
+
+
+def _principal_directions(rows: DataFrame, width: int, dims: int) -> np.ndarray:
+    """Leading eigenvectors of the Gram matrix (width x dims, in whole steps of 1 / UNIT). Its entries are sums of whole
+    numbers, so they do not depend on the order of summation; the largest entry of a vector is positive."""
+    gram = np.zeros((width, width))
+    pairs = pair_products(rows.select(F.col("cell_id").alias("context"), F.col("idx").alias("genes"), F.col("val").alias("vals")), True)
+    squares = (rows.select(F.explode(F.arrays_zip("idx", "val")).alias("e")).groupBy(F.col("e.idx").alias("i"))
+               .agg(F.sum(F.col("e.val") * F.col("e.val")).alias("s")))
+    found = pairs.unionByName(squares.select("i", F.col("i").alias("j"), "s")).toPandas()
+    i, j, v = (found[c].to_numpy() for c in ("i", "j", "s"))
+    gram[i, j] = gram[j, i] = v
+    vectors = np.linalg.eigh(gram)[1][:, ::-1][:, :dims]
+    vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(vectors.shape[1])])
+    return np.round(vectors * UNIT)
+
+
+def _projected(flat, owner, n: int, vals, directions: np.ndarray) -> np.ndarray:
+    """Whole-numbered coordinates; every intermediate sum is a whole number below 2 ** 53, so it is exact."""
+    return np.floor(_dense(flat, owner, n, directions.shape[0], vals) @ directions / UNIT)
+
+
+def _nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Number of the nearest centre, ties to the first; exact on whole numbers."""
+    return ((centres * centres).sum(axis=1)[None, :] - 2.0 * (points @ centres.T)).argmin(axis=1)
+
+
+def _moved(sums: np.ndarray, sizes: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Rounded means; a centre without points stays."""
+    return np.where(sizes[:, None] > 0, np.floor(sums / np.maximum(sizes, 1)[:, None] + 0.5), centres)
+
+
+def _seeded_centres(points: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means++ and Lloyd steps on a bounded sample."""
+    draw = np.random.default_rng(seed)
+    centres = points[draw.integers(len(points))][None, :]
+    while len(centres) < k:
+        gap = np.min([((points - c) ** 2).sum(axis=1) for c in centres], axis=0)
+        if not gap.any():
+            break  # fewer different points than centres
+        centres = np.vstack([centres, points[np.searchsorted(np.cumsum(gap), draw.random() * gap.sum())]])
+    for _ in range(100):
+        label = _nearest(points, centres)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, label, points)
+        moved = _moved(sums, np.bincount(label, minlength=len(centres)), centres)
+        if (moved == centres).all():
+            break
+        centres = moved
+    return centres
+
+
+def _labeller(directions: np.ndarray, centres: np.ndarray, sums: bool):
+    """Labels of rows, or per batch the number of rows and the coordinate sums of each label."""
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS):
+                n = min(lo + ROWS, batch.num_rows) - lo
+                flat, owner = _ragged(batch.column("idx"), lo, lo + n)
+                points = _projected(flat, owner, n, _ragged(batch.column("val"), lo, lo + n)[0], directions)
+                at = _nearest(points, centres)
+                if not sums:
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("cell_id").slice(lo, n), pa.array((at + 1).astype(np.int32))], ["cell_id", "cluster"])
+                    continue
+                total = np.zeros((len(centres), centres.shape[1] + 1))
+                np.add.at(total, at, np.hstack([np.ones((n, 1)), points]))
+                c, d = np.nonzero(total)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c), pa.array(d), pa.array(total[c, d].astype(np.int64))], ["centre", "part", "s"])
+
+    return label
+
+
+def deterministic_clusters(counts: DataFrame, k: int = 12, components: int = 50, seed: int = 0, max_iter: int = 20) -> DataFrame:
+    """(cell_id, cluster): log-normalise, project on the leading singular directions, k-means.
+
+    The answer depends on the counts, ``k``, ``components`` and ``seed`` only, not on partitions or the order in which
+    tasks finish: values, directions, coordinates and centres are whole numbers, so all sums are exact. Centres
+    start on a sample of SAMPLE entities of lowest drawn number and then move over all entities until they
+    stand still or ``max_iter`` passes are done. Labels are 1-based; between seeds they are comparable only up to
+    their names. The driver holds the Gram matrix of the features, so panels are limited to MAX_FEATURES of them.
+    """
+    counts = cut_lineage(counts.select("cell_id", "feature_name", "count"))
     index = cut_lineage(feature_index(counts))
     width = index.count()
-    packed = F.sort_array(F.collect_list(F.struct("g", "value")))
-    rows = (log_normalize(counts).where("value <> 0").join(index, "feature_name").groupBy("cell_id").agg(packed.alias("p"))
-            .select("cell_id", F.col("p.g").alias("idx"), F.col("p.value").alias("val")))
-    rows = cut_lineage(dense_index(rows, ["cell_id"], "key"))
-    n = rows.count()
-    dims = int(min(components, max(2, min(n, width) - 1)))
-    matrix = IndexedRowMatrix(rows.select("key", "idx", "val").rdd.map(
-        lambda r: IndexedRow(r.key, Vectors.sparse(width, r.idx, r.val))))
-    svd = matrix.computeSVD(dims, computeU=True)
-    scale = svd.s.toArray()
-    points = rows.sparkSession.createDataFrame(
-        svd.U.rows.map(lambda r: (int(r.index), MLVectors.dense(r.vector.toArray() * scale))), ["key", "features"])
-    model = KMeans(k=int(min(k, max(2, n - 1))), seed=seed, maxIter=50).fit(points)
-    return (rows.select("key", "cell_id").join(model.transform(points), "key")
-            .select("cell_id", (F.col("prediction") + 1).alias("cluster")))
+    if width > MAX_FEATURES:
+        raise ValueError(f"{width} features; restrict the panel to {MAX_FEATURES}")
+    rows = cut_lineage(_whole_rows(counts, index))
+    first = rows.orderBy(drawn(seed, "cell_id"), "cell_id").limit(SAMPLE).select("idx", "val").toArrow()
+    n = first.num_rows
+    if not n:
+        return rows.select("cell_id", F.lit(0).alias("cluster"))
+    dims = int(min(components, max(1, min(n, width) - 1)))
+    directions = _principal_directions(rows, width, dims)
+    points = np.vstack([_projected(*_ragged(b.column("idx"), 0, b.num_rows), b.num_rows, _ragged(b.column("val"), 0, b.num_rows)[0], directions)
+                        for b in first.to_batches() if b.num_rows])
+    centres = _seeded_centres(points, int(min(k, n)), seed)
+    for _ in range(max_iter):
+        found = (rows.select("idx", "val").mapInArrow(_labeller(directions, centres, True), "centre bigint, part bigint, s bigint")
+                 .groupBy("centre", "part").agg(F.sum("s").alias("s")).toPandas())
+        total = np.zeros((len(centres), dims + 1))
+        total[found["centre"], found["part"]] = found["s"]
+        moved = _moved(total[:, 1:], total[:, 0], centres)
+        if (moved == centres).all():
+            break
+        centres = moved
+    kind = counts.schema["cell_id"].dataType.simpleString()
+    return rows.mapInArrow(_labeller(directions, centres, False), f"cell_id {kind}, cluster int")
 
 
 def batch_feature_stats(values: DataFrame, batches: DataFrame, value: str = "value") -> DataFrame:
