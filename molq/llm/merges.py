@@ -17,13 +17,15 @@ Life = list[tuple[str, float, float]]
 
 
 class StablePairs(dict):
-    """(left, right) -> does the pair encode to itself? Answers are kept, up to a bound."""
+    """(left, right) -> does the pair encode to itself? With nothing on the left: does the right token?
 
-    LIMIT = 200_000
+    Answers are kept in two generations, up to a bound: what is not asked for again goes first."""
+
+    LIMIT = 150_000
 
     def __init__(self, rank: Callable[[str, str], float | None], symbols: Callable[[str], list[str]]):
         super().__init__()
-        self.rank, self.symbols = rank, symbols
+        self.rank, self.symbols, self.older = rank, symbols, {}
         self.borders: dict[str, tuple[bool, bool, Life, Life]] = {}
 
     def encode(self, symbols: list[str], seen: Callable[[float, list[str]], None] | None = None) -> list[str]:
@@ -64,18 +66,25 @@ class StablePairs(dict):
         return self._border(token)[0]
 
     def __missing__(self, pair: tuple[str, str]) -> bool:
+        stable = self.older.get(pair)
+        if stable is None:
+            stable = self._stable(pair) if pair[0] else self.whole(pair[1])
         if len(self) >= self.LIMIT:
+            self.older = dict(self)
             self.clear()
-        left, right = map(self._border, pair)
-        if not (left[1] and right[1]):
-            stable = self.encode(self.symbols(pair[0]) + self.symbols(pair[1])) == list(pair)
-        else:
-            # At equal rank the merge further left goes first: inside the left token, before the border.
-            stable = left[0] and right[0]
-            for a, a_from, a_to in left[3]:
-                for b, b_from, b_to in right[2]:
-                    due = self.rank(a, b)
-                    if due is not None and max(a_from, b_from) <= due < a_to and due <= b_to:
-                        stable = False
         self[pair] = stable
         return stable
+
+    def _stable(self, pair: tuple[str, str]) -> bool:
+        left, right = map(self._border, pair)
+        if not (left[1] and right[1]):
+            return self.encode(self.symbols(pair[0]) + self.symbols(pair[1])) == list(pair)
+        if not (left[0] and right[0]):
+            return False
+        # At equal rank the merge further left goes first: inside the left token, before the border.
+        for a, a_from, a_to in left[3]:
+            for b, b_from, b_to in right[2]:
+                due = self.rank(a, b)
+                if due is not None and max(a_from, b_from) <= due < a_to and due <= b_to:
+                    return False
+        return True

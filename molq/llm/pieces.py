@@ -3,7 +3,8 @@
 Three parts are compiled from a merge model with byte fallback:
 
 * the normaliser writes blanks as the blank mark and puts one mark in front,
-* the piece transducer has one arc per piece, reading its characters and writing its id,
+* the piece transducer has one arc per piece, reading its characters and writing its id; the arcs are
+  compiled into one Aho-Corasick automaton, whose run over the input is the composition,
 * the fallback has one arc per unknown character, writing the ids of its bytes.
 
 A merge model has no additive piece scores: its encoding is the one path on which every piece and
@@ -19,8 +20,10 @@ The project's records hold no long text of their own, so the functions take any
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -49,7 +52,7 @@ class PieceTransducer:
         self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == NORMAL}
         cost = {p.piece: -p.score for p in model.pieces if p.type == NORMAL}
         self.bytes = {int(p.piece[1:-1], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
-        self.longest = max(map(len, self.ids))
+        self.arcs = self._compiled()
         self.pairs = StablePairs(lambda a, b: cost.get(a + b), list)
         self.stretch = re.compile(self._stretches(), re.S)
         self.paths = Remembered(self._path_bytes)
@@ -83,28 +86,57 @@ class PieceTransducer:
         runs = [f"[{re.escape(''.join(sorted(g)))}]+" for g in sorted(groups.values(), key=len, reverse=True)]
         return f"{BLANK}*(?:{'|'.join([*runs, f'[^{BLANK}]'])})|{BLANK}+"
 
+    def _compiled(self) -> ahocorasick.Automaton:
+        """The pieces as one automaton: its states are the beginnings of pieces, and at every character read it
+        gives the arcs that end there, longest first. Characters of pieces that are no piece get an arc as well."""
+        arcs = ahocorasick.Automaton()
+        for part in {c for piece in self.ids for c in piece} | set(self.ids):
+            arcs.add_word(part, (len(part), part))
+        arcs.make_automaton()
+        return arcs
+
     def shortest_path(self, stretch: str) -> list[int]:
         """Ids on the path of weight 0 through the composition of one stretch with the pieces."""
-        known, pairs, whole, longest = self.ids, self.pairs, self.pairs.whole, self.longest
-        last: list[str] = [""]
-        for j in range(1, len(stretch) + 1):
-            for i in range(j - longest if j > longest else 0, j):
-                part = stretch[i:j]
-                if (part in known or j - i == 1) and (pairs[last[i], part] if i else whole(part)):
-                    last.append(part)
-                    break
-            else:
-                raise ValueError(f"no path through {stretch!r}")
-        out, j = [], len(stretch)
+        pairs, arcs, n = self.pairs, self.arcs, len(stretch)
+        last: list[str | None] = [None] * (n + 1)
+        last[0] = ""
+
+        def fall_back(upto: int) -> str:
+            """Characters that no arc reads are read by a fallback arc."""
+            for j in range(1, upto + 1):
+                if last[j] is None:
+                    if stretch[j - 1] in arcs:
+                        raise ValueError(f"no path through {stretch!r}")
+                    last[j] = stretch[j - 1]
+            return last[upto]
+
+        for end, (length, part) in arcs.iter(stretch):
+            j = end + 1
+            if last[j] is None:
+                left = last[j - length]
+                if left is None:
+                    left = fall_back(j - length)
+                if pairs[left, part]:
+                    last[j] = part
+        if last[n] is None:
+            fall_back(n)
+        out, j, known = [], n, self.ids
         while j:
             part = last[j]
+            if part is None:
+                fall_back(j)
+                part = last[j]
             j -= len(part)
             found = known.get(part)
-            out += [found] if found is not None else [self.bytes[b] for b in reversed(part.encode("utf-8", "surrogatepass"))]
-        return out[::-1]
+            if found is None:
+                out += [self.bytes[b] for b in reversed(part.encode("utf-8", "surrogatepass"))]
+            else:
+                out.append(found)
+        out.reverse()
+        return out
 
     def _path_bytes(self, stretch: str) -> bytes:
-        return np.array(self.shortest_path(stretch), np.int32).tobytes()
+        return array("i", self.shortest_path(stretch)).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
