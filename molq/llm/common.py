@@ -12,6 +12,7 @@ import sys
 import types
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +33,43 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_made: list[tuple[str, str | None]] | None = None
+
+
+def remember_made(path: str, table: str | None = None) -> None:
+    if _made is not None:
+        _made.append((path, table))
+
+
+@contextmanager
+def freed_afterwards(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Deletes what is stored inside of the block at its end, but for what the given function stores.
+
+    For a step that is over when its result is written: later steps read that result only."""
+    global _made
+    before, _made = _made, []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        out = stored(df, name)
+        _made.pop()
+        return out
+
+    try:
+        yield kept
+    finally:
+        made, _made = _made, before
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path, table in made:
+            if table:
+                spark.sql(f"DROP TABLE IF EXISTS {table}")
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, so lost executors can re-read it."""
     path = shared_folder(df.sparkSession, name)
+    remember_made(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

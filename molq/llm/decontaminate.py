@@ -25,6 +25,7 @@ from molq.llm.common import stored
 WIDTH = 8
 LITERALS = 5
 SHARE = 0.5
+READINGS_A_FILE = 5000
 
 # Units that may follow a number.
 UNITS = ("km cm mm nm um kg mg ug ml hz khz mhz ghz kb mb gb tb seconds second minutes minute hours hour days day weeks week "
@@ -138,10 +139,12 @@ def find_leaks(records: DataFrame, benchmark: DataFrame, id_col: str = "dataset"
         every_window = every_window.unionByName(more)
     every_window = every_window.withColumn("plain", plain)
     has_plain = every_window.groupBy("item", "version").agg(F.max("plain").alias("most"))
+    # Files follow the number of items, not of partitions: many tiny files would look too large to broadcast.
+    files = readings.count() // READINGS_A_FILE + 1
     item_windows = stored(
         every_window.join(has_plain, ["item", "version"])
         .where(F.col("plain") >= F.when(F.col("strict"), literals).otherwise(F.least(F.col("most"), F.lit(1))))
-        .select("item", "every", "strict", "width", "version", "at", "window"), "item-windows")
+        .select("item", "every", "strict", "width", "version", "at", "window").coalesce(files), "item-windows")
     sizes = item_windows.groupBy("item", "version").agg(F.count(F.lit(1)).cast("int").alias("item_windows"))
 
     hits = None

@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from molq.functions.ordering import dense_index
-from molq.llm.common import WordHashes, frugal, id_type, in_small_batches, rows_of, shared_folder, stored, window_hashes
+from molq.llm.common import (
+    WordHashes, frugal, id_type, in_small_batches, remember_made, rows_of, shared_folder, stored, window_hashes)
 from molq.session import shuffle_width
 
 CHUNK_BYTES = 2_000_000
@@ -300,7 +301,9 @@ def _chunk_table(texts: DataFrame) -> DataFrame:
     spark, name = texts.sparkSession, f"chunks_{uuid.uuid4().hex}"
     carried = texts.schema["carried"].dataType.simpleString()
     chunks = texts.mapInArrow(frugal(_chunker), f"chunk string, ids array<bigint>, texts array<string>, carried array<{carried}>")
-    (chunks.write.format("parquet").option("path", shared_folder(spark, "chunks")).option("compression", "zstd")
+    path = shared_folder(spark, "chunks")
+    remember_made(path, name)
+    (chunks.write.format("parquet").option("path", path).option("compression", "zstd")
      .option("parquet.block.size", str(16 << 20)).bucketBy(shuffle_width(texts), "chunk").saveAsTable(name))
     return spark.table(name)
 

@@ -97,3 +97,16 @@ def test_nothing_to_learn_from(spark, tmp_path):
     got = queries.QUERIES["op9_language_id"](spark, f"{tmp_path}/unlabelled").collect()
     assert len(got) == docs.count() and {(r.lang_pred, r.score) for r in got} == {("und", 0.0)}
     assert {r.score for r in queries.QUERIES["op7_quality"](spark, f"{tmp_path}/unlabelled").collect()} == {0.5}
+
+
+def test_stored_tables_of_a_step_are_freed(spark):
+    import os
+
+    from molq.llm.common import freed_afterwards, stored
+
+    with freed_afterwards(spark) as kept:
+        inner = stored(spark.range(5), "inner")
+        out = kept(inner.where("id > 1"), "out")
+        held = [f.removeprefix("file://") for f in inner.inputFiles()]
+        assert all(map(os.path.exists, held))
+    assert not any(map(os.path.exists, held)) and out.count() == 3
