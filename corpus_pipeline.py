@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from molq.llm.common import stored
+from molq.llm.common import freed_afterwards, stored
 from molq.llm.decontaminate import drop_leaks
 from molq.llm.lang_id import drop_rejected, fit_language_centroids
 from molq.llm.near_dedup import near_duplicate_entities
@@ -54,5 +54,6 @@ ORACLE_SQL = None  # SQL cannot express the first and the last stage; tests/llm
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), "stage")
+        with freed_afterwards(spark) as kept:
+            docs = kept(stage(spark, docs, sf_dir), "stage")
     return docs
