@@ -8,6 +8,7 @@ partitioned by Spark, and what leaves a task is already aggregated.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -186,12 +187,14 @@ def stream_with_blocks(rows: DataFrame, blocks: DataFrame, key: str,
     rows = cut_lineage(rows)
     n, shards = shuffle_width(rows), block_pair_shards(rows, per_shard)
     shard = F.pmod(F.hash(F.col(key)), F.col("shards")).cast("int")
+    # Replicate weights ride along where the rows have them.
+    w = F.col("w") if "w" in rows.columns else F.lit(None).cast("binary").alias("w")
     left = block_pairs(rows).join(shards, ["bi", "bj"]).select(
         "bi", "bj", shard.alias("shard"), F.lit(1).alias("kind"), F.col(key).cast("string").alias("id"),
-        F.xxhash64(F.col(key)).alias("h"), "a", "b", F.lit(None).cast("array<double>").alias("v"))
+        w, "a", "b", F.lit(None).cast("array<double>").alias("v"))
     right = blocks.join(shards, ["bi", "bj"]).select(
         "bi", "bj", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"),
-        F.lit(0).alias("kind"), F.lit("").alias("id"), F.lit(0).cast("long").alias("h"),
+        F.lit(0).alias("kind"), F.lit("").alias("id"), F.lit(None).cast("binary").alias("w"),
         "a", "b", "v")
     return (left.unionByName(right).repartition(n, "bi", "bj", "shard")
             .sortWithinPartitions("bi", "bj", "shard", "kind"))
@@ -250,72 +253,88 @@ def pair_scores(rows: DataFrame, panel: DataFrame, index: DataFrame, key: str =
 
 # --- replicate-weighted products ----------------------------------------------
 
-# Multipliers of the splitmix64 generator.
-MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-
-
-def replicate_weights(h: np.ndarray, replicates: np.ndarray, seed: int, rate: float) -> np.ndarray:
-    """Poisson(rate) weight of each context in each replicate, drawn from the context's own hash:
-    the same after a retry and whatever the partitioning."""
-    golden, m1, m2 = (np.uint64(c) for c in MIX)
-    with np.errstate(over="ignore"):
-        z = h.astype(np.uint64)[:, None] + (replicates.astype(np.uint64) + np.uint64(1)
-                                            + np.uint64(seed) * np.uint64(1 << 20))[None, :] * golden
-        z = (z ^ (z >> np.uint64(30))) * m1
-        z = (z ^ (z >> np.uint64(27))) * m2
-        z = z ^ (z >> np.uint64(31))
-    u = (z >> np.uint64(11)).astype(np.float64) / float(1 << 53)
-    # Inverse CDF; the table ends where the tail is below the resolution of the draws.
+PART = 32  # replicates in one array
+
+
+def poisson_steps(rate: float) -> list[int]:
+    """Bounds among 32-bit numbers: a uniform number draws as many as it reaches. Ends below the resolution."""
     size = int(rate + 12 * np.sqrt(rate) + 24)
     terms = np.exp(-rate) * np.cumprod(np.concatenate([[1.0], rate / np.arange(1, size)]))
-    return np.searchsorted(np.cumsum(terms), u, side="right").astype(np.float64)
+    steps = np.floor(np.cumsum(terms) * 2.0 ** 32)
+    return [int(s) for s in steps[steps < 2.0 ** 32]]
+
+
+def replicate_weights(contexts: list[str], replicates: range, seed: int, rate: float) -> np.ndarray:
+    """Poisson(rate) weight of each context in each replicate. Four replicates share the md5 of seed, context and
+    r // 4, eight hex digits each: the same in every engine, after a retry and whatever the partitioning."""
+    first, last = replicates.start // 4, -(-replicates.stop // 4)
+    digests = b"".join(hashlib.md5(f"{seed}-{c}-{g}".encode()).digest() for c in contexts for g in range(first, last))
+    drawn = np.frombuffer(digests, ">u4").reshape(len(contexts), 4 * (last - first)).astype(np.int64)
+    drawn = drawn[:, replicates.start - 4 * first:replicates.stop - 4 * first]
+    return np.searchsorted(np.array(poisson_steps(rate)), drawn, side="right").astype(np.uint16)
+
+
+def weighted_rows(rows: DataFrame, replicates: range, seed: int, rate: float = 1.0, key: str = "context") -> DataFrame:
+    """(key, genes, w): rows with the weights of all replicates, drawn once per context, two bytes each."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w = replicate_weights(batch.column(key).to_pylist(), replicates, seed, rate)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.tobytes() for r in w], pa.binary())], [key, "genes", "w"])
+
+    named = rows.select(F.col(key).cast("string").alias(key), "genes")
+    return named.mapInArrow(draw, f"{key} string, genes array<int>, w binary")
 
 
-def replicate_marginals(rows: DataFrame, replicates: range, seed: int, rate: float = 1.0,
-                        key: str = "context") -> DataFrame:
-    """(g, r, m): weighted contexts holding feature g in replicate r; g = -1 is the total."""
-    reps = np.arange(replicates.start, replicates.stop, dtype=np.int64)
+def _weights(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), width).astype(np.float64)
+
+
+def _arrays(names: list[str], keys: list[np.ndarray], values: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of keys, number of the part and an array of at most PART values."""
+    step = max(1, OUT_ROWS // PART)
+    for part, first in enumerate(range(0, values.shape[1], PART)):
+        some = values[:, first:first + PART]
+        for lo in range(0, len(some), step):
+            flat = some[lo:lo + step]
+            ends = np.arange(0, flat.size + 1, flat.shape[1], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array(k[lo:lo + step].astype(np.int32)) for k in keys], pa.array(np.full(len(flat), part, np.int32)),
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.ravel()))], [*names, "part", "s"])
+
+
+def _added(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Element-wise sums of the arrays, partially aggregated before the shuffle."""
+    sums = F.array(*[F.sum(F.get("s", F.lit(i))) for i in range(PART)])
+    return rows.groupBy(*keys, "part").agg(F.filter(sums, lambda v: v.isNotNull()).alias(name))
+
+
+def replicate_marginals(weighted: DataFrame, n: int) -> DataFrame:
+    """(g, part, m): weighted contexts holding feature g, an array over the replicates of a part; g = -1 is the total."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc, total = None, np.zeros((1, len(reps)))
+        acc, total = None, np.zeros((1, n))
         for batch in batches:
             for lo in range(0, batch.num_rows, ROWS):
                 hi = min(lo + ROWS, batch.num_rows)
-                w = replicate_weights(batch.column("h").slice(lo, hi - lo)
-                                      .to_numpy(zero_copy_only=False), reps, seed, rate)
+                w = _weights(batch.column("w").slice(lo, hi - lo), n)
                 flat, owner = _ragged(batch.column("genes"), lo, hi)
-                acc = _grown(acc, (_width(flat), len(reps)))
+                acc = _grown(acc, (_width(flat), n))
                 np.add.at(acc, flat, w[owner])
                 total += w.sum(axis=0)
         if acc is not None:
-            out = np.vstack([total, acc])
-            g = np.repeat(np.arange(-1, len(acc)), len(reps)).astype(np.int32)
-            r = np.tile(reps, len(out)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(g), pa.array(r), pa.array(out.ravel())], ["g", "r", "m"])
+            yield from _arrays(["g"], [np.arange(-1, len(acc))], np.vstack([total, acc]))
 
-    hashed = rows.select(F.xxhash64(key).alias("h"), "genes")
-    return (hashed.mapInArrow(kernel, "g int, r int, m double")
-            .groupBy("g", "r").agg(F.sum("m").alias("m")))
+    return _added(weighted.select("genes", "w").mapInArrow(kernel, "g int, part int, s array<double>"), ["g"], "m")
 
 
-def replicate_pair_sums(rows: DataFrame, pairs: DataFrame, index: DataFrame, replicates: range,
-                        seed: int, rate: float = 1.0, key: str = "context",
+def replicate_pair_sums(weighted: DataFrame, pairs: DataFrame, index: DataFrame, n: int, key: str = "context",
                         per_shard: int | None = None) -> DataFrame:
-    """(i, j, r, k): weighted co-occurrence per requested pair and replicate. Only the requested
-    pairs leave a task."""
-    reps = np.arange(replicates.start, replicates.stop, dtype=np.int64)
-    step = max(1, OUT_ROWS // max(1, len(reps)))
+    """(i, j, part, k): weighted co-occurrence of the requested pairs, one array per part of the replicates. One row
+    per pair, shard and part leaves a task."""
 
     def flush(cur, at, k) -> Iterator[pa.RecordBatch]:
-        bi, bj, _ = cur
-        for lo in range(0, len(at[0]), step):
-            i, j, part = at[0][lo:lo + step], at[1][lo:lo + step], k[lo:lo + step]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.repeat(i + bi * BLOCK, len(reps)).astype(np.int32)),
-                pa.array(np.repeat(j + bj * BLOCK, len(reps)).astype(np.int32)),
-                pa.array(np.tile(reps, len(i)).astype(np.int32)), pa.array(part.ravel())],
-                ["i", "j", "r", "k"])
+        yield from _arrays(["i", "j"], [at[0] + cur[0] * BLOCK, at[1] + cur[1] * BLOCK], k)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, at, k = None, None, None
@@ -335,18 +354,16 @@ def replicate_pair_sums(rows: DataFrame, pairs: DataFrame, index: DataFrame, rep
                 if at is None:
                     continue
                 if k is None:
-                    k = np.zeros((len(at[0]), len(reps)))
-                w = replicate_weights(batch.column("h").slice(lo, hi - lo)
-                                      .to_numpy(zero_copy_only=False), reps, seed, rate)
+                    k = np.zeros((len(at[0]), n))
+                w = _weights(batch.column("w").slice(lo, hi - lo), n)
                 left = _dense(fa, ra, hi - lo, max(_width(fa), int(at[0].max()) + 1))
                 right = _dense(fb, rb, hi - lo, max(_width(fb), int(at[1].max()) + 1))
-                for r in range(len(reps)):
+                for r in range(n):
                     product = (left * w[:, r:r + 1]).T @ right
                     k[:, r] += product[at[0], at[1]]
         if k is not None:
             yield from flush(current, at, k)
 
     eligible = pairs.select("gene_i", "gene_j", F.lit(1.0).alias("value"))
-    streamed = stream_with_blocks(rows, panel_blocks(eligible, index), key, per_shard)
-    return (streamed.mapInArrow(kernel, "i int, j int, r int, k double")
-            .groupBy("i", "j", "r").agg(F.sum("k").alias("k")))
+    streamed = stream_with_blocks(weighted, panel_blocks(eligible, index), key, per_shard)
+    return _added(streamed.mapInArrow(kernel, "i int, j int, part int, s array<double>"), ["i", "j"], "k")

@@ -216,35 +216,43 @@ def evidence_tiers(pres: DataFrame, min_evidence: float = 10.0,
 
 def replicate_scores(pres: DataFrame, pairs: DataFrame, replicates: range, seed: int,
                      rate: float = 1.0, alpha: float = 0.1, metric: str = "npmi") -> DataFrame:
-    """(gene_i, gene_j, r, value) over resampled contexts.
+    """(gene_i, gene_j, values): the score of each pair in every replicate, as arrays of at most 32 values; an
+    undefined one is null.
 
-    Each context gets a Poisson(rate) weight per replicate from its own hash, which resamples
+    Each context gets a Poisson(rate) weight per replicate from its own name, which resamples
     contexts without a driver-side draw; frequencies divide by the replicate's weight total.
     """
     index = B.feature_index(pres)
-    rows = B.context_rows(pres, index)
-    marg = B.replicate_marginals(rows, replicates, seed, rate)
-    side = lambda name: marg.where("g >= 0").select(F.col("g").alias(name), "r",
-                                                    F.col("m").alias(f"m{name}"))
-    total = marg.where("g = -1").select("r", F.col("m").alias("n"))
-    k = (B.replicate_pair_sums(rows, pairs, index, replicates, seed, rate)
-         .join(side("i"), ["i", "r"]).join(side("j"), ["j", "r"]).join(total, "r"))
-    den = F.col("n") + 2.0 * alpha
-    p = lambda c: (F.col(c) + F.lit(alpha)) / den
-    defined = (F.col("n") > 0) & (p("k") > 0) & (p("mi") > 0) & (p("mj") > 0)
-    pmi = F.ln(p("k") / (p("mi") * p("mj")))
-    value = pmi if metric == "pmi" else F.when(p("k") < 1, pmi / -F.ln(p("k")))
-    return named_pairs(k.select("i", "j", "r", F.when(defined, value).alias("value")), index)
+    weighted = cut_lineage(B.weighted_rows(B.context_rows(pres, index), replicates, seed, rate))
+    marg = cut_lineage(B.replicate_marginals(weighted, len(replicates)))
+    side = lambda name: marg.where("g >= 0").select(F.col("g").alias(name), "part", F.col("m").alias(f"m{name}"))
+    total = marg.where("g = -1").select("part", F.col("m").alias("n"))
+    k = (B.replicate_pair_sums(weighted, pairs, index, len(replicates))
+         .join(side("i"), ["i", "part"]).join(side("j"), ["j", "part"]).join(total, "part"))
+
+    def value(c: Column) -> Column:
+        den = c["n"] + 2.0 * alpha
+        p = lambda name: (c[name] + F.lit(alpha)) / den
+        defined = (c["n"] > 0) & (p("k") > 0) & (p("mi") > 0) & (p("mj") > 0)
+        pmi = F.ln(p("k") / (p("mi") * p("mj")))
+        return F.when(defined, pmi if metric == "pmi" else F.when(p("k") < 1, pmi / -F.ln(p("k"))))
+
+    return named_pairs(k.select("i", "j", F.transform(F.arrays_zip("k", "mi", "mj", "n"), value).alias("values")), index)
 
 
 def replicate_intervals(samples: DataFrame, ci_level: float = 0.95) -> DataFrame:
-    """Median and interval per pair. A pair's samples are at most the replicate budget."""
+    """Median and interval per pair. A pair's samples are one array, at most the replicate budget."""
     low = (1.0 - ci_level) / 2.0
-    q = F.percentile("value", F.array(F.lit(low), F.lit(0.5), F.lit(1.0 - low)))
-    return samples.where(F.col("value").isNotNull()).groupBy("gene_i", "gene_j").agg(
-        q.alias("q"), F.count(F.lit(1)).cast("int").alias("n_bootstraps")).select(
-        "gene_i", "gene_j", F.col("q")[1].alias("median"), F.col("q")[0].alias("ci_lo"),
-        F.col("q")[2].alias("ci_hi"), "n_bootstraps")
+    every = F.array_sort(F.filter(F.flatten(F.collect_list("values")), lambda v: v.isNotNull()))
+
+    def at(q: float) -> Column:
+        place = (F.col("n_bootstraps") - 1) * F.lit(q)
+        below = F.get("every", F.floor(place).cast("int"))
+        return below + (F.get("every", F.ceil(place).cast("int")) - below) * (place - F.floor(place))
+
+    rows = samples.groupBy("gene_i", "gene_j").agg(every.alias("every")).withColumn("n_bootstraps", F.size("every"))
+    return rows.where("n_bootstraps > 0").select(
+        "gene_i", "gene_j", at(0.5).alias("median"), at(low).alias("ci_lo"), at(1.0 - low).alias("ci_hi"), "n_bootstraps")
 
 
 def classify_interval(lo: Column, hi: Column, n: Column, tau: float | Sequence[float],

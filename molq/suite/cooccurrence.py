@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from molq.functions.blocks import poisson_steps
 from molq.operators import accounting as A
 from molq.operators import coexpression as CX
 from molq.operators import coherence as H
@@ -138,10 +139,48 @@ def evidence_tiers(spark, sf):
     return rounded(N.evidence_tiers(presence(spark, sf), min_evidence=6, min_bootstrap=4, subsample=400))
 
 
-@query("E08 E09", None)
+def _interval_sql(name: str, replicates: int) -> str:
+    """Intervals over the first replicates, from values per pair and replicate."""
+    return f"""SELECT gi, gj, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi, count(v) AS nb
+  FROM vals WHERE r < {replicates} AND v IS NOT NULL GROUP BY 1, 2"""
+
+
+# Weights from the md5 of seed, context and r // 4; a context counts as often as its number reaches a step.
+BOOT_SQL = """
+, d AS (SELECT a.g AS gi, b.g AS gj, a.k AS ka, b.k AS kb, kij.k AS k, CAST(n AS DOUBLE) AS n, (a.k / n) * (b.k / n) * n AS e
+  FROM marg a JOIN marg b ON a.g < b.g LEFT JOIN kij ON kij.gi = a.g AND kij.gj = b.g, tot),
+tiers AS (SELECT gi, gj, CASE WHEN k IS NULL AND e >= 5 THEN 'neg_one' WHEN k IS NULL THEN 'indeterminate' WHEN greatest(k, e) < 5 THEN 'low_evidence'
+    WHEN greatest(k, e) >= {boot} THEN 'can_bootstrap' ELSE 'legacy_only' END AS kind,
+  CASE WHEN k IS NULL THEN (CASE WHEN e >= 5 THEN -1.0 END) ELSE ln((k / n) / ((ka / n) * (kb / n))) / -ln(k / n) END AS legacy_npmi,
+  CASE WHEN k IS NULL THEN (CASE WHEN e >= 5 THEN -ln(e) END) ELSE ln((k / n) / ((ka / n) * (kb / n))) END AS legacy_pmi, coalesce(k, 0) AS k_ij, e FROM d),
+w AS (SELECT c, 4 * g + q AS r, len(list_filter({steps}, lambda t: CAST('0x' || substr(h, 1 + 8 * q, 8) AS BIGINT) >= t)) AS w
+  FROM (SELECT c, g, md5('11-' || c || '-' || g) AS h FROM (SELECT DISTINCT c FROM pres), range(30) t(g)), range(4) u(q)),
+wt AS (SELECT r, CAST(sum(w) AS DOUBLE) AS n FROM w GROUP BY 1),
+wm AS (SELECT g, r, CAST(sum(w) AS DOUBLE) AS m FROM pres JOIN w USING (c) GROUP BY 1, 2),
+held AS (SELECT a.c, a.g AS gi, b.g AS gj FROM pres a JOIN pres b ON a.c = b.c AND a.g < b.g JOIN tiers ON tiers.gi = a.g AND tiers.gj = b.g AND kind = 'can_bootstrap'),
+wk AS (SELECT gi, gj, r, CAST(sum(w) AS DOUBLE) AS k FROM held JOIN w USING (c) GROUP BY 1, 2, 3),
+p AS (SELECT gi, gj, r, (k + 0.1) / (n + 0.2) AS pk, (a.m + 0.1) / (n + 0.2) AS pa, (b.m + 0.1) / (n + 0.2) AS pb
+  FROM wk JOIN wt USING (r) JOIN wm a ON a.g = gi AND a.r = wk.r JOIN wm b ON b.g = gj AND b.r = wk.r),
+vals AS (SELECT gi, gj, r, CASE WHEN pk < 1 THEN ln(pk / (pa * pb)) / -ln(pk) END AS v FROM p),
+one AS ({first}), early AS (SELECT *, CASE WHEN nb < 30 THEN NULL WHEN lo > 0.1 THEN 'pos_strong' WHEN hi < -0.1 THEN 'neg_strong'
+  WHEN lo > -0.02 AND hi < 0.02 THEN 'tight_null' END AS kind FROM one),
+two AS ({second}), late AS (SELECT two.*, CASE WHEN two.nb < 30 THEN 'unsettled' WHEN two.lo > 0.1 THEN 'pos_strong' WHEN two.lo > 0.02 THEN 'pos_weak'
+  WHEN two.hi < -0.1 THEN 'neg_strong' WHEN two.hi < -0.02 THEN 'neg_weak' WHEN two.lo > -0.02 AND two.hi < 0.02 THEN 'tight_null'
+  WHEN two.lo > -0.1 AND two.hi < 0.1 THEN 'dead_zone' ELSE 'unsettled' END AS kind FROM two JOIN early USING (gi, gj) WHERE early.kind IS NULL),
+done AS (SELECT * FROM early WHERE kind IS NOT NULL UNION ALL SELECT * FROM late),
+out AS (SELECT gi, gj, CASE WHEN t.kind = 'can_bootstrap' THEN coalesce(b.kind, 'unsettled') ELSE t.kind END AS kind, legacy_npmi, legacy_pmi, k_ij, e, median, lo, hi, nb
+  FROM tiers t LEFT JOIN done b USING (gi, gj))
+SELECT gi AS gene_i, gj AS gene_j, kind, round(legacy_npmi, 6) + 0.0 AS legacy_npmi, round(legacy_pmi, 6) + 0.0 AS legacy_pmi, k_ij, round(e, 6) AS expected_full, round(e, 6) AS expected_sub,
+ round(median, 6) + 0.0 AS median, round(lo, 6) + 0.0 AS ci_lo, round(hi, 6) + 0.0 AS ci_hi, CAST(coalesce(nb, 0) AS INTEGER) AS n_bootstraps,
+ CASE WHEN kind IN ('pos_strong', 'pos_weak', 'neg_strong', 'neg_weak', 'neg_one', 'legacy_only') THEN round(legacy_npmi, 6) + 0.0 END AS weight FROM out
+""".format(boot="{boot}", steps=poisson_steps(1.0), first=_interval_sql("one", 60), second=_interval_sql("two", 120)).format(boot=5)
+
+
+@query("E08 E09", with_parts(BOOT_SQL, "orig", **NPMI_PARTS))
 def bootstrap_pairs(spark, sf):
-    return N.bootstrap_npmi(presence(spark, sf), tau=(0.02, 0.1), max_bootstraps=120, coarse_block=60,
-                            refine_block=60, min_evidence=5, seed=11)
+    """The draws come from md5, so the SQL repeats them replicate by replicate."""
+    return rounded(N.bootstrap_npmi(presence(spark, sf), tau=(0.02, 0.1), max_bootstraps=120, coarse_block=60,
+                                    refine_block=60, min_evidence=5, seed=11))
 
 
 # Entities of the final assignment scored against the panel of the original assignment.

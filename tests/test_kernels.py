@@ -75,35 +75,39 @@ def test_unit_entities_have_no_score(frame):
     assert got["two"].purity_score == pytest.approx(0.35) and got["two"].relative_purity == 1.0
 
 
-@pytest.mark.parametrize("block", [1024, 7])
-def test_replicates_match_their_weights(corpus, frame, monkeypatch, block):
+@pytest.mark.parametrize("block, part", [(1024, 32), (7, 2)])
+def test_replicates_match_their_weights(corpus, frame, monkeypatch, block, part):
     monkeypatch.setattr(B, "BLOCK", block)
+    monkeypatch.setattr(B, "PART", part)
     rows, pres = corpus
     index = B.feature_index(pres)
-    ctx = B.context_rows(pres, index)
     pairs, by = brute_pairs(rows)
     wanted = list(pairs)[:40]
-    k = B.replicate_pair_sums(ctx, frame(wanted, "gene_i string, gene_j string"), index, range(3, 6), 5)
-    m = B.replicate_marginals(ctx, range(3, 6), 5)
-    hashes = {r.context: r.h for r in ctx.select("context", F.xxhash64("context").alias("h")).collect()}
-    names = list(hashes)
-    w = B.replicate_weights(np.array([hashes[c] for c in names]), np.arange(3, 6), 5, 1.0)
+    weighted = B.weighted_rows(B.context_rows(pres, index), range(3, 6), 5)
+    k = B.replicate_pair_sums(weighted, frame(wanted, "gene_i string, gene_j string"), index, 3).collect()
+    m = B.replicate_marginals(weighted, 3).collect()
+    names = [r.context for r in weighted.select("context").collect()]
+    w = B.replicate_weights(names, range(3, 6), 5, 1.0)
     code = {r.feature_name: r.g for r in index.collect()}
-    got = {(r.i, r.j, r.r): r.k for r in k.collect()}
+    # One row per pair and part, whatever the number of replicates.
+    assert len(k) == len(wanted) * -(-3 // part)
+    got = {(r.i, r.j, r.part * part + n): v for r in k for n, v in enumerate(r.k)}
     for i, j in wanted:
-        for n, r in enumerate(range(3, 6)):
+        for n in range(3):
             want = sum(w[p, n] for p, c in enumerate(names) if i in by[c] and j in by[c])
-            assert got[(code[i], code[j], r)] == want
-    total = {(r.g, r.r): r.m for r in m.collect()}
-    assert total[(-1, 4)] == w[:, 1].sum()
-    assert total[(code["g03"], 5)] == sum(w[p, 2] for p, c in enumerate(names) if "g03" in by[c])
+            assert got[(code[i], code[j], n)] == want
+    total = {(r.g, r.part * part + n): v for r in m for n, v in enumerate(r.m)}
+    assert total[(-1, 1)] == w[:, 1].sum()
+    assert total[(code["g03"], 2)] == sum(w[p, 2] for p, c in enumerate(names) if "g03" in by[c])
 
 
 def test_replicate_weights_are_poisson():
-    w = B.replicate_weights(np.arange(20000) * 7919, np.arange(4), 1, 1.0)
+    names = [f"c{i}" for i in range(20000)]
+    w = B.replicate_weights(names, range(4), 1, 1.0).astype(float)
     assert w.mean() == pytest.approx(1.0, abs=0.02) and w.var() == pytest.approx(1.0, abs=0.04)
     assert abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.03
-    thin = B.replicate_weights(np.arange(20000), np.arange(2), 1, 0.1)
+    assert (B.replicate_weights(names[:50], range(2, 7), 1, 1.0) == B.replicate_weights(names[:50], range(0, 9), 1, 1.0)[:, 2:7]).all()
+    thin = B.replicate_weights(names, range(2), 1, 0.1).astype(float)
     assert thin.mean() == pytest.approx(0.1, abs=0.01)
 
 
@@ -295,7 +299,7 @@ def test_pair_work_follows_the_rows_not_the_settings(spark):
 
 def test_replicate_weights_above_rate_one():
     from molq.functions.blocks import replicate_weights
-    w = replicate_weights(np.arange(20000), np.arange(3), 1, 40.0)
+    w = replicate_weights([f"c{i}" for i in range(20000)], range(3), 1, 40.0).astype(float)
     assert abs(w.mean() - 40) < 0.2 and w.max() > 60 and abs(w.var() - 40) < 1.5
 
 
