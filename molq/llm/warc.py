@@ -30,6 +30,8 @@ from molq.llm.common import in_small_batches, rows_of, shared_folder, stored
 REVISIT_FROM = 1000
 ARCHIVE_BYTES = 64_000_000
 READ_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 16
+MOST_TASKS = 50_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_ID = "<urn:molq:record:{}>"
 
@@ -62,7 +64,8 @@ def read_members(source) -> Iterator[bytes]:
     """The members of a gzip file one by one, from a stream that is read in blocks."""
     waiting, unpack, parts = b"", zlib.decompressobj(31), []
     while True:
-        waiting = waiting or source.read(READ_BYTES)
+        # What is left of a block is copied once per member, so blocks are small.
+        waiting = waiting or source.read(BLOCK_BYTES)
         if not waiting:
             break
         parts.append(unpack.decompress(waiting))
@@ -161,10 +164,12 @@ def write_archives(pages: DataFrame, id_col: str = "record_id", url_col: str = "
     rows = rows.withColumn("id", F.coalesce("id", F.raise_error(F.lit("a record needs an id")).cast("bigint")))
     large = F.octet_length("content") >= revisit_from
     digest = F.when(large, F.unhex(F.sha2("content", 256)))
-    groups = (rows.select("id", digest.alias("digest")).where("digest is not null").groupBy("digest")
-              .agg(F.max("id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    dealt = (rows.withColumn("digest", digest).join(groups, "digest", "left")
-             .select("id", "url", "content", F.when(F.col("first_id") != F.col("id"), F.col("first_id")).alias("refers_to")))
+    # Only ids and digests meet by digest. Contents meet the rows that repeat a payload by id and digest, which
+    # spreads copies and small payloads alike, or not at all where those rows are few enough to broadcast.
+    ids = stored(rows.select("id", digest.alias("digest")).where("digest is not null"), "digests")
+    groups = ids.groupBy("digest").agg(F.max("id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    revisits = stored(ids.join(groups, "digest").where("refers_to <> id").distinct(), "revisits")
+    dealt = rows.withColumn("digest", digest).join(revisits, ["id", "digest"], "left").select("id", "url", "content", "refers_to")
     folder = shared_folder(pages.sparkSession, "warc")
     return stored(dealt.mapInArrow(_writer(folder, archive_bytes), "archive string, records bigint"), "warc-listing")
 
@@ -175,6 +180,7 @@ def read_archives(listing: DataFrame) -> DataFrame:
     ``payload_digest`` is bare lower-case hex SHA-1 of the full payload, ``payload_bytes`` its length; the
     payload itself is null for revisits. Broken framing, digests or counts raise an error.
     """
-    archives = listing.repartitionByRange("archive")
+    # A number of its own, so that Spark does not put the small listing into few tasks: one task per archive.
+    archives = listing.repartitionByRange(max(1, min(listing.count(), MOST_TASKS)), "archive")
     return archives.mapInArrow(_reader, "id bigint, url string, payload_bytes bigint, payload_digest string, "
                                         "record_type string, refers_to bigint, payload binary")

@@ -246,3 +246,12 @@ def test_archive_cut_short_is_an_error(frame):
         read_archives(listing).collect()
 
 
+
+
+def test_every_archive_has_a_reading_task(frame):
+    listing = write_archives(frame([(i, "u", f"text {i} " * 500) for i in range(12)], "record_id bigint, url string, content string")
+                             .repartition(6), archive_bytes=1000)
+    n = listing.count()
+    read = read_archives(listing)
+    assert n >= 6 and read.rdd.getNumPartitions() == n
+    assert sorted(r.id for r in read.collect()) == list(range(12))
