@@ -31,7 +31,7 @@ def main() -> None:
     seconds = {}
     for name in HEADLINE:
         start = time.perf_counter()
-        con.execute(load_all()[name].sql).fetch_arrow_table()
+        con.execute(load_all()[name].sql).to_arrow_table()
         seconds[name] = round(time.perf_counter() - start, 3)
     print(json.dumps({"engine": f"duckdb {duckdb.__version__}", "threads": threads, "value": round(sum(seconds.values()), 3), "queries": seconds}))
 
