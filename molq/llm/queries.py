@@ -141,6 +141,7 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts read from the prefix table of every whole text, with the characters that 2048 tokens hold."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("dataset"), F.col("text").alias("provenance"))
     return token_counts(docs).withColumnRenamed("dataset", "doc_id")
 

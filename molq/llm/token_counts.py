@@ -2,8 +2,9 @@
 
 The vocabulary file (JSON of the ``tokenizers`` library) says how a text is normalised and cut into
 words; a word's last symbol carries an end mark. For every word one dynamic programme over its
-prefixes gives the number of tokens of each prefix as if the text ended there. Summing up words gives
-the count at every prefix of the text, so truncation and budget questions need no new encoding.
+prefixes gives the number of tokens of each prefix as if the text ended there; an automaton of all tokens
+yields those that end at each place. Summing up words gives the count at every prefix of the text, from
+which totals, cuts and budgets are read without a new encoding.
 
 The project's records hold no long text of their own (notes and provenance are short strings), so the
 functions take any id and text column.
@@ -13,8 +14,10 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import public_tokenizers
@@ -28,6 +31,8 @@ from molq.llm.common import Remembered, frugal, id_type, in_small_batches, kept_
 from molq.llm.merges import StablePairs
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+BLANKS = "\t\n\v\f\r"
+REMEMBERED_CHARS, REMEMBERED = 64, 300_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -37,6 +42,13 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+class ShortRemembered(Remembered):
+    """Remembers short stretches only, so that its bound is one in bytes too."""
+
+    def __missing__(self, key: str):
+        return super().__missing__(key) if len(key) <= REMEMBERED_CHARS else self.compute(key)
+
+
 class PrefixCounter:
     """Token counts of texts and of all their prefixes under one vocabulary file."""
 
@@ -54,11 +66,14 @@ class PrefixCounter:
         self.letters = _byte_letters()
         order = {tuple(m): i for i, m in enumerate(model["merges"])}
         self.pairs = StablePairs(lambda a, b: order.get((a, b)), self._symbols)
-        self.inner = {t for t in model["vocab"] if not t.endswith(self.end)}
-        self.final = {t.removesuffix(self.end): t for t in model["vocab"] if t.endswith(self.end)}
-        self.longest = max(map(len, (*self.inner, *self.final)))
-        self.totals = Remembered(self._total)
-        self.tables = Remembered(self._table)
+        self.arcs = ahocorasick.Automaton()
+        inner = {t for t in model["vocab"] if not t.endswith(self.end)}
+        final = {t.removesuffix(self.end): t for t in model["vocab"] if t.endswith(self.end)}
+        for token in inner | final.keys():
+            self.arcs.add_word(token, (len(token), token if token in inner else None, final.get(token)))
+        self.arcs.make_automaton()
+        self.pairs.LIMIT = REMEMBERED
+        self.words, self.tables = ShortRemembered(self._table, REMEMBERED), ShortRemembered(self._stretch, REMEMBERED)
 
     def _symbols(self, token: str) -> list[str]:
         if token.endswith(self.end):
@@ -66,49 +81,49 @@ class PrefixCounter:
             return [*bare[:-1], bare[-1] + self.end]
         return list(token)
 
-    def _open_counts(self, text: str) -> tuple[list[int], list[str]]:
-        """For each prefix of a word that goes on: its number of tokens and the last of them."""
-        inner, pairs, whole, longest = self.inner, self.pairs, self.pairs.whole, self.longest
-        counts, ends = [0], [""]
-        for j in range(1, len(text)):
-            for i in range(j - longest if j > longest else 0, j):
-                part = text[i:j]
-                if part in inner and (pairs[ends[i], part] if i else whole(part)):
-                    counts.append(counts[i] + 1)
-                    ends.append(part)
-                    break
-            else:
-                raise ValueError(f"no token ends {text[:j]!r}")
-        return counts, ends
-
-    def _closed_count(self, text: str, j: int, counts: list[int], ends: list[str]) -> int:
-        """The number of tokens if the word ends after text[:j]."""
-        for i in range(max(0, j - self.longest), j):
-            token = self.final.get(text[i:j])
-            if token is not None and (self.pairs[ends[i], token] if i else self.pairs.whole(token)):
-                return counts[i] + 1
-        raise ValueError(f"no token ends {text[:j]!r}")
-
-    def _by_programme(self, word: str, every: bool) -> list[int]:
-        """Tokens of the word, or of each of its prefixes as if the text ended there."""
-        raw = word.encode("utf-8", "surrogatepass")
-        text = "".join(map(self.letters.__getitem__, raw))
-        counts, ends = self._open_counts(text)
-        cuts = [j for j in range(1, len(raw)) if (raw[j] & 0xC0) != 0x80] if every else []
-        return [self._closed_count(text, j, counts, ends) for j in (*cuts, len(raw))]
+    def _by_programme(self, word: str) -> list[int]:
+        """Tokens of each prefix of the word, as if the text ended there.
 
-    def _total(self, chunk: bytes) -> int:
-        """Tokens of a stretch without white space."""
-        return sum(self._by_programme(w, False)[-1] for w in self.word.findall(chunk.decode("utf-8", "surrogatepass")))
-
-    def _table(self, word: str) -> np.ndarray:
-        counts = self._by_programme(word, True)
+        ``counts`` and ``ends`` are of the prefix that goes on, ``closed`` of the one that ends."""
+        raw = word.encode("utf-8", "surrogatepass")
+        text, pairs = "".join(map(self.letters.__getitem__, raw)), self.pairs
+        counts, closed, ends = [0] * (len(raw) + 1), [0] * (len(raw) + 1), [""] * (len(raw) + 1)
+        for last, (size, inner, final) in self.arcs.iter(text):
+            j = last + 1
+            i = j - size
+            before = ends[i]
+            if inner is not None and not ends[j] and pairs[before, inner]:
+                counts[j], ends[j] = counts[i] + 1, inner
+            if final is not None and not closed[j] and pairs[before, final]:
+                closed[j] = counts[i] + 1
+        found = closed[1:]
+        if len(raw) != len(word):
+            found = [closed[j] for j in range(1, len(raw)) if (raw[j] & 0xC0) != 0x80] + closed[-1:]
+        if not all(found):
+            raise ValueError(f"no tokens spell {word!r}")
+        return found
+
+    def _table(self, word: str) -> list[int]:
+        counts = self._by_programme(word)
         if word[0] == "'" and len(word) > 1:
             # A cut contraction falls into other words, so its shorter prefixes are cut anew.
             for j in range(1, len(word)):
                 if (parts := self.word.findall(word[:j])) != [word[:j]]:
-                    counts[j - 1] = sum(self._by_programme(p, False)[-1] for p in parts)
-        return np.array(counts, np.int32)
+                    counts[j - 1] = sum(self._by_programme(p)[-1] for p in parts)
+        return counts
+
+    def _stretch(self, chunk: str) -> tuple[bytes, int, int]:
+        """Counts after each character of a stretch without blanks and after one blank more; their number; the last."""
+        out: list[int] = []
+        done = 0
+        for m in self.word.finditer(chunk):
+            table, gap = self.words[m.group()], m.start() - len(out)
+            if gap:
+                out += [done] * gap
+            out += [k + done for k in table] if done else table
+            done += table[-1]
+        out += [done] * (len(chunk) + 1 - len(out))
+        return array("i", out).tobytes(), len(out), done
 
     @staticmethod
     def normal(text: str) -> str:
@@ -116,12 +131,6 @@ class PrefixCounter:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return text.lower()
 
-    def total(self, text: str) -> int:
-        """Tokens of a whole text: the last entry of its prefix table, word by word."""
-        if "<" in text and (marks := self.special.findall(text)):
-            return len(marks) + sum(map(self.total, self.special.split(text)))
-        return sum(map(self.totals.__getitem__, self.normal(text).encode("utf-8", "surrogatepass").split()))
-
     def prefixes(self, text: str) -> np.ndarray:
         """Token counts of all prefixes of the normalised text, the empty one first (int32)."""
         parts, done, at = [np.zeros(1, np.int32)], 0, 0
@@ -138,32 +147,36 @@ class PrefixCounter:
         return np.concatenate(parts)
 
     def _of_plain(self, text: str) -> np.ndarray:
-        """Counts after each character of a stretch without special strings."""
+        """Counts after each character of a text without special strings."""
         text = self.normal(text)
-        out, done, at = np.zeros(len(text), np.int32), 0, 0
-        for m in self.word.finditer(text):
-            out[at:m.start()] = done
-            table = self.tables[m.group()]
-            at = m.end()
-            out[m.start():at] = table + done
-            done += int(table[-1])
-        out[at:] = done
-        return out
-
-
-def _counter(path: str, keep: bool):
+        for blank in BLANKS:
+            text = text.replace(blank, " ")
+        counts, sizes, totals = zip(*map(self.tables.__getitem__, text.split(" ")))
+        totals = np.array(totals, np.int32)
+        out = np.repeat(np.cumsum(totals, dtype=np.int32) - totals, sizes)
+        out += np.frombuffer(b"".join(counts), np.int32)
+        return out[:-1]
+
+
+def _longest(prefixes: np.ndarray, budget: int) -> int:
+    fits = np.flatnonzero(prefixes <= budget)
+    return int(fits[-1]) if len(fits) else -1
+
+
+def _counter(path: str, limit: int, keep: bool):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = kept_in_worker(f"prefix counter {path}", lambda: PrefixCounter(path))
         for batch in batches:
-            sizes, totals, tables = [], [], []
+            sizes, totals, fits, tables = [], [], [], []
             for (text,) in rows_of(batch, "text"):
                 sizes.append(len((text or "").encode("utf-8", "surrogatepass")))
+                prefixes = counter.prefixes(text or "")
+                totals.append(int(prefixes[-1]))
+                fits.append(_longest(prefixes, limit))
                 if keep:
-                    prefixes = counter.prefixes(text or "")
                     tables.append(prefixes.tobytes())
-                totals.append(int(prefixes[-1]) if keep else counter.total(text or ""))
-            columns = [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(totals, pa.int64())]
-            names = ["id", "n_bytes", "n_tokens"]
+            columns = [batch.column("id"), *(pa.array(c, pa.int64()) for c in (sizes, totals, fits))]
+            names = ["id", "n_bytes", "n_tokens", "chars_within"]
             if keep:
                 columns, names = [*columns, pa.array(tables, pa.binary())], [*names, "prefix_tokens"]
             yield pa.RecordBatch.from_arrays(columns, names)
@@ -173,19 +186,21 @@ def _counter(path: str, keep: bool):
 
 def token_counts(records: DataFrame, id_col: str = "dataset", text_col: str = "provenance",
                  vocabulary: str = VOCABULARY, limit: int = 2048, keep_prefixes: bool = False) -> DataFrame:
-    """(id, n_bytes, n_tokens, over_limit[, prefix_tokens]) for every row.
-
-    ``prefix_tokens`` packs one int32 per prefix of the normalised text (NFC, lower case), the empty
-    prefix first. Special strings inside a text count as one token each, as the library's default has
-    it. Null or empty text: 0 bytes, 0 tokens. Ids are passed on as they are, null, repeated or not;
-    other columns are not read. An empty table gives an empty result. ``vocabulary`` must lie at the
-    same path on every machine.
+    """(id, n_bytes, n_tokens, over_limit, chars_within[, prefix_tokens]) for every row.
+
+    The table of all prefixes is built for every text, and the other columns are read from it:
+    ``n_tokens`` is its last entry, ``chars_within`` the characters of the longest prefix that takes at
+    most ``limit`` tokens (-1 for a negative limit). ``prefix_tokens`` hands the table out: one int32 per prefix of
+    the normalised text (NFC, lower case), the empty prefix first. Special strings inside a text count
+    as one token each, as the library's default has it. Null or empty text: 0 bytes, 0 tokens. Ids are passed on
+    as they are, null, repeated or not; other columns are not read. An empty table gives an empty result.
+    ``vocabulary`` must lie at the same path on every machine.
     """
     texts = in_small_batches(records).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = f"id {id_type(texts, 'id')}, n_bytes bigint, n_tokens bigint" + ", prefix_tokens binary" * keep_prefixes
-    out = texts.mapInArrow(_counter(vocabulary, keep_prefixes), schema)
+    schema = f"id {id_type(texts, 'id')}, n_bytes bigint, n_tokens bigint, chars_within bigint" + ", prefix_tokens binary" * keep_prefixes
+    out = texts.mapInArrow(_counter(vocabulary, limit, keep_prefixes), schema)
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"),
-                      *["prefix_tokens"] * keep_prefixes)
+                      "chars_within", *["prefix_tokens"] * keep_prefixes)
 
 
 @F.pandas_udf(T.IntegerType())
@@ -198,8 +213,4 @@ def tokens_at(prefix_tokens: pd.Series, position: pd.Series) -> pd.Series:
 @F.pandas_udf(T.IntegerType())
 def longest_within(prefix_tokens: pd.Series, budget: pd.Series) -> pd.Series:
     """Characters of the longest prefix that takes at most ``budget`` tokens (-1 for a negative budget)."""
-    def longest(p, k):
-        fits = np.flatnonzero(np.frombuffer(p, np.int32) <= k) if p is not None else ()
-        return None if p is None else int(fits[-1]) if len(fits) else -1
-
-    return prefix_tokens.combine(budget, longest)
+    return prefix_tokens.combine(budget, lambda p, k: None if p is None else _longest(np.frombuffer(p, np.int32), k))

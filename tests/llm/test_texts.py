@@ -44,6 +44,22 @@ def test_token_counts_match_the_library(frame):
     assert token_counts.token_counts(frame([], "dataset string, provenance string")).collect() == []
 
 
+def test_every_prefix_against_the_library():
+    tool = Tokenizer.from_file(token_counts.VOCABULARY)
+    counter = token_counts.PrefixCounter(token_counts.VOCABULARY)
+    texts = ["", " ", "\t\v a\r\n\fb ", "it's 'll 'vex !'s can't'", "q" * 70 + "-" * 70 + "é1" * 40, "жук 12<|endoftext|>'re…  x", "a\u00a0b\u2003c\x1cd"]
+    for text in [*texts, *texts[::-1]]:
+        shown = counter.normal(text)
+        assert counter.prefixes(text).tolist() == [len(tool.encode(shown[:k], add_special_tokens=False).ids) for k in range(len(shown) + 1)], text
+
+
+def test_longest_prefix_within_the_limit(frame):
+    rows = [(1, "one two three four"), (2, "one"), (3, ""), (4, None)]
+    got = token_counts.token_counts(frame(rows, "dataset int, provenance string"), limit=2).collect()
+    assert [(r.n_tokens, r.over_limit, r.chars_within) for r in got] == [(4, True, 8), (1, False, 3), (0, False, 0), (0, False, 0)]
+    assert {r.chars_within for r in token_counts.token_counts(frame(rows, "dataset int, provenance string"), limit=-1).collect()} == {-1}
+
+
 def test_prefix_tables_answer_cuts_and_budgets(frame):
     tool = Tokenizer.from_file(token_counts.VOCABULARY)
     count = lambda s: len(tool.encode(s, add_special_tokens=False).ids)
@@ -77,7 +93,7 @@ def test_pieces_and_tokens_of_whole_documents(spark):
     tool = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     assert [coder.encode(t).tolist() for t in texts] == tool.encode(texts)
     counter, library = token_counts.PrefixCounter(token_counts.VOCABULARY), Tokenizer.from_file(token_counts.VOCABULARY)
-    assert [counter.total(t) for t in texts] == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [int(counter.prefixes(t)[-1]) for t in texts] == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
 @needs_tables
