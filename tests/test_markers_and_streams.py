@@ -126,6 +126,44 @@ def test_stream_resumes_from_its_checkpoint(spark, tmp_path):
     assert {(r.iy, r.ix): r.n for r in I.read_density_grid(spark, out).collect()} == {(0, 0): 3, (0, 2): 1}
 
 
+def test_a_changed_grid_is_refused(spark, tmp_path):
+    src, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    spark.createDataFrame([(1.0, 1.0)], "x double, y double").write.parquet(src)
+    spec = {"bin": 10.0, "ox": 0.0, "oy": 0.0, "nx": 5, "ny": 5}
+    stream = lambda: I.file_stream(spark, src, spark.read.parquet(src).schema, 1)
+    I.stream_density_grid(stream(), spec, out, cp).awaitTermination()
+    with pytest.raises(ValueError, match="bin, nx differ"):
+        I.stream_density_grid(stream(), {**spec, "bin": 5.0, "nx": 10}, out, cp)
+    I.stream_density_grid(stream(), {**spec, "nx": 5.0}, out, cp).awaitTermination()
+    assert I.read_density_grid(spark, out).count() == 1
+
+
+def test_a_long_log_is_read_as_snapshot_and_tail(spark, tmp_path):
+    root, want = str(tmp_path / "out" / "run=a"), {}
+
+    def save(number):
+        rows = [(number % 7, number), (None, number)] + ([(100 + number, 1)] if number % 3 == 0 else [])
+        want.update(rows)
+        shown = ", ".join(f"({'null' if k is None else k}, {n})" for k, n in rows)
+        I.save_update(spark.sql(f"SELECT CAST(k AS LONG) AS k, n FROM VALUES {shown} v(k, n)").coalesce(1), number, root, ["k"], ["n"], 20)
+
+    for number in range(120):
+        save(number)
+        if number in (39, 100):
+            save(number)  # a batch that is replayed, once where a snapshot was made
+        if number in (18, 39, 113, 119):
+            assert {r.k: r.n for r in I.latest(spark, str(tmp_path / "out"), ["k"], ["n"]).collect()} == want
+    kept = sorted(p.name for p in (tmp_path / "out" / "run=a").iterdir())
+    assert [n for n in kept if n.startswith("snapshot")] == ["snapshot=119", "snapshot=99"]
+    assert len([n for n in kept if n.startswith("batch")]) == 20
+    assert I._log(spark, root).count() == len(want)
+    (tmp_path / "out" / "run=a" / "snapshot=119" / "_SUCCESS").unlink()  # a snapshot that was not finished does not count
+    assert {r.k: r.n for r in I.latest(spark, str(tmp_path / "out"), ["k"], ["n"]).collect()} == want
+    (tmp_path / "out" / "run=b").mkdir()
+    with pytest.raises(ValueError, match="2 runs"):
+        I.latest(spark, str(tmp_path / "out"), ["k"], ["n"])
+
+
 def test_window_edges_and_empty_windows(frame):
     df = frame([("a", 0.0, 0.0, "g", "c"), ("b", 10.0, 5.0, "g", "c"), ("n", float("nan"), 5.0, "g", "c")],
                "transcript_id string, x double, y double, feature_name string, cell_id string")
