@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from molq.operators import accounting as A
-from molq.session import shared_folder
+from molq.session import shared_folder, shuffle_width
 from molq.plans.fixtures import cell_labels, mixture_weights, molecules, table, with_parts
 from molq.sources import matrices, sinks, tables, transcripts
 from molq.suite.base import query
@@ -180,6 +180,22 @@ def input_manifest(spark, sf):
     return sinks.file_manifest(spark, sf)
 
 
+@query("A19 A20", """
+SELECT CAST(c_nationkey AS VARCHAR) AS nation, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes, sha256(string_agg(line, chr(10) ORDER BY c_custkey) || chr(10)) AS sha256
+FROM (SELECT c_nationkey, c_custkey, concat(c_custkey, '|', c_mktsegment) AS line FROM customer) GROUP BY 1""")
+def listed_file_digests(spark, sf):
+    """Sizes and digests of a list of folders, each with one text file of its nation's customers in order."""
+    root, nation = scratch(spark, "listed"), F.col("c_nationkey")
+    customers = table(spark, sf, "customer")
+    (customers.repartition(shuffle_width(customers), nation).sortWithinPartitions(nation, "c_custkey")
+     .select(nation, F.concat_ws("|", F.col("c_custkey").cast("string"), "c_mktsegment").alias("line"))
+     .write.partitionBy("c_nationkey").text(root))
+    # One folder per nation: the list is bounded by the nations there are.
+    listed = [f"{root}/c_nationkey={r.c_nationkey}" for r in customers.select(nation).distinct().collect()]
+    return sinks.file_manifest(spark, listed, root).select(
+        F.regexp_extract("path", "c_nationkey=([0-9]+)/", 1).alias("nation"), "bytes", "sha256")
+
+
 @query("A24", with_parts("""
 SELECT 'panel=' || method AS panel, feature_name AS file, md5(feature_name || '-' || CAST(count(*) AS VARCHAR)) AS checksum FROM molecules GROUP BY 1, 2, method"""))
 def combined_checksums(spark, sf):
