@@ -61,12 +61,12 @@ def average_ranks(df: DataFrame, value, by: Sequence[str] = (), weight=None) ->
 
 
 def quantiles(df: DataFrame, value, probs: Mapping[str, float],
-              by: Sequence[str] = ()) -> DataFrame:
+              by: Sequence[str] = (), weight=None) -> DataFrame:
     """Exact linear-interpolated quantiles, one row per group, one column per entry of probs.
 
-    Groups with no finite value are absent; without ``by`` there is always one row.
+    ``weight`` is how many equal rows a row stands for. Groups with no finite value are absent; without ``by`` there is always one row.
     """
-    hist = value_histogram(df, value, by)
+    hist = value_histogram(df, value, by, weight)
     offsets = bucket_offsets(hist, by)
     wanted = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(p)).alias("p"))
                        for name, p in probs.items()])

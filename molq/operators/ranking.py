@@ -73,12 +73,12 @@ def first_per_key(df: DataFrame, by: Sequence[str], value: str, order: str) -> D
 
 
 def nearest_to_quantile(df: DataFrame, value: str, probs: dict[str, float],
-                        ties: Sequence[str]) -> DataFrame:
+                        ties: Sequence[str], weight=None) -> DataFrame:
     """For each named quantile the row whose value lies nearest, ties in the given order.
 
     The quantile values are scalar subqueries and the pick is an aggregate, so the rows are
     neither joined nor sorted globally."""
-    q = quantiles(df, value, probs)
+    q = quantiles(df, value, probs, weight=weight)
     rows = []
     payload = F.struct(*df.columns)
     for name in probs:

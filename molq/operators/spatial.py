@@ -76,53 +76,89 @@ def grid_summary(grid: DataFrame, spec) -> DataFrame:
         "density_per_mm2": X.safe_div("n_transcripts", area)})
 
 
-def block_reduce(grid: DataFrame, spec: DataFrame, k: int) -> DataFrame:
-    """(window_iy, window_ix, count, occupancy) over complete k x k blocks, empty ones included.
-
-    The block list comes from the grid's bounds; incomplete edge blocks never enter it."""
-    step = F.lit(int(k))
-    ny, nx = (F.floor(F.col(c) / step) for c in ("ny", "nx"))
-    blocks = (spec.select(ny.alias("by"), nx.alias("bx")).where("by > 0 AND bx > 0")
-              .select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("by") - 1)).alias("window_iy"), "bx")
-              .select("window_iy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bx") - 1)).alias("window_ix")))
-    sums = grid.groupBy(F.floor(F.col("iy") / step).alias("window_iy"),
-                        F.floor(F.col("ix") / step).alias("window_ix")).agg(
-        F.sum("n").alias("count"), F.count_if(F.col("n") > 0).alias("hit"))
+def occupied_blocks(grid: DataFrame, spec, ks: Sequence[int]) -> DataFrame:
+    """(k, window_iy, window_ix, count, occupancy) of the complete k x k blocks that hold a stored bin, for
+    every k in one group-by. Incomplete edge blocks never enter."""
+    k = F.col("k")
+    fits = lambda window, bins: F.col(window) < F.floor(_value(spec, bins) / k)
+    return (grid.withColumn("k", F.explode(F.array(*[F.lit(int(v)) for v in ks])))
+            .withColumns({"window_iy": F.floor(F.col("iy") / k), "window_ix": F.floor(F.col("ix") / k)})
+            .where(fits("window_iy", "ny") & fits("window_ix", "nx"))
+            .groupBy("k", "window_iy", "window_ix")
+            .agg(F.sum("n").alias("count"), (F.count_if(F.col("n") > 0) / (k * k)).alias("occupancy")))
+
+
+def empty_blocks(blocks: DataFrame, spec, ks: Sequence[int], placed: bool = False) -> DataFrame:
+    """One row per k that stands for all its blocks without a stored bin; ``windows`` is their number,
+    from the bounds. ``placed`` finds the first of them in row-major order: the least position that is 0 or
+    follows a stored block and is not stored itself."""
     zero = F.lit(0).cast("long")
-    return blocks.join(sums, ["window_iy", "window_ix"], "left").select(
-        "window_iy", "window_ix", F.coalesce("count", zero).alias("count"),
-        (F.coalesce("hit", zero) / float(k * k)).alias("occupancy"))
-
-
-def windows_with_density(grid: DataFrame, spec: DataFrame, bin_size: float, side: float) -> DataFrame:
-    k = int(round(side / bin_size))
-    if abs(k * bin_size - side) > 1e-9:
-        raise ValueError(f"side {side} is not a multiple of the {bin_size} bin")
-    area = side * side / 1e6
-    return block_reduce(grid, spec, k).withColumns({
-        "side": F.lit(float(side)), "area_mm2": F.lit(area), "density": F.col("count") / F.lit(area)})
-
-
-def window_ladder(grid: DataFrame, spec: DataFrame, bin_size: float, sides: Sequence[float],
+    across = F.floor(_value(spec, "nx") / F.col("k"))
+    sides = blocks.sparkSession.createDataFrame([(int(k),) for k in ks], "k int")
+    total = F.floor(_value(spec, "ny") / F.col("k")) * across
+    out = (sides.join(blocks.groupBy("k").agg(F.count(F.lit(1)).alias("stored")), "k", "left")
+           .withColumn("windows", total - F.coalesce("stored", zero)).where("windows > 0"))
+    if placed:
+        held = blocks.select("k", (F.col("window_iy") * across + F.col("window_ix")).alias("at"))
+        after = sides.select("k", zero.alias("at")).unionByName(held.withColumn("at", F.col("at") + 1))
+        first = after.join(held, ["k", "at"], "left_anti").groupBy("k").agg(F.min("at").alias("at"))
+        out = out.join(first, "k").withColumn("window_iy", F.floor(F.col("at") / across)) \
+                 .withColumn("window_ix", F.col("at") - F.col("window_iy") * across)
+    else:
+        out = out.withColumns({c: F.lit(None).cast("long") for c in ("window_iy", "window_ix")})
+    return out.select("k", "window_iy", "window_ix", zero.alias("count"), F.lit(0.0).alias("occupancy"), "windows")
+
+
+def block_reduce(grid: DataFrame, spec, k: int, empty: bool = True) -> DataFrame:
+    """(window_iy, window_ix, count, occupancy) over complete k x k blocks.
+
+    With ``empty`` every block of the bounds is a row; without it only those that hold a stored bin, so the
+    table follows the tissue and not the farthest coordinate."""
+    sums = occupied_blocks(grid, spec, [k]).drop("k")
+    if not empty:
+        return sums
+    last = lambda bins: F.floor(_value(spec, bins) / int(k)) - 1
+    numbers = lambda top: F.explode(F.when(top >= 0, F.sequence(F.lit(0).cast("long"), top)))
+    blocks = (grid.sparkSession.range(1).select(numbers(last("ny")).alias("window_iy"))
+              .select("window_iy", numbers(last("nx")).alias("window_ix")))
+    return blocks.join(sums, ["window_iy", "window_ix"], "left").na.fill(0, ["count", "occupancy"])
+
+
+def windows_with_density(grid: DataFrame, spec, bin_size: float, sides: Sequence[float],
+                         placed: bool = False) -> DataFrame:
+    """Window table of several sides: occupied windows one by one and, per side, one row for all empty ones;
+    ``windows`` is how many windows a row stands for. ``placed`` gives the empty row its first place."""
+    ks = {float(side): int(round(side / bin_size)) for side in sides}
+    for side, k in ks.items():
+        if k < 1 or abs(k * bin_size - side) > 1e-9:
+            raise ValueError(f"side {side} is not a multiple of the {bin_size} bin")
+    stored = cut_lineage(occupied_blocks(grid, spec, sorted(ks.values())))
+    table = stored.withColumn("windows", F.lit(1).cast("long")).unionByName(
+        empty_blocks(stored, spec, sorted(ks.values()), placed))
+    side_of = F.create_map(*[F.lit(v) for side, k in ks.items() for v in (k, side)])
+    return table.withColumn("side", side_of[F.col("k")]).withColumn(
+        "area_mm2", F.col("side") * F.col("side") / 1e6).withColumn(
+        "density", F.col("count") / F.col("area_mm2")).drop("k")
+
+
+def window_ladder(grid: DataFrame, spec, bin_size: float, sides: Sequence[float],
                   occ_min: float) -> DataFrame:
     """Per side: windows, eligible windows, and densities at the quartiles."""
-    all_windows = None
-    for side in sides:
-        w = windows_with_density(grid, spec, bin_size, side)
-        all_windows = w if all_windows is None else all_windows.unionByName(w)
+    table = windows_with_density(grid, spec, bin_size, sides)
     ok = F.col("occupancy") >= occ_min
-    out = all_windows.groupBy("side", "area_mm2").agg(
-        F.count(F.lit(1)).alias("windows_total"), F.count_if(ok).alias("windows_eligible"))
-    q = quantiles(all_windows.where(ok), "density", {f"{n}_density": p for n, p in QUARTILES.items()}, ["side"])
+    out = table.groupBy("side", "area_mm2").agg(
+        F.sum("windows").alias("windows_total"),
+        F.sum(F.when(ok, F.col("windows")).otherwise(0)).alias("windows_eligible"))
+    q = quantiles(table.where(ok), "density", {f"{n}_density": p for n, p in QUARTILES.items()}, ["side"], "windows")
     return out.join(q, "side", "left")
 
 
-def select_windows(grid: DataFrame, spec: DataFrame, bin_size: float, side: float,
-                   occ_min: float) -> DataFrame:
+def select_windows(grid: DataFrame, spec, bin_size: float, side: float, occ_min: float) -> DataFrame:
     """Half-open boxes nearest to the density quartiles of the eligible windows; ties go
     row-major."""
-    eligible = windows_with_density(grid, spec, bin_size, side).where(F.col("occupancy") >= occ_min)
-    picks = nearest_to_quantile(cut_lineage(eligible), "density", QUARTILES, ["window_iy", "window_ix"])
+    table = windows_with_density(grid, spec, bin_size, [side], placed=occ_min <= 0)
+    eligible = table.where(F.col("occupancy") >= occ_min)
+    picks = nearest_to_quantile(eligible, "density", QUARTILES, ["window_iy", "window_ix"], "windows")
     ox, oy = _value(spec, "ox"), _value(spec, "oy")
     s = F.lit(float(side))
     return picks.select(
@@ -133,19 +169,21 @@ def select_windows(grid: DataFrame, spec: DataFrame, bin_size: float, side: floa
         F.col("density").alias("density_per_mm2"), "occupancy", F.col("target").alias("target_density"))
 
 
-def selection_stats(grid: DataFrame, spec: DataFrame, bin_size: float, side: float, occ_min: float) -> DataFrame:
-    w = windows_with_density(grid, spec, bin_size, side)
+def selection_stats(grid: DataFrame, spec, bin_size: float, side: float, occ_min: float) -> DataFrame:
+    table = windows_with_density(grid, spec, bin_size, [side])
     ok = F.col("occupancy") >= occ_min
-    out = w.agg(F.count(F.lit(1)).alias("windows_total"), F.count_if(ok).alias("windows_eligible"),
-                F.min(F.when(ok, F.col("density"))).alias("eligible_density_min"),
-                F.max(F.when(ok, F.col("density"))).alias("eligible_density_max"))
-    med = quantiles(w.where(ok), "density", {"m": 0.5})
+    out = table.agg(F.coalesce(F.sum("windows"), F.lit(0)).alias("windows_total"),
+                    F.coalesce(F.sum(F.when(ok, F.col("windows"))), F.lit(0)).alias("windows_eligible"),
+                    F.min(F.when(ok, F.col("density"))).alias("eligible_density_min"),
+                    F.max(F.when(ok, F.col("density"))).alias("eligible_density_max"))
+    med = quantiles(table.where(ok), "density", {"m": 0.5}, weight="windows")
     return out.withColumn("eligible_density_median", med.select("m").scalar())
 
 
-def occupancy_distribution(grid: DataFrame, spec: DataFrame, k: int,
+def occupancy_distribution(grid: DataFrame, spec, k: int,
                            percents: Sequence[int] = (5, 10, 25, 50, 75, 90, 95)) -> DataFrame:
-    return quantiles(block_reduce(grid, spec, k), "occupancy", {f"p{p}": p / 100 for p in percents})
+    table = windows_with_density(grid, spec, 1.0, [k])
+    return quantiles(table, "occupancy", {f"p{p}": p / 100 for p in percents}, weight="windows")
 
 
 def whole_tissue_window(grid: DataFrame, spec: DataFrame, df: DataFrame) -> DataFrame:
