@@ -350,7 +350,36 @@ def agreement_before_after(spark, sf):
     return rounded(P.before_after_by_type(scores.where(n == 0), scores.where(n > 0)))
 
 
-@query("F11", None)
+def top_ranked_sql(n: int) -> str:
+    """The n first features of each type by plain z, as a select of its own."""
+    head = RANK_SQL[:RANK_SQL.index("SELECT cell_type, g AS feature_name")].strip()
+    return "WITH " + head[1:].strip() + f"""
+SELECT cell_type, g AS gene, CAST(row_number() OVER (PARTITION BY cell_type ORDER BY round(z, 9) DESC, g) AS INTEGER) AS rank FROM z QUALIFY rank <= {n}"""
+
+
+PANEL_SQL = ", " + MARKS.replace("rank <= 6", "rank <= 4") + ", fb AS (" + top_ranked_sql(20) + """),
+ca AS (SELECT *, 'canonical' AS source, 0 AS o FROM marks UNION ALL SELECT *, 'scrna_fallback', 1 FROM fb WHERE cell_type IN (SELECT cell_type FROM marks)),
+cd AS (SELECT * FROM ca QUALIFY row_number() OVER (PARTITION BY cell_type, gene ORDER BY o, rank) = 1),
+cp AS (SELECT *, CAST(row_number() OVER (PARTITION BY cell_type ORDER BY o, rank, gene) AS INTEGER) AS priority FROM cd),
+tt AS (SELECT sum(n) AS n FROM rsz), ss AS (SELECT feature_name AS gene, cell_type AS label, sum(v) AS s FROM rn JOIN rl USING (cell_id) GROUP BY 1, 2),
+sp AS (SELECT cp.cell_type, cp.gene, (coalesce(sum(s) FILTER (label = cp.cell_type), 0) / any_value(rsz.n) - coalesce(sum(s) FILTER (label <> cp.cell_type), 0) / any_value(tt.n - rsz.n)) / ln(2) AS specificity
+ FROM cp JOIN rsz USING (cell_type) JOIN ss USING (gene), tt GROUP BY 1, 2),
+el AS (SELECT cp.*, specificity, upper(gene) = 'GENE003' AS broad, gene IN (SELECT feature_name FROM qcnt) AS here, gene IN (SELECT feature_name FROM rcnt) AS known
+ FROM cp LEFT JOIN sp USING (cell_type, gene)),
+c0 AS (SELECT *, here AND known AND NOT broad AND coalesce(specificity >= 0, FALSE) AS eligible FROM el),
+c1 AS (SELECT *, count(*) FILTER (o = 0 AND eligible) OVER (PARTITION BY cell_type) AS n_canon,
+ CASE WHEN o = 0 AND eligible THEN count(*) FILTER (o = 0 AND eligible) OVER (PARTITION BY cell_type ORDER BY priority) END AS cr FROM c0),
+c2 AS (SELECT *, coalesce(cr <= 3, FALSE) AS base FROM c1),
+c3 AS (SELECT *, count(*) FILTER (base) OVER (PARTITION BY cell_type) AS nb,
+ CASE WHEN eligible AND NOT base THEN count(*) FILTER (eligible AND NOT base) OVER (PARTITION BY cell_type ORDER BY priority) END AS fr FROM c2),
+c4 AS (SELECT *, CASE WHEN base THEN cr WHEN nb < 2 AND fr <= greatest(3 - nb, 1) THEN nb + fr END AS pos FROM c3)
+SELECT cell_type, gene, source, priority, round(specificity, 6) + 0.0 AS specificity, broad, eligible, coalesce(pos <= 5, FALSE) AS selected, CASE WHEN pos <= 5 THEN pos END AS panel_rank,
+ CASE WHEN coalesce(pos <= 5, FALSE) THEN '' WHEN NOT here THEN 'absent from platform panel' WHEN specificity IS NULL THEN 'not detected in scRNA reference'
+  WHEN broad THEN 'broad/stress/interferon marker avoided' WHEN specificity < 0 THEN 'low scRNA specificity (<0 log2FC)'
+  WHEN o = 1 AND n_canon >= 3 THEN 'canonical platform-present alternatives selected' ELSE 'not in top selected markers for lineage' END AS reason FROM c4"""
+
+
+@query("F11", with_parts(PANEL_SQL, BASE, **REFPROF))
 def marker_panel_audit(spark, sf):
     q, ql, r, rl = sides(spark, sf)
     canonical = marks(spark, sf, 4)

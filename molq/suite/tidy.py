@@ -12,7 +12,7 @@ from molq.plans.fixtures import molecules, table, with_parts
 from molq.suite.accounting import CLASS_SQL, SCORED_SQL, scored_cells
 from molq.suite.base import query
 from molq.suite.cooccurrence import SUMMARY_CTE, panel, score_parts
-from molq.suite.profiles import sides
+from molq.suite.profiles import BASE, DENSE, DIFF, LOGMEAN, PROFILE, SPEAR, SPEC_SQL, TAU, VOTE_SQL, sides, top_ranked_sql
 from molq.suite.util import rounded
 
 CARD_SQL = """
@@ -199,14 +199,48 @@ def runtime_metrics(spark, sf):
         F.struct(n.cast("double").alias("peak_rss_gb"), kind.alias("source")).alias("memory")))
 
 
-@query("D08 D09 D14 F29 F23 F12 E18", None)
+def scores_of(counts: str) -> dict[str, str]:
+    """The pair panel and the scores of another count table than the final assignment."""
+    return {k: v.replace("FROM cg", f"FROM {counts}") for k, v in score_parts(1).items()}
+
+
+# Kept entities of the final assignment take the labels that anchors of the reference vote for.
+SUMMARY_PARTS = {
+    **PROFILE,
+    "qcnt": "SELECT * FROM cg WHERE cell_id IN (SELECT cell_id FROM cg GROUP BY 1 HAVING sum(count) BETWEEN 10 AND 900)",
+    "anchors": "SELECT * FROM rl QUALIFY row_number() OVER (PARTITION BY cell_type ORDER BY substr(md5(concat('0-', cell_id)), 1, 15), cell_id) <= 100",
+    "qu": "SELECT cell_id, feature_name AS g, v / sqrt(sum(v * v) OVER (PARTITION BY cell_id)) AS u FROM qn",
+    "au": "SELECT cell_id, feature_name AS g, v / sqrt(sum(v * v) OVER (PARTITION BY cell_id)) AS u FROM rn WHERE cell_id IN (SELECT cell_id FROM anchors)",
+    "ql": "SELECT cell_id, predicted_celltype AS cell_type FROM (WITH " + VOTE_SQL.format(
+        q="q.cell_id", a="a.cell_id", lab="any_value(n.cell_type)", k=15, dot="coalesce(sum(q.u * a.u), 0)",
+        src="qu q JOIN au a ON q.g = a.g JOIN anchors n ON n.cell_id = a.cell_id GROUP BY q.cell_id, a.cell_id").strip()[1:] + ")"}
+SUMMARY_PARTS = {name: SUMMARY_PARTS[name] for name in "qcnt rl rcnt qn rn anchors qu au ql qsz rsz qb rb".split()}
+
+
+@query("D08 D09 D14 F29 F23 F12 E18", with_parts(SUMMARY_CTE + """,
+marks AS (""" + top_ranked_sql(30) + """),
+mf AS (""" + SPEC_SQL.format(div="ln(2)").replace("\n, tot AS", "WITH tot AS", 1).replace(", 6) + 0.0 AS spatial_log2fc", ", 15) AS spatial_log2fc") + """),
+per AS (SELECT cell_id, count(*) AS n FROM assigned GROUP BY 1)
+SELECT (SELECT CAST(count(*) AS DOUBLE) FROM molecules) AS n_transcripts, (SELECT CAST(count(*) AS DOUBLE) FROM molecules WHERE etype IN ('cell', 'partial', 'component')) AS n_assigned,
+ (SELECT CAST(count(*) AS DOUBLE) FROM per) AS n_cells_pre_filter, (SELECT CAST(count(*) AS DOUBLE) FROM per WHERE n BETWEEN 10 AND 900) AS n_cells_post_filter,
+ (SELECT count(DISTINCT cell_type) FROM ql) AS n_celltypes_detected,
+ (SELECT round(median(p), 6) FROM (SELECT cell_type, corr(q, r) AS p FROM dp GROUP BY 1)) AS median_reference_pearson_r,
+ (SELECT round(median(spatial_log2fc), 6) + 0.0 FROM mf) AS median_marker_log2fc,
+ (SELECT round(median(rp), 6) FROM sc) AS relative_purity, (SELECT round(median(rc), 6) FROM sc) AS relative_conflict""",
+                                                 BASE + " assigned orig cg", **SUMMARY_PARTS, **DENSE, **scores_of("qcnt")))
 def method_metrics_summary(spark, sf):
     _, _, r, rl = sides(spark, sf)
     parts = E.method_metrics(molecules(spark, sf), r, rl, panel(spark, sf), 10, 900, k=15, per_type=100)
     return rounded(E.metrics_summary(parts))
 
 
-@query("F37", None)
+@query("F37", with_parts(SUMMARY_CTE + ", " + TAU + ", " + SPEAR + ", " + DIFF + """,
+pr AS (SELECT cell_type, corr(q, r) AS p FROM dp GROUP BY 1), lf AS (SELECT cell_type, median(dq) AS l FROM tops WHERE k <= 10 GROUP BY 1)
+SELECT (SELECT count(*) FROM pr) AS n_celltypes_scored, (SELECT round(median(tau), 6) FROM tau) AS kendall_tau_median, (SELECT round(median(p), 6) FROM pr) AS pearson_r_median,
+ (SELECT round(median(rho), 6) FROM rho) AS spearman_rho_median, (SELECT round(median(l), 6) + 0.0 FROM lf) AS marker_logfc_median, (SELECT count(*) FROM lf) AS n_marker_celltypes,
+ count(*) AS n_entities_scored, round(median(ps), 6) AS cpmi_purity, round(median(cs), 6) AS cpmi_conflict, round(median(rp), 6) AS cpmi_relative_purity,
+ round(median(rc), 6) AS cpmi_relative_conflict, round(median(ps - cs), 6) + 0.0 AS cpmi_coherence, round(median(rp - rc), 6) + 0.0 AS cpmi_relative_coherence FROM sc""",
+                         BASE + " orig", **LOGMEAN, **DENSE, **scores_of("qcnt")))
 def block_metrics(spark, sf):
     q, ql, r, rl = sides(spark, sf)
     return rounded(E.block_metrics(q, ql, r, rl, panel(spark, sf), 10))
