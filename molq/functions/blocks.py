@@ -16,12 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from molq.functions.ordering import dense_index
 from molq.session import cut_lineage, shuffle_width
 
 BLOCK = 1024
 ROWS = 2048
 OUT_ROWS = 1 << 18
 SHARD_ROWS = 16384
+# A feature in at least one of HEAVY_SHARE contexts pays for its place in a dense block: below that, a product of
+# two blocks costs more than counting the few pairs that are there.
+HEAVY_SHARE = 40
+PIECE_PAIRS = 1 << 22
 
 
 def feature_index(features: DataFrame) -> DataFrame:
@@ -32,6 +37,14 @@ def feature_index(features: DataFrame) -> DataFrame:
         Window.partitionBy(F.lit(0)).orderBy("feature_name")) - 1).cast("int"))
 
 
+def frequency_index(presence: DataFrame) -> DataFrame:
+    """(feature_name, k, g): dense codes by falling number of contexts, ties by name, so frequent features
+    share blocks. Numbered by ranges; no task sees the whole vocabulary."""
+    marg = presence.groupBy(F.col("feature_name").cast("string").alias("feature_name")).agg(
+        F.count(F.lit(1)).alias("k"))
+    return dense_index(marg, [F.desc("k"), F.asc("feature_name")], "g").withColumn("g", F.col("g").cast("int"))
+
+
 def context_rows(presence: DataFrame, index: DataFrame, value: str | None = None) -> DataFrame:
     """One row per context with its feature codes (and values), i.e. a distributed CSR matrix.
     Presence holds a context's feature once, so a row is bounded by the vocabulary."""
@@ -127,9 +140,9 @@ def _emit(key, acc) -> Iterator[pa.RecordBatch]:
              pa.array((j[s] + bj * BLOCK).astype(np.int32)), pa.array(v[s])], ["i", "j", "s"])
 
 
-def pair_products(rows: DataFrame, with_values: bool = False) -> DataFrame:
+def pair_products(rows: DataFrame, with_values: bool = False, stored: bool = False) -> DataFrame:
     """(i, j, s) for i < j: the sum over contexts of the product of the two features' values,
-    which for presence rows is the number of contexts holding both."""
+    which for presence rows is the number of contexts holding both. ``stored`` rows are read as they are."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, acc = None, None
@@ -153,7 +166,7 @@ def pair_products(rows: DataFrame, with_values: bool = False) -> DataFrame:
             yield from _emit(current, acc)
 
     cols = ["bi", "bj", "a", "b"] + (["av", "bv"] if with_values else [])
-    kept = cut_lineage(rows)
+    kept = rows if stored else cut_lineage(rows)
     # A block pair is dealt over as many salts as its measured rows need, so the sums that leave the
     # kernel number at most salts x pairs, whatever the number of tasks that hold the rows.
     salted = (block_pairs(kept, with_values).join(block_pair_shards(kept), ["bi", "bj"])
@@ -164,6 +177,61 @@ def pair_products(rows: DataFrame, with_values: bool = False) -> DataFrame:
             .groupBy("i", "j").agg(F.sum("s").alias("s")))
 
 
+def tail_pairs(rows: DataFrame, n_heavy: int, piece_pairs: int | None = None) -> DataFrame:
+    """(i, j, s) for i < j and j >= n_heavy: contexts that hold both, for presence rows in frequency codes.
+
+    Pairs are counted where the rows lie and only sums leave a task. A pair is drawn at most as often as its
+    rarer feature occurs. A row with very many pairs is dealt over pieces of bounded size."""
+    most = piece_pairs or PIECE_PAIRS
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            genes = batch.column("genes")
+            piece, pieces = (batch.column(c).to_numpy() for c in ("piece", "pieces"))
+            for r in range(batch.num_rows):
+                g = genes.slice(r, 1).flatten().to_numpy().astype(np.int64)
+                # Pairs below position p number about p * p / 2, so equal pieces end at roots.
+                lo, hi = (int(len(g) * ((piece[r] + d) / pieces[r]) ** 0.5) for d in (0, 1))
+                p = np.arange(max(lo, int(np.searchsorted(g, n_heavy))), hi)
+                before = np.concatenate([[0], np.cumsum(p)])
+                i = g[np.arange(before[-1]) - np.repeat(before[:-1], p)]
+                held.append((i << 32) | np.repeat(g[p], p))
+                n += len(i)
+                if n >= most:
+                    yield from counted(held)
+                    held, n = [], 0
+        yield from counted(held)
+
+    def counted(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if held:
+            keys, sums = np.unique(np.concatenate(held), return_counts=True)
+            for lo in range(0, len(keys), OUT_ROWS):
+                k = keys[lo:lo + OUT_ROWS]
+                yield pa.RecordBatch.from_arrays([pa.array((k >> 32).astype(np.int32)), pa.array(k.astype(np.int32)),
+                                                  pa.array(sums[lo:lo + OUT_ROWS].astype(np.float64))], ["i", "j", "s"])
+
+    size = F.size("genes").cast("double")
+    cut = rows.where((F.size("genes") > 1) & (F.element_at("genes", -1) >= n_heavy)).select(
+        "context", "genes", F.greatest(F.ceil(size * size / (2.0 * most)), F.lit(1)).cast("int").alias("pieces"))
+    wide = cut.where("pieces > 1").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    dealt = cut.where("pieces = 1").withColumn("piece", F.lit(0)).unionByName(
+        wide.repartition(shuffle_width(rows), "context", "piece"))
+    return (dealt.select("genes", "piece", "pieces").mapInArrow(kernel, "i int, j int, s double")
+            .groupBy("i", "j").agg(F.sum("s").alias("s")))
+
+
+def presence_pairs(rows: DataFrame, n_heavy: int, n_features: int) -> DataFrame:
+    """(i, j, s) of stored presence rows in frequency codes: dense blocks for the ``n_heavy`` most frequent
+    features, and at least for one whole block of them; counted pairs for all pairs with a rarer one."""
+    n_heavy = max(n_heavy, BLOCK)
+    if n_heavy >= n_features:
+        return pair_products(rows, stored=True)
+    tail = tail_pairs(rows, n_heavy)
+    heavy = rows.select("context", F.filter("genes", lambda g: g < n_heavy).alias("genes")).where(F.size("genes") > 1)
+    return pair_products(heavy, stored=True).unionByName(tail)
+
+
 # --- products against a pair panel ------------------------------------------
 
 def panel_blocks(panel: DataFrame, index: DataFrame, value: str = "value") -> DataFrame:

@@ -47,12 +47,30 @@ def named_pairs(pairs: DataFrame, index: DataFrame) -> DataFrame:
     return pairs.join(a, "i").join(b, "j").drop("i", "j")
 
 
+def counted_pairs(pres: DataFrame) -> tuple[DataFrame, DataFrame, Column]:
+    """((gene_i, gene_j, k_i, k_j, k_ij) with gene_i < gene_j, (feature_name, k_i), contexts).
+
+    Presence is derived once and kept as coded context rows; frequent features meet in dense blocks, rare ones by
+    counted pairs."""
+    pres = cut_lineage(pres.select("context", "feature_name"))
+    index = cut_lineage(B.frequency_index(pres))
+    rows = cut_lineage(B.context_rows(pres, index.select("feature_name", "g")))
+    contexts = rows.agg(F.count("context")).scalar()
+    heavy, every = index.agg(F.count_if(F.col("k") * B.HEAVY_SHARE >= contexts), F.count(F.lit(1))).first()
+    side = lambda s: index.select(F.col("g").alias(s), F.col("feature_name").alias(f"f{s}"), F.col("k").alias(f"c{s}"))
+    both = B.presence_pairs(rows, heavy, every).join(side("i"), "i").join(side("j"), "j")
+    # Codes follow frequency, pairs follow names.
+    turned = F.col("fi") > F.col("fj")
+    pick = lambda c, d: F.when(turned, F.col(d)).otherwise(F.col(c))
+    pairs = both.select(pick("fi", "fj").alias("gene_i"), pick("fj", "fi").alias("gene_j"),
+                        pick("ci", "cj").alias("k_i"), pick("cj", "ci").alias("k_j"),
+                        F.col("s").cast("long").alias("k_ij"))
+    return pairs, index.select("feature_name", F.col("k").alias("k_i")), contexts
+
+
 def pair_cooccurrence(pres: DataFrame) -> DataFrame:
     """(gene_i, gene_j, k_ij) for gene_i < gene_j: contexts that hold both."""
-    index = B.feature_index(pres)
-    rows = B.context_rows(pres, index)
-    counts = B.pair_products(rows).withColumn("s", F.col("s").cast("long"))
-    return named_pairs(counts, index).select("gene_i", "gene_j", F.col("s").alias("k_ij"))
+    return counted_pairs(pres)[0].select("gene_i", "gene_j", "k_ij")
 
 
 def all_pairs(features: DataFrame, diagonal: bool = False) -> DataFrame:
@@ -85,13 +103,12 @@ def compute_npmi(pres: DataFrame, dense: bool = False, set_neg_one: bool = False
     Sparse by default: pairs seen together. ``dense`` adds unseen pairs and the diagonal, with
     NULL scores, or -1 where both marginals exceed ``thr`` and ``set_neg_one`` is on.
     """
-    c = context_count(pres)
-    marg = marginals(pres)
-    pairs = pair_cooccurrence(pres)
+    wide, marg, c = counted_pairs(pres)
     if dense:
-        pairs = (all_pairs(marg, diagonal=True).join(pairs, ["gene_i", "gene_j"], "left"))
-    wide = _with_marginals(pairs, marg).withColumn("k_ij", F.coalesce(
-        F.when(F.col("gene_i") == F.col("gene_j"), F.col("k_i")), "k_ij", F.lit(0)))
+        seen = wide.select("gene_i", "gene_j", "k_ij")
+        wide = _with_marginals(all_pairs(marg, diagonal=True).join(seen, ["gene_i", "gene_j"], "left"), marg)
+        wide = wide.withColumn("k_ij", F.coalesce(
+            F.when(F.col("gene_i") == F.col("gene_j"), F.col("k_i")), "k_ij", F.lit(0)))
     wide = wide.withColumns({"P_i": F.col("k_i") / c, "P_j": F.col("k_j") / c,
                              "P_ij": F.col("k_ij") / c})
     out = pmi_columns(wide, F.col("P_i"), F.col("P_j"), F.col("P_ij")).withColumns({
@@ -190,10 +207,10 @@ def evidence_tiers(pres: DataFrame, min_evidence: float = 10.0,
     neg_one when many joint contexts were expected, else indeterminate. ``universe`` is the
     context count when presence was masked after counting contexts.
     """
-    c = context_count(pres) if universe is None else universe
+    seen, marg, c = counted_pairs(pres)
+    c = c if universe is None else universe
     boot = min_evidence if min_bootstrap is None else min_bootstrap
-    marg = marginals(pres)
-    seen = pair_cooccurrence(pres)
+    seen = seen.select("gene_i", "gene_j", "k_ij")
     wide = (_with_marginals(all_pairs(marg).join(seen, ["gene_i", "gene_j"], "left"), marg)
             .withColumn("c", c.cast("double")))
     size = F.col("c") if subsample is None else F.lit(float(subsample))

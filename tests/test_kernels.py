@@ -34,6 +34,27 @@ def brute_pairs(rows):
     return out, by
 
 
+@pytest.mark.parametrize("share,piece_pairs", [(40, 1 << 22), (3, 50), (1, 7)])
+def test_rare_features_are_counted_outside_of_blocks(corpus, monkeypatch, share, piece_pairs):
+    monkeypatch.setattr(B, "BLOCK", 4)
+    monkeypatch.setattr(B, "HEAVY_SHARE", share)
+    monkeypatch.setattr(B, "PIECE_PAIRS", piece_pairs)  # the widest context is dealt over several pieces
+    rows, pres = corpus
+    want, by = brute_pairs(rows)
+    pairs, marg, contexts = N.counted_pairs(pres)
+    got = {(r.gene_i, r.gene_j): r for r in pairs.collect()}
+    assert {p: r.k_ij for p, r in got.items()} == want
+    k = {g: sum(g in gs for gs in by.values()) for g in {g for _, g in rows}}
+    assert all((r.k_i, r.k_j) == (k[a], k[b]) for (a, b), r in got.items())
+    assert {r.feature_name: r.k_i for r in marg.collect()} == k
+    assert marg.select(contexts.alias("n")).first().n == len(by)
+
+
+def test_pairs_of_no_presence(frame):
+    empty = frame([], "context string, feature_name string, n int")
+    assert N.pair_cooccurrence(empty).count() == 0 and N.compute_npmi(empty).count() == 0
+
+
 @pytest.mark.parametrize("block", [1024, 7])
 def test_pair_counts(corpus, monkeypatch, block):
     monkeypatch.setattr(B, "BLOCK", block)
