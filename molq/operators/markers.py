@@ -41,9 +41,10 @@ def rank_genes(counts: DataFrame, labels: DataFrame, n_top: int | None = 100,
         F.sum(F.col("v") * F.col("w")).alias("s")))
     total_s = per.groupBy("feature_name").agg(F.sum("s").alias("s_all"))
     # Every (type, feature): types that never show the feature still rank, on zeros alone.
-    names = ties.agg(F.sort_array(F.collect_set("feature_name"))).scalar()
-    grid = sizes.withColumn("feature_name", F.explode(names))
-    full = (grid.join(per, ["cell_type", "feature_name"], "left").join(ties, "feature_name")
+    # The few types go to the features, not the vocabulary to the types.
+    types = sizes.agg(F.collect_list(F.struct("cell_type", "n_cells"))).scalar()
+    grid = ties.withColumn("_t", F.explode(types)).select("*", "_t.*").drop("_t")
+    full = (grid.join(per, ["cell_type", "feature_name"], "left")
             .join(total_s, "feature_name").na.fill(0, ["r_pos", "m", "s"]))
     nt = F.col("n_cells").cast("double")
     r_sum = F.col("r_pos") + (nt - F.col("m")) * (F.col("z0") + 1) / 2.0
